@@ -150,8 +150,7 @@ def build_domain(wh: Warehouse, scope: str, as_of: datetime) -> None:
 
 def run_all(wh: Warehouse, source: Operational, as_of: datetime, scope: str = "all", bands: Bands = Bands()) -> None:
     """Land, mirror and build a scope end to end, then run its declared checks."""
-    exports = landing.export_frames(source)
-    landed = landing.land(wh, {t: exports[t] for t in landing.in_scope(scope)}, as_of)
+    landed = landing.land(wh, landing.export_frames(source, scope), as_of)
     landing.mirror_all(wh, landed, scope)
     build_source(wh, scope, as_of, bands)
     build_domain(wh, scope, as_of)

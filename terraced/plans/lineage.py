@@ -40,12 +40,11 @@ class Lineage:
         self.rate_bands = rate_bands
         self.amount_bands = amount_bands
 
-    @cached_property
-    def export_frames(self) -> dict[str, DataFrame]:
-        return landing.export_frames(self.source)
+    def exported(self, table: str) -> DataFrame:
+        return landing.export_of(self.source, table)
 
     def landed(self, table: str) -> DataFrame:
-        return landing.stamped(table, self.export_frames[table], self.as_of)
+        return landing.stamped(table, self.exported(table), self.as_of)
 
     def mirrored(self, table: str) -> DataFrame:
         """The raw mirror rows of a landed table."""

@@ -9,8 +9,23 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "string": T.StringType(),
+    "timestamp": T.TimestampType(),
+    "decimal(6,4)": T.DecimalType(6, 4),
+    "decimal(12,2)": T.DecimalType(12, 2),
+    "decimal(38,0)": T.DecimalType(38, 0),
+    "decimal(38,2)": T.DecimalType(38, 2),
+    "decimal(38,4)": T.DecimalType(38, 4),
+}
+
+
+def _struct(columns: str) -> T.StructType:
+    """Schema from ``name type`` pairs; needs no session, unlike a DDL string."""
+    pairs = [column.split() for column in columns.split(", ")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 SOURCE = {

@@ -18,15 +18,24 @@ from terraced.sources.seed import Operational
 _PLACE = "landing"
 
 
-def export_frames(source: Operational) -> dict[str, DataFrame]:
-    """Landed table name -> its export, lazily."""
-    return {
-        "raw_customers": exports.raw_customers_export(source.customers, source.orders, source.order_items),
-        "raw_orders": exports.raw_orders_export(source.orders, source.customers, source.order_items),
-        "raw_order_items": exports.raw_order_items_export(source.order_items, source.orders),
-        "raw_taxes": exports.raw_taxes_export(source.taxes),
-        "raw_depot_transactions": exports.raw_depot_transactions_export(source.depot_transactions, source.customers),
-    }
+def export_of(source: Operational, table: str) -> DataFrame:
+    """The export behind a landed table, lazily."""
+    if table == "raw_customers":
+        return exports.raw_customers_export(source.customers, source.orders, source.order_items)
+    if table == "raw_orders":
+        return exports.raw_orders_export(source.orders, source.customers, source.order_items)
+    if table == "raw_order_items":
+        return exports.raw_order_items_export(source.order_items, source.orders)
+    if table == "raw_taxes":
+        return exports.raw_taxes_export(source.taxes)
+    if table == "raw_depot_transactions":
+        return exports.raw_depot_transactions_export(source.depot_transactions, source.customers)
+    raise ValueError(f"unknown landed table {table!r}")
+
+
+def export_frames(source: Operational, scope: str = "all") -> dict[str, DataFrame]:
+    """Landed table name -> its export, for a scope."""
+    return {table: export_of(source, table) for table in in_scope(scope)}
 
 
 def stamped(table: str, export: DataFrame, as_of: datetime) -> DataFrame:

@@ -7,7 +7,6 @@ and a key column of any table gives one row per key.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,18 +135,25 @@ def seed_depot_transactions(source: DataFrame, as_of: datetime, customers: int =
     )
 
 
-@dataclass(frozen=True)
 class Operational:
     """The five operational tables a platform starts from."""
 
-    customers: DataFrame
-    orders: DataFrame
-    order_items: DataFrame
-    taxes: DataFrame
-    depot_transactions: DataFrame
+    def __init__(
+        self,
+        customers: DataFrame,
+        orders: DataFrame,
+        order_items: DataFrame,
+        taxes: DataFrame,
+        depot_transactions: DataFrame,
+    ) -> None:
+        self.customers = customers
+        self.orders = orders
+        self.order_items = order_items
+        self.taxes = taxes
+        self.depot_transactions = depot_transactions
 
     def tables(self) -> dict[str, DataFrame]:
-        return dict(vars(self))
+        return {name: getattr(self, name) for name in SOURCE}
 
 
 def seed_all(spark: SparkSession, as_of: datetime) -> Operational:

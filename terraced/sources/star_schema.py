@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,15 +123,36 @@ def depot_transactions(events: DataFrame) -> DataFrame:
     )
 
 
+class StarSchema(Operational):
+    """The operational tables over a folder of star-schema tables; each is read when first used."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self._spark = spark
+        self._folder = folder
+
+    def _table(self, name: str) -> DataFrame:
+        return read_table(self._spark, self._folder, name)
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        return customers(self._table("customer"), self._table("nation"), self._table("region"))
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return orders(self._table("orders"))
+
+    @cached_property
+    def order_items(self) -> DataFrame:
+        return order_items(self._table("lineitem"))
+
+    @cached_property
+    def taxes(self) -> DataFrame:
+        return taxes(self._table("lineitem"), self._table("supplier"), self._table("nation"), self._table("region"))
+
+    @cached_property
+    def depot_transactions(self) -> DataFrame:
+        return depot_transactions(self._table("events"))
+
+
 def read_operational(spark: SparkSession, folder: str) -> Operational:
-    def table(name: str) -> DataFrame:
-        return read_table(spark, folder, name)
-
-    nation, region, lineitem = table("nation"), table("region"), table("lineitem")
-    return Operational(
-        customers=customers(table("customer"), nation, region),
-        orders=orders(table("orders")),
-        order_items=order_items(lineitem),
-        taxes=taxes(lineitem, table("supplier"), nation, region),
-        depot_transactions=depot_transactions(table("events")),
-    )
+    return StarSchema(spark, folder)
