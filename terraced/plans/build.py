@@ -8,10 +8,12 @@ only its own product.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
 from terraced import schemas
@@ -36,91 +38,110 @@ class Bands:
 
 
 def build_sdp_orders(wh: Warehouse, as_of: datetime, bands: Bands = Bands()) -> None:
-    raw_items = wh.source("sdp_orders", "ext_order_items_raw")
-    orders = wh.write("sdp_orders", "core", "orders_clean", sp.orders_clean(wh.source("sdp_orders", "ext_orders_raw"), as_of, bands.orders))
-    items = wh.write("sdp_orders", "core", "order_items_clean", sp.order_items_clean(raw_items, as_of))
-    summary = wh.write("sdp_orders", "core", "customer_order_summary", sp.customer_order_summary(orders))
-    wh.write("sdp_orders", "access", "orders_order_grain", sp.publish(orders, "orders_order_grain"))
-    wh.write("sdp_orders", "access", "orders_customer_grain", sp.publish(summary, "orders_customer_grain"))
-    wh.write("sdp_orders", "access", "order_lines_order_grain", sp.publish(items, "order_lines_order_grain"))
+    product = "sdp_orders"
+    orders = sp.orders_clean(wh.source(product, "ext_orders_raw"), as_of, bands.orders)
+    orders = wh.write(product, "core", "orders_clean", orders)
+    items = sp.order_items_clean(wh.source(product, "ext_order_items_raw"), as_of)
+    items = wh.write(product, "core", "order_items_clean", items)
+    summary = wh.write(product, "core", "customer_order_summary", sp.customer_order_summary(orders))
+    _publish(wh, product, "orders_order_grain", orders, "orders_clean")
+    _publish(wh, product, "orders_customer_grain", summary, "customer_order_summary")
+    _publish(wh, product, "order_lines_order_grain", items, "order_items_clean")
 
 
 def build_sdp_customers(wh: Warehouse, as_of: datetime, bands: Bands = Bands()) -> None:
-    raw = wh.source("sdp_customers", "ext_customers_raw")
-    customers = wh.write("sdp_customers", "core", "customers_clean", sp.customers_clean(raw, as_of, bands.customers))
-    wh.write("sdp_customers", "access", "customers_entity_grain", sp.publish(customers, "customers_entity_grain"))
+    product = "sdp_customers"
+    customers = sp.customers_clean(wh.source(product, "ext_customers_raw"), as_of, bands.customers)
+    customers = wh.write(product, "core", "customers_clean", customers)
+    _publish(wh, product, "customers_entity_grain", customers, "customers_clean")
     for by in ("region", "segment"):
-        summary = wh.write("sdp_customers", "core", f"customer_{by}_summary", sp.customer_summary(customers, by))
-        wh.write("sdp_customers", "access", f"customers_{by}_grain", summary)
+        core = f"customer_{by}_summary"
+        summary = wh.write(product, "core", core, sp.customer_summary(customers, by))
+        wh.project(product, "access", f"customers_{by}_grain", summary, wh.name(product, "core", core))
 
 
 def build_sdp_taxes(wh: Warehouse, as_of: datetime, bands: Bands = Bands()) -> None:
-    clean = sp.taxes_clean(wh.source("sdp_taxes", "ext_taxes_raw"), as_of, bands.rates)
-    taxes = wh.write("sdp_taxes", "core", "taxes_clean", clean)
-    wh.write("sdp_taxes", "access", "taxes_grain", sp.publish(taxes, "taxes_grain"))
+    product = "sdp_taxes"
+    taxes = sp.taxes_clean(wh.source(product, "ext_taxes_raw"), as_of, bands.rates)
+    taxes = wh.write(product, "core", "taxes_clean", taxes)
+    _publish(wh, product, "taxes_grain", taxes, "taxes_clean")
 
 
 def build_sdp_depot_transactions(wh: Warehouse, as_of: datetime, bands: Bands = Bands()) -> None:
     product = "sdp_depot_transactions"
     clean = sp.depot_transactions_clean(wh.source(product, "ext_depot_transactions_raw"), as_of, bands.amounts)
     transactions = wh.write(product, "core", "depot_transactions_clean", clean)
-    wh.write(product, "access", "depot_transactions_grain", sp.publish(transactions, "depot_transactions_grain"))
+    _publish(wh, product, "depot_transactions_grain", transactions, "depot_transactions_clean")
+
+
+def _publish(wh: Warehouse, product: str, grain: str, core: DataFrame, core_table: str) -> None:
+    wh.project(product, "access", grain, sp.publish(core, grain), wh.name(product, "core", core_table))
+
+
+def _inbound(wh: Warehouse, product: str, producer: str, grain: str) -> DataFrame:
+    return wh.view(product, "inbound", f"in_{grain}", wh.name(producer, "access", grain))
 
 
 # Customer domain.
 
 
 def build_edp_customers(wh: Warehouse, as_of: datetime) -> None:
-    product, producer = "edp_customers", "sdp_customers"
+    product = "edp_customers"
 
-    def view(grain: str) -> DataFrame:
-        return wh.view(product, "inbound", f"in_{grain}", wh.name(producer, "access", grain))
+    def core(table: str, model: Callable[[DataFrame], DataFrame], grain: str) -> DataFrame:
+        seen = _inbound(wh, product, "sdp_customers", grain)
+        return wh.project(product, "core", table, model(seen), wh.name(product, "inbound", f"in_{grain}"))
 
-    customers = wh.write(product, "core", "customers_3nf", cd.customers_3nf(view("customers_entity_grain")))
-    regions = wh.write(product, "core", "regions_3nf", cd.regions_3nf(view("customers_region_grain")))
-    segments = wh.write(product, "core", "segments_3nf", cd.segments_3nf(view("customers_segment_grain")))
+    customers = core("customers_3nf", cd.customers_3nf, "customers_entity_grain")
+    regions = core("regions_3nf", cd.regions_3nf, "customers_region_grain")
+    segments = core("segments_3nf", cd.segments_3nf, "customers_segment_grain")
     dim_regions = wh.write(product, "core", "dim_regions", cd.dim_regions(regions))
     dim_segments = wh.write(product, "core", "dim_segments", cd.dim_segments(segments))
     star = cd.fct_customer_value_star(customers, dim_regions, dim_segments, as_of)
     fact = wh.write(product, "core", "fct_customer_value_star", star)
-    wh.write(product, "access", "customers_complete", cd.customers_complete(fact))
+    over = wh.name(product, "core", "fct_customer_value_star")
+    wh.project(product, "access", "customers_complete", cd.customers_complete(fact), over)
+    wh.project(product, "access", "customers_only", cd.customers_only(fact), over)
     wh.write(product, "access", "customers_high_value", cd.customers_high_value(fact))
-    wh.write(product, "access", "customers_only", cd.customers_only(fact))
 
 
 def build_edp_taxes(wh: Warehouse) -> None:
-    inbound = wh.view("edp_taxes", "inbound", "in_taxes_grain", wh.name("sdp_taxes", "access", "taxes_grain"))
-    taxes = wh.write("edp_taxes", "core", "taxes_3nf", cd.taxes_3nf(inbound))
-    wh.write("edp_taxes", "access", "taxes_only", cd.taxes_only(taxes))
+    product = "edp_taxes"
+    inbound = _inbound(wh, product, "sdp_taxes", "taxes_grain")
+    taxes = wh.project(product, "core", "taxes_3nf", cd.taxes_3nf(inbound), wh.name(product, "inbound", "in_taxes_grain"))
+    wh.project(product, "access", "taxes_only", cd.taxes_only(taxes), wh.name(product, "core", "taxes_3nf"))
 
 
 # Transaction domain.
 
 
 def build_edp_orders(wh: Warehouse, as_of: datetime) -> None:
-    product, producer = "edp_orders", "sdp_orders"
+    product = "edp_orders"
 
-    def view(grain: str) -> DataFrame:
-        return wh.view(product, "inbound", f"in_{grain}", wh.name(producer, "access", grain))
+    def core(table: str, model: Callable[[DataFrame], DataFrame], grain: str) -> DataFrame:
+        seen = _inbound(wh, product, "sdp_orders", grain)
+        return wh.project(product, "core", table, model(seen), wh.name(product, "inbound", f"in_{grain}"))
 
-    orders = wh.write(product, "core", "orders_3nf", td.orders_3nf(view("orders_order_grain")))
-    lines = wh.write(product, "core", "order_lines_3nf", td.order_lines_3nf(view("order_lines_order_grain")))
-    customers = wh.write(product, "core", "customers_3nf", td.customers_3nf(view("orders_customer_grain")))
+    orders = core("orders_3nf", td.orders_3nf, "orders_order_grain")
+    lines = core("order_lines_3nf", td.order_lines_3nf, "order_lines_order_grain")
+    customers = core("customers_3nf", td.customers_3nf, "orders_customer_grain")
     dim_customers = wh.write(product, "core", "dim_customers", td.dim_customers(customers))
     dim_status = wh.write(product, "core", "dim_order_status", td.dim_order_status(orders))
     star = td.fct_order_revenue_star(orders, lines, dim_customers, dim_status, as_of)
     fact = wh.write(product, "core", "fct_order_revenue_star", star)
-    wh.write(product, "access", "orders_complete", td.orders_complete(fact))
+    over = wh.name(product, "core", "fct_order_revenue_star")
+    wh.project(product, "access", "orders_complete", td.orders_complete(fact), over)
+    wh.project(product, "access", "orders_only", td.orders_only(fact), over)
     wh.write(product, "access", "orders_fulfilled", td.orders_fulfilled(fact))
-    wh.write(product, "access", "orders_only", td.orders_only(fact))
 
 
 def build_edp_depot_transactions(wh: Warehouse) -> None:
-    product = "edp_depot_transactions"
-    grain = wh.name("sdp_depot_transactions", "access", "depot_transactions_grain")
-    inbound = wh.view(product, "inbound", "in_depot_transactions_grain", grain)
-    transactions = wh.write(product, "core", "depot_transactions_3nf", td.depot_transactions_3nf(inbound))
-    wh.write(product, "access", "depot_transactions_only", td.depot_transactions_only(transactions))
+    product, grain = "edp_depot_transactions", "depot_transactions_grain"
+    inbound = _inbound(wh, product, "sdp_depot_transactions", grain)
+    over = wh.name(product, "inbound", f"in_{grain}")
+    rows = wh.project(product, "core", "depot_transactions_3nf", td.depot_transactions_3nf(inbound), over)
+    only, over = td.depot_transactions_only(rows), wh.name(product, "core", "depot_transactions_3nf")
+    wh.project(product, "access", "depot_transactions_only", only, over)
 
 
 def build_source(wh: Warehouse, scope: str, as_of: datetime, bands: Bands = Bands()) -> None:
@@ -131,32 +152,42 @@ def build_source(wh: Warehouse, scope: str, as_of: datetime, bands: Bands = Band
         "taxes": build_sdp_taxes,
         "depot_transactions": build_sdp_depot_transactions,
     }
-    for name in _scopes(scope):
-        builders[name](wh, as_of, bands)
+    _side_by_side(scope, lambda name: builders[name](wh, as_of, bands))
 
 
 def build_domain(wh: Warehouse, scope: str, as_of: datetime) -> None:
     """Domain product of one scope, or of all; the producer's tables are only read."""
-    for name in _scopes(scope):
-        if name == "orders":
-            build_edp_orders(wh, as_of)
-        elif name == "customers":
-            build_edp_customers(wh, as_of)
-        elif name == "taxes":
-            build_edp_taxes(wh)
-        else:
-            build_edp_depot_transactions(wh)
+    builders = {
+        "orders": lambda: build_edp_orders(wh, as_of),
+        "customers": lambda: build_edp_customers(wh, as_of),
+        "taxes": lambda: build_edp_taxes(wh),
+        "depot_transactions": lambda: build_edp_depot_transactions(wh),
+    }
+    _side_by_side(scope, lambda name: builders[name]())
 
 
 def run_all(wh: Warehouse, source: Operational, as_of: datetime, scope: str = "all", bands: Bands = Bands()) -> None:
     """Land, mirror and build a scope end to end, then run its declared checks."""
-    landed = landing.land(wh, landing.export_frames(source, scope), as_of)
-    landing.mirror_all(wh, landed, scope)
-    build_source(wh, scope, as_of, bands)
-    build_domain(wh, scope, as_of)
+    exported = landing.export_frames(source, scope)
+
+    def one(name: str) -> None:
+        tables = {t: exported[t] for t in landing.in_scope(name)}
+        landing.mirror_all(wh, landing.land(wh, tables, as_of), name)
+        build_source(wh, name, as_of, bands)
+        build_domain(wh, name, as_of)
+
+    _side_by_side(scope, one)
     quality.require(declared_checks(wh, scope))
 
 
+def _side_by_side(scope: str, build_one: Callable[[str], None]) -> None:
+    """Build the scopes at the same time: they share no tables, and small writes fill idle executors."""
+    scopes = _scopes(scope)
+    with ThreadPoolExecutor(max_workers=len(scopes)) as pool:
+        for done in [pool.submit(inheritable_thread_target(build_one), name) for name in scopes]:
+            done.result()
+
+
 def reload_sources(wh: Warehouse, source: Operational) -> DataFrame:
     """Replace the five operational tables and count them."""
     stored = {t: wh.write("operational", "source", t, df) for t, df in source.tables().items()}

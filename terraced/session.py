@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_SETTING = "spark.checkpoint.dir"
+_PARTITIONS_SETTING = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+_SCANNED_PER_PARTITION = 256 * 1024 * 1024
+_MOST_PARTITIONS = 65_536
 _local_folders: dict[str, str] = {}
 
 
@@ -27,6 +30,21 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, *read: DataFrame) -> int:
+    """Give shuffles enough partitions for what is read; returns the number in force.
+
+    Adaptive execution merges small shuffle partitions but never starts with more
+    than it was told to, and the default would put terabytes into one task. The
+    size comes from the planner's file statistics, so nothing is scanned.
+    """
+    scanned = sum(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in read)
+    needed = min(-(-scanned // _SCANNED_PER_PARTITION), _MOST_PARTITIONS)
+    now = int(spark.conf.get(_PARTITIONS_SETTING, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    if needed > now:
+        spark.conf.set(_PARTITIONS_SETTING, str(needed))
+    return max(needed, now)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 

@@ -20,12 +20,14 @@ class Warehouse:
     """Where one environment keeps its products.
 
     ``location`` is a folder all executors share; without it the catalog's own
-    warehouse folder is used.
+    warehouse folder is used. ``lean`` keeps relations that only select columns of
+    a stored one as views, which saves a copy of the table per layer.
     """
 
     spark: SparkSession
     prefix: str = ""
     location: str | None = None
+    lean: bool = False
 
     def namespace(self, product: str, layer: str) -> str:
         return f"{self.prefix}{product}__{layer}"
@@ -46,6 +48,8 @@ class Warehouse:
         """Materialise ``df`` as a table and continue from the stored copy."""
         self.ensure(self.namespace(product, layer))
         name = self.name(product, layer, table)
+        if self.spark.catalog.tableExists(name) and not self._is_stored(name):
+            self.spark.sql(f"DROP VIEW {name}")
         df.write.mode("overwrite").format("parquet").saveAsTable(name)
         return self.spark.table(name)
 
@@ -56,6 +60,21 @@ class Warehouse:
         self.spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {over}")
         return self.spark.table(name)
 
+    def project(self, product: str, layer: str, table: str, df: DataFrame, over: str) -> DataFrame:
+        """Materialise ``df``, a selection of columns of the relation ``over``: a table, or a view when lean."""
+        if not self.lean:
+            return self.write(product, layer, table, df)
+        self.ensure(self.namespace(product, layer))
+        name = self.name(product, layer, table)
+        if self._is_stored(name):
+            self.spark.sql(f"DROP TABLE {name}")
+        self.spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT {', '.join(df.columns)} FROM {over}")
+        return self.spark.table(name)
+
+    def _is_stored(self, name: str) -> bool:
+        catalog = self.spark.catalog
+        return catalog.tableExists(name) and catalog.getTable(name).tableType != "VIEW"
+
     def table(self, product: str, layer: str, table: str) -> DataFrame:
         return self.spark.table(self.name(product, layer, table))
 

@@ -14,7 +14,7 @@ def _line_value() -> Column:
     return F.col("quantity") * F.col("unit_price")
 
 
-def _per_order(order_items: DataFrame) -> DataFrame:
+def order_totals(order_items: DataFrame) -> DataFrame:
     """Items reduced to one row per order before any join; a huge order is pre-aggregated per task."""
     return order_items.groupBy("order_id").agg(
         F.count("item_id").alias("item_count"), F.sum(_line_value()).alias("order_value")
@@ -26,11 +26,17 @@ def line_totals(order_items: DataFrame) -> DataFrame:
     return order_items.select("order_id", F.round(_line_value(), 2).cast(MONEY).alias("line_total"))
 
 
-def raw_orders_export(orders: DataFrame, customers: DataFrame, order_items: DataFrame) -> DataFrame:
-    """Orders that have items, with their item count and total."""
+def raw_orders_export(
+    orders: DataFrame, customers: DataFrame, order_items: DataFrame, totals: DataFrame | None = None
+) -> DataFrame:
+    """Orders that have items, with their item count and total.
+
+    ``totals`` may hand over ``order_totals`` already stored for another export.
+    """
     codes = customers.select("customer_id", "customer_code")
+    totals = order_totals(order_items) if totals is None else totals
     return (
-        orders.join(_per_order(order_items), "order_id")
+        orders.join(totals, "order_id")
         .join(codes, "customer_id")
         .select(
             "order_id",
@@ -57,14 +63,17 @@ def raw_order_items_export(order_items: DataFrame, orders: DataFrame) -> DataFra
     )
 
 
-def raw_customers_export(customers: DataFrame, orders: DataFrame, order_items: DataFrame) -> DataFrame:
+def raw_customers_export(
+    customers: DataFrame, orders: DataFrame, order_items: DataFrame, totals: DataFrame | None = None
+) -> DataFrame:
     """Every customer with the number, value and time range of their orders.
 
     Items are summed per order and orders per customer, so no join multiplies
     rows and no distinct count is needed. An order without items still counts.
     """
+    totals = order_totals(order_items) if totals is None else totals
     per_customer = (
-        orders.join(_per_order(order_items).select("order_id", "order_value"), "order_id", "left")
+        orders.join(totals.select("order_id", "order_value"), "order_id", "left")
         .groupBy("customer_id")
         .agg(
             F.count("order_id").alias("order_count"),

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from terraced.functions.columns import instant, iso_text, load_batch
 from terraced.schemas import LANDED, MIRROR
+from terraced.session import pin
 from terraced.sources import catalog, exports
 from terraced.sources.catalog import Warehouse
 from terraced.sources.seed import Operational
@@ -18,12 +19,12 @@ from terraced.sources.seed import Operational
 _PLACE = "landing"
 
 
-def export_of(source: Operational, table: str) -> DataFrame:
+def export_of(source: Operational, table: str, totals: DataFrame | None = None) -> DataFrame:
     """The export behind a landed table, lazily."""
     if table == "raw_customers":
-        return exports.raw_customers_export(source.customers, source.orders, source.order_items)
+        return exports.raw_customers_export(source.customers, source.orders, source.order_items, totals)
     if table == "raw_orders":
-        return exports.raw_orders_export(source.orders, source.customers, source.order_items)
+        return exports.raw_orders_export(source.orders, source.customers, source.order_items, totals)
     if table == "raw_order_items":
         return exports.raw_order_items_export(source.order_items, source.orders)
     if table == "raw_taxes":
@@ -34,8 +35,15 @@ def export_of(source: Operational, table: str) -> DataFrame:
 
 
 def export_frames(source: Operational, scope: str = "all") -> dict[str, DataFrame]:
-    """Landed table name -> its export, for a scope."""
-    return {table: export_of(source, table) for table in in_scope(scope)}
+    """Landed table name -> its export, for a scope.
+
+    The order totals behind two of the exports are stored once when both are asked
+    for, so the items are scanned and shuffled for them once.
+    """
+    tables = in_scope(scope)
+    both = {"raw_orders", "raw_customers"} <= set(tables)
+    totals = pin(exports.order_totals(source.order_items), "order-totals") if both else None
+    return {table: export_of(source, table, totals) for table in tables}
 
 
 def stamped(table: str, export: DataFrame, as_of: datetime) -> DataFrame:

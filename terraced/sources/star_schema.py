@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terraced.functions.columns import padded
 from terraced.schemas import SOURCE
+from terraced.session import size_shuffles
 from terraced.sources.seed import Operational
 
 # Order state letters of the star schema -> order statuses.
@@ -129,9 +130,13 @@ class StarSchema(Operational):
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self._spark = spark
         self._folder = folder
+        self._read: dict[str, DataFrame] = {}
 
     def _table(self, name: str) -> DataFrame:
-        return read_table(self._spark, self._folder, name)
+        if name not in self._read:
+            self._read[name] = read_table(self._spark, self._folder, name)
+            size_shuffles(self._spark, *self._read.values())
+        return self._read[name]
 
     @cached_property
     def customers(self) -> DataFrame:

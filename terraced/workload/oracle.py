@@ -578,7 +578,7 @@ def oracle_sql() -> dict[str, str]:
     sql["build_customer_domain"] = _counts(_CUSTOMER_RELATIONS)
     sql["build_transaction_domain"] = _counts(_TRANSACTION_RELATIONS)
     every = _SDP_RELATIONS + _CUSTOMER_RELATIONS + _TRANSACTION_RELATIONS
-    sql["build_all"] = _counts([r for r in every if r[0].endswith(_ACCESS) and ".in_" not in r[0]])
+    sql["build_all"] = sql["build_all_lean"] = _counts([r for r in every if r[0].endswith(_ACCESS) and ".in_" not in r[0]])
     sql["environment_layout"] = f"""{_ALL} SELECT true AS in_place, count(*) AS row_count, 'dev' AS environment FROM taxes_clean
         UNION ALL SELECT true, count(*), 'prd' FROM taxes_clean"""
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -377,7 +378,7 @@ def sandbox_namespaces(spark: SparkSession, folder: str) -> DataFrame:
 
 def _faulty_orders(r: Lineage) -> DataFrame:
     """Cleaned orders with some totals lost and some orders delivered twice."""
-    orders = r.orders_clean
+    orders = r.stored_orders
     lost = orders.withColumn("order_total", F.when(~F.col("order_id").endswith("7"), F.col("order_total")))
     return lost.unionByName(lost.filter(F.col("order_id").endswith("50")))
 
@@ -525,8 +526,7 @@ def _built(spark: SparkSession, folder: str, *scopes: str, domains: bool = True)
     wh = own_warehouse(spark)
     source = read_operational(spark, folder)
     for scope in scopes:
-        landed = landing.land(wh, landing.export_frames(source, scope), AS_OF)
-        landing.mirror_all(wh, landed, scope)
+        landing.mirror_all(wh, landing.land(wh, landing.export_frames(source, scope), AS_OF), scope)
         build.build_source(wh, scope, AS_OF, BANDS)
         if domains:
             build.build_domain(wh, scope, AS_OF)
@@ -568,6 +568,14 @@ def build_all(spark: SparkSession, folder: str) -> DataFrame:
     return _relation_counts(wh, list(schemas.PRODUCTS), ("access",))
 
 
+@_query
+def build_all_lean(spark: SparkSession, folder: str) -> DataFrame:
+    """The same build with pure column selections kept as views."""
+    wh = replace(own_warehouse(spark), lean=True)
+    build.run_all(wh, read_operational(spark, folder), AS_OF, "all", BANDS)
+    return _relation_counts(wh, list(schemas.PRODUCTS), ("access",))
+
+
 @_query
 def environment_layout(spark: SparkSession, folder: str) -> DataFrame:
     """The same product in two environments, each under its own landing path."""
