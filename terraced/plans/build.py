@@ -127,7 +127,7 @@ def build_edp_orders(wh: Warehouse, as_of: datetime) -> None:
     customers = core("customers_3nf", td.customers_3nf, "orders_customer_grain")
     dim_customers = wh.write(product, "core", "dim_customers", td.dim_customers(customers))
     dim_status = wh.write(product, "core", "dim_order_status", td.dim_order_status(orders))
-    star = td.fct_order_revenue_star(orders, lines, dim_customers, dim_status, as_of)
+    star = td.fct_order_revenue_star(orders, td.items_per_order(lines), dim_customers, dim_status, as_of)
     fact = wh.write(product, "core", "fct_order_revenue_star", star)
     over = wh.name(product, "core", "fct_order_revenue_star")
     wh.project(product, "access", "orders_complete", td.orders_complete(fact), over)

@@ -48,17 +48,20 @@ def dim_order_status(orders: DataFrame) -> DataFrame:
     return counted.withColumn("status_sk", surrogate_key(F.col("order_status")))
 
 
+def items_per_order(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("order_id").agg(F.count("*").alias("item_rows"), F.sum("line_total").alias("item_revenue"))
+
+
 def fct_order_revenue_star(
-    orders: DataFrame, lines: DataFrame, customers: DataFrame, statuses: DataFrame, as_of: datetime
+    orders: DataFrame, items: DataFrame, customers: DataFrame, statuses: DataFrame, as_of: datetime
 ) -> DataFrame:
     """Orders with their item rows and revenue and the keys of customer and status.
 
-    Lines are reduced to one row per order before the join. The dimension joins
+    ``items`` are the lines reduced to one row per order. The dimension joins
     carry no hint: the status table is broadcast because its stored size is
     small, the customer table is shuffled when its size says so, and adaptive
     execution splits a customer that holds many orders.
     """
-    items = lines.groupBy("order_id").agg(F.count("*").alias("item_rows"), F.sum("line_total").alias("item_revenue"))
     return (
         orders.join(items, "order_id", "left")
         .join(customers.select("customer_id", "customer_sk"), "customer_id", "left")

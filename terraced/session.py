@@ -30,14 +30,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def size_shuffles(spark: SparkSession, *read: DataFrame) -> int:
-    """Give shuffles enough partitions for what is read; returns the number in force.
+def stored_bytes(df: DataFrame) -> int:
+    """The planner's size of what ``df`` reads: file sizes for tables, nothing is scanned."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def size_shuffles(spark: SparkSession, scanned: int) -> int:
+    """Give shuffles enough partitions for ``scanned`` bytes; returns the number in force.
 
     Adaptive execution merges small shuffle partitions but never starts with more
-    than it was told to, and the default would put terabytes into one task. The
-    size comes from the planner's file statistics, so nothing is scanned.
+    than it was told to, and the default would put terabytes into one task.
     """
-    scanned = sum(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in read)
     needed = min(-(-scanned // _SCANNED_PER_PARTITION), _MOST_PARTITIONS)
     now = int(spark.conf.get(_PARTITIONS_SETTING, None) or spark.conf.get("spark.sql.shuffle.partitions"))
     if needed > now:

@@ -21,11 +21,6 @@ def order_totals(order_items: DataFrame) -> DataFrame:
     )
 
 
-def line_totals(order_items: DataFrame) -> DataFrame:
-    """Order and price of every item."""
-    return order_items.select("order_id", F.round(_line_value(), 2).cast(MONEY).alias("line_total"))
-
-
 def raw_orders_export(
     orders: DataFrame, customers: DataFrame, order_items: DataFrame, totals: DataFrame | None = None
 ) -> DataFrame:

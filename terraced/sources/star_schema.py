@@ -6,18 +6,27 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from terraced.functions.columns import padded
 from terraced.schemas import SOURCE
-from terraced.session import size_shuffles
+from terraced.session import size_shuffles, stored_bytes
 from terraced.sources.seed import Operational
 
 # Order state letters of the star schema -> order statuses.
 STATUS_OF = {"O": "created", "P": "paid", "F": "shipped"}
 
 
+_schemas: dict[tuple[str, str], StructType] = {}
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    """A table of the folder. Its schema is taken from the files once per application."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    known = (spark.sparkContext.applicationId, path)
+    if known not in _schemas:
+        _schemas[known] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[known]).parquet(path)
 
 
 def _shaped(df: DataFrame, table: str) -> DataFrame:
@@ -131,11 +140,13 @@ class StarSchema(Operational):
         self._spark = spark
         self._folder = folder
         self._read: dict[str, DataFrame] = {}
+        self._scanned = 0
 
     def _table(self, name: str) -> DataFrame:
         if name not in self._read:
             self._read[name] = read_table(self._spark, self._folder, name)
-            size_shuffles(self._spark, *self._read.values())
+            self._scanned += stored_bytes(self._read[name])
+            size_shuffles(self._spark, self._scanned)
         return self._read[name]
 
     @cached_property

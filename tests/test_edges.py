@@ -76,7 +76,7 @@ def test_fact_fills_orders_without_items(spark, as_of):
     orders = sp.orders_clean(raw_orders(spark, [("O1", "C1", "paid", D(1), D(10), "2026-03-07T10:00:00", "b"), ("O2", None, None, D(0), None, None, "b")]), as_of).drop("cleaned_at")
     lines = spark.createDataFrame([("O1", D("4.00")), ("O1", D("6.00"))], "order_id string, line_total decimal(38,2)")
     customers = td.dim_customers(sp.customer_order_summary(orders))
-    fact = td.fct_order_revenue_star(orders, lines, customers, td.dim_order_status(orders), as_of)
+    fact = td.fct_order_revenue_star(orders, td.items_per_order(lines), customers, td.dim_order_status(orders), as_of)
     rows = {r.order_id: r for r in fact.collect()}
     assert len(rows) == 2
     assert (rows["O1"].item_rows, rows["O1"].item_revenue) == (2, D("10.00"))
