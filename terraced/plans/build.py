@@ -152,7 +152,7 @@ def build_source(wh: Warehouse, scope: str, as_of: datetime, bands: Bands = Band
         "taxes": build_sdp_taxes,
         "depot_transactions": build_sdp_depot_transactions,
     }
-    _side_by_side(scope, lambda name: builders[name](wh, as_of, bands))
+    _side_by_side(wh, scope, lambda name: builders[name](wh, as_of, bands))
 
 
 def build_domain(wh: Warehouse, scope: str, as_of: datetime) -> None:
@@ -163,7 +163,7 @@ def build_domain(wh: Warehouse, scope: str, as_of: datetime) -> None:
         "taxes": lambda: build_edp_taxes(wh),
         "depot_transactions": lambda: build_edp_depot_transactions(wh),
     }
-    _side_by_side(scope, lambda name: builders[name]())
+    _side_by_side(wh, scope, lambda name: builders[name]())
 
 
 def run_all(wh: Warehouse, source: Operational, as_of: datetime, scope: str = "all", bands: Bands = Bands()) -> None:
@@ -176,15 +176,18 @@ def run_all(wh: Warehouse, source: Operational, as_of: datetime, scope: str = "a
         build_source(wh, name, as_of, bands)
         build_domain(wh, name, as_of)
 
-    _side_by_side(scope, one)
+    _side_by_side(wh, scope, one)
     quality.require(declared_checks(wh, scope))
 
 
-def _side_by_side(scope: str, build_one: Callable[[str], None]) -> None:
+def _side_by_side(wh: Warehouse, scope: str, build_one: Callable[[str], None]) -> None:
     """Build the scopes at the same time: they share no tables, and small writes fill idle executors."""
     scopes = _scopes(scope)
+    if len(scopes) == 1:
+        return build_one(scopes[0])
     with ThreadPoolExecutor(max_workers=len(scopes)) as pool:
-        for done in [pool.submit(inheritable_thread_target(build_one), name) for name in scopes]:
+        run = inheritable_thread_target(wh.spark)(build_one)
+        for done in [pool.submit(run, name) for name in scopes]:
             done.result()
 
 

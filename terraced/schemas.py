@@ -28,6 +28,11 @@ def _struct(columns: str) -> T.StructType:
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
+def typed(schema: T.StructType) -> list[str]:
+    """SQL expressions that bring columns to the types of ``schema``."""
+    return [f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema]
+
+
 SOURCE = {
     "customers": _struct(
         "customer_id bigint, customer_code string, customer_name string, region string, segment string, created_at timestamp"

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terraced.functions.columns import instant, iso_text, load_batch
-from terraced.schemas import LANDED, MIRROR
+from terraced.schemas import LANDED, MIRROR, typed
 from terraced.session import pin
 from terraced.sources import catalog, exports
 from terraced.sources.catalog import Warehouse
@@ -79,16 +79,11 @@ def land(
     return landed
 
 
-def _mirrored(field: T.StructField, have: T.StructType) -> Column:
-    value = F.col(field.name)
-    if isinstance(have[field.name].dataType, T.TimestampType):
-        value = iso_text(value)
-    return value.cast(field.dataType).alias(field.name)
-
-
 def mirror(landed: DataFrame, mirror_table: str) -> DataFrame:
     """Landed rows in the declared raw types and column order, moments as text."""
-    return landed.select(*[_mirrored(field, landed.schema) for field in MIRROR[mirror_table]])
+    moments = [f.name for f in landed.schema if isinstance(f.dataType, T.TimestampType)]
+    as_text = landed.withColumns({name: iso_text(F.col(name)) for name in moments})
+    return as_text.selectExpr(*typed(MIRROR[mirror_table]))
 
 
 def mirror_all(warehouse: Warehouse, landed: Mapping[str, DataFrame], scope: str = "all") -> dict[str, DataFrame]:

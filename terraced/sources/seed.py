@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraced.functions.columns import instant, padded
-from terraced.schemas import SOURCE
+from terraced.schemas import SOURCE, typed
 
 # Fixed values of the sample.
 REGIONS = ("EMEA", "AMER", "APAC")
@@ -47,7 +47,7 @@ def _tenths(value: Column) -> Column:
 
 
 def _shaped(df: DataFrame, table: str) -> DataFrame:
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SOURCE[table]])
+    return df.selectExpr(*typed(SOURCE[table]))
 
 
 def seed_customers(source: DataFrame, as_of: datetime) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from terraced.functions.columns import padded
-from terraced.schemas import SOURCE
+from terraced.schemas import SOURCE, typed
 from terraced.session import size_shuffles, stored_bytes
 from terraced.sources.seed import Operational
 
@@ -30,7 +30,7 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _shaped(df: DataFrame, table: str) -> DataFrame:
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SOURCE[table]])
+    return df.selectExpr(*typed(SOURCE[table]))
 
 
 def customers(customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,17 +66,17 @@ def _relation(name: str, of: Callable[[Lineage], DataFrame]) -> None:
 def comparable(df: DataFrame) -> DataFrame:
     """Plain result types: decimals as doubles, all integers as bigint, moments without zone."""
 
-    def plain(field: T.StructField) -> Column:
-        value = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, T.DecimalType):
-            value = value.cast("double")
-        elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
-            value = value.cast("bigint")
-        elif isinstance(field.dataType, T.TimestampType):
-            value = value.cast("timestamp_ntz")
-        return value.alias(field.name)
-
-    return df.select(*[plain(f) for f in df.schema.fields])
+    def plain(field: T.StructField) -> str:
+        kind = field.dataType
+        if isinstance(kind, T.DecimalType):
+            return f"CAST(`{field.name}` AS double) AS `{field.name}`"
+        if isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType)):
+            return f"CAST(`{field.name}` AS bigint) AS `{field.name}`"
+        if isinstance(kind, T.TimestampType):
+            return f"CAST(`{field.name}` AS timestamp_ntz) AS `{field.name}`"
+        return f"`{field.name}`"
+
+    return df.selectExpr(*[plain(f) for f in df.schema.fields])
 
 
 def lineage(spark: SparkSession, folder: str) -> Lineage:
