@@ -48,7 +48,8 @@ LIFT = 25.0
 LEAST_SHARE = 0.01
 LEAST_COUNT = 6
 STEMS = (4, 5, 6, 7, 8)
-BAR = 2.0
+BAR = 3.0
+SHADOW = 0.7
 THREAT_WEIGHT = 3.5
 
 THREATS = frozenset("kill hurt destroy beat murder stab shoot töten tuer matar".split())
@@ -194,8 +195,18 @@ def learn(docs: DataFrame, labels: DataFrame, learns: Column, *, label: str = "t
     odds = ((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("clean") + 0.5) / (clean + 1))
     sums = counts.groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     least = max(LEAST_COUNT, math.ceil(LEAST_SHARE * toxic))
-    chosen = sums.filter((F.col("toxic") >= least) & (odds >= LIFT)).select("stem", F.log(odds).alias("weight"))
-    return Grammar({r["stem"]: r["weight"] for r in chosen.collect()})  # bounded by the sample
+    chosen = sums.filter((F.col("toxic") >= least) & (odds >= LIFT)).select("stem", F.log(odds).alias("weight"), "toxic")
+    return Grammar(_without_shadows({r["stem"]: (r["weight"], r["toxic"]) for r in chosen.collect()}))  # bounded by the sample
+
+
+def _without_shadows(found: dict[str, tuple[float, int]]) -> dict[str, float]:
+    """Drops beginnings that one insult word explains, as they would catch unrelated longer words."""
+    most = Counter()
+    for stem, (_, toxic) in found.items():
+        if stem[0] == "=":
+            for n in STEMS:
+                most[stem[1 : n + 1]] = max(most[stem[1 : n + 1]], toxic)
+    return {stem: weight for stem, (weight, toxic) in found.items() if stem[0] == "=" or most[stem] < SHADOW * toxic}
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
