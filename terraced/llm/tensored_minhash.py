@@ -222,7 +222,9 @@ def _rare_pairs(tables: DataFrame, state: DataFrame, sets: DataFrame, percent: i
 
     A set of n shingles shares at least ``ceil(percent * n / 100)`` of them with a
     similar set, so of its ``n - that + 1`` rarest ones at least one is shared, and
-    that one is also among the rarest of the other set, as both use one order.
+    that one is also among the rarest of the other set, as both use one order. The
+    first shared one has all others behind it in both sets, so their places bound
+    the intersection; a shingle whose places leave too few is not that one.
     """
     rest = _spanning(tables, state).select("node", "root").distinct()
     held = pin(sets.join(rest, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "rest")
@@ -232,10 +234,12 @@ def _rare_pairs(tables: DataFrame, state: DataFrame, sets: DataFrame, percent: i
     by_rarity = W.partitionBy("node", "n").orderBy("df", "shingle")
     needed = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
     prefix = ranked.withColumn("_at", F.row_number().over(by_rarity)).filter((F.col("_at") <= needed) & (F.col("df") > 1))
-    prefix = pin(prefix.select("shingle", "node", "root", "n"), "prefix")
+    prefix = pin(prefix.select("shingle", "node", "root", "n", F.col("_at").alias("at")), "prefix")
     apart = prefix.groupBy("shingle").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low != _high")
     prefix = prefix.join(apart.select("shingle"), "shingle", "left_semi")
-    other = prefix.select("shingle", F.col("node").alias("b"), F.col("root").alias("_root"), F.col("n").alias("_n"))
+    other = prefix.select("shingle", F.col("node").alias("b"), F.col("root").alias("_root"), F.col("n").alias("_n"), F.col("at").alias("_at"))
     fits = (F.col("node") < F.col("b")) & (F.col("root") != F.col("_root"))
     fits &= (100 * F.col("n") >= percent * F.col("_n")) & (100 * F.col("_n") >= percent * F.col("n"))
+    most = 1 + F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at"))
+    fits &= (100 + percent) * most >= percent * (F.col("n") + F.col("_n"))
     return prefix.join(other, "shingle").filter(fits).select(F.col("node").alias("a"), "b").distinct()
