@@ -30,8 +30,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The document with the smallest id of each near-duplicate group."""
     configure(spark)
     found = tensored_minhash.near_duplicates(docs)
-    kept = pin(found.filter("kept").select(F.col("doc_id").alias("_kept")), "kept")
-    stays = docs.join(kept.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = pin(found.filter("kept").select(F.col("doc_id").alias("_kept"), F.col("_digest").alias("_text")), "kept")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_text"))
+    stays = docs.join(kept.distinct(), same, "left_semi")
     if not kept.groupBy("_kept").count().filter("count > 1").isEmpty():  # rows with one id are copies too
         named = stays.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
         stays = named.unionByName(stays.filter("doc_id IS NULL").dropDuplicates(["text"]))

@@ -110,7 +110,7 @@ def number_in(df: DataFrame, group: str, spread: str, order: list[str], name: st
 def in_chunks(frames: Iterator[pd.DataFrame], column: str, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
     """Cut batches so that each holds about ``chars`` characters of ``column``, or one long row."""
     for frame in frames:
-        sizes = frame[column].str.len().fillna(0).to_numpy()
+        sizes = np.array([len(text) if isinstance(text, str) else 0 for text in frame[column]], dtype=np.int64)
         part = (np.cumsum(sizes) // chars).astype(np.int64)
         borders = np.flatnonzero(np.diff(part)) + 1
         for start, end in zip([0, *borders], [*borders, len(frame)]):

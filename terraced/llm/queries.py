@@ -47,7 +47,8 @@ def op3_neighbour_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_tensored_minhash(spark: SparkSession, folder: str) -> DataFrame:
-    return tensored_minhash.near_duplicates(_read(spark, folder, "documents"))
+    found = tensored_minhash.near_duplicates(_read(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_url_rules(spark: SparkSession, folder: str) -> DataFrame:

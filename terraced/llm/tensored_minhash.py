@@ -90,11 +90,11 @@ def _sketched(side: int, width: int):
         with np.errstate(over="ignore"):
             for frame in in_chunks(frames, "text"):
                 rows = []
-                for doc_id, text in zip(frame["doc_id"], frame["text"]):
+                for doc_id, digest, text in zip(frame["doc_id"], frame["_digest"], frame["text"]):
                     found = shingle_set(text)
                     keys = _sketches(found, side, width).astype(np.int64) if len(found) else None
-                    rows.append((None if pd.isna(doc_id) else int(doc_id), len(found), _digest(found, 1), _digest(found, 2), keys))
-                out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "h1", "h2", "keys"])
+                    rows.append((None if pd.isna(doc_id) else int(doc_id), digest, len(found), _digest(found, 1), _digest(found, 2), keys))
+                out = pd.DataFrame(rows, columns=["doc_id", "_digest", "n_shingles", "h1", "h2", "keys"])
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
 
@@ -108,9 +108,13 @@ def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def near_duplicates(docs: DataFrame, *, side: int = SIDE, width: int = WIDTH, percent: int = PERCENT, rounds: int = PIVOT_ROUNDS) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for every row of ``docs``."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.mapInPandas(_sketched(side, width), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>")
+    """``doc_id``, ``n_shingles``, ``component_id``, ``_digest``, ``kept`` for every row of ``docs``.
+
+    ``_digest`` is the hash of the text, to find a row again with its id.
+    """
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_digest"), text.alias("text"))
+    rows = texts.mapInPandas(_sketched(side, width), "doc_id long, _digest long, n_shingles long, h1 long, h2 long, keys array<long>")
     substitute = F.shiftrightunsigned("h1", 2) + F.lit(_SUBSTITUTE)
     rows = pin(rows.withColumn("node", F.coalesce("doc_id", substitute)), "sketches")
 
@@ -126,7 +130,7 @@ def near_duplicates(docs: DataFrame, *, side: int = SIDE, width: int = WIDTH, pe
 
     found = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     component = F.when(F.col("root") < F.lit(_SUBSTITUTE), F.col("root"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), "_digest").withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
 

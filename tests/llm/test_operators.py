@@ -1,0 +1,424 @@
+"""Small tables with odd rows against plain Python, one operator at a time."""
+
+from __future__ import annotations
+
+import base64
+import gzip
+import hashlib
+import math
+import re
+import zlib
+from collections import defaultdict
+from urllib.parse import quote
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from terraced.llm import (
+    collision_projections,
+    length_buckets,
+    neighbour_quality,
+    pareto_mixing,
+    perplexity_rules,
+    secret_layers,
+    splitter_shards,
+    tensored_minhash,
+    toxicity_grammar,
+    url_rules,
+)
+from terraced.llm.common import crc_of_id
+
+FOLDER = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string, score string, node string"
+
+
+def words_of(text):
+    return re.findall("[^\\x20\\x09-\\x0D]+", text or "")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    near = base.replace("w59", "other")
+    texts = [base, base, near, base.upper(), None, "", " \n\t", "one two three", "one  two\nthree", "long " * 5000 + base, base, "a b \U0001f600 c"]
+    rows = [(i, t, None if i % 5 == 0 else "en", [None, "b", "a"][i % 3], None, "x", "y", "z", "n") for i, t in enumerate(texts)]
+    rows += [rows[1], rows[1], (None, base, None, None, None, "x", "y", "z", "n"), (None, "only nameless text of six words", None, None, None, "x", "y", "z", "n")]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{FOLDER}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.read.parquet(f"{FOLDER}/labels.parquet")
+
+
+def near_dup_truth(rows):
+    sets = []
+    for _, text in rows:
+        w = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            same_id = rows[i][0] is not None and rows[i][0] == rows[j][0]
+            if same_id or sets[i] and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    ids = defaultdict(list)
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            ids[find(i)].append(doc_id)
+    return sorted(
+        ((d, len(s), min(ids[find(i)], default=None)) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=str
+    )
+
+
+def test_near_duplicates_equal_brute_force(odd, docs, empty):
+    for table in (odd, docs):
+        rows = [(r["doc_id"], r["text"]) for r in table.collect()]
+        got = tensored_minhash.near_duplicates(table).collect()
+        assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == near_dup_truth(rows)
+        assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+    assert tensored_minhash.near_duplicates(empty).count() == 0
+
+
+def test_links_hidden_behind_a_shared_passage_are_found(spark):
+    """Many texts share half of their words; the few that are near copies of each other must still link."""
+    rng = np.random.default_rng(3)
+    passage = " ".join(f"p{i}" for i in range(100))
+    own = [" ".join(f"d{k}x{i}" for i in rng.permutation(70)) for k in range(60)]
+    texts = [passage + " " + o for o in own] + [passage + " " + own[k][:-12] + " end" for k in (41, 52)]
+    rows = list(enumerate(texts))
+    got = tensored_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == near_dup_truth(rows)
+
+
+def test_mix(odd, docs, empty):
+    for table in (odd, docs):
+        rows = pareto_mixing.mix(table).collect()
+        again = pareto_mixing.mix(table.repartition(5)).collect()
+        assert sorted(map(str, rows)) == sorted(map(str, again))
+        truth = defaultdict(int)
+        for r in table.collect():
+            truth[r["source"]] += len(words_of(r["text"]))
+        order = sorted((s for s in truth if s is not None), key=lambda s: s.encode()) + [None] * (None in truth)
+        weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+        left, target, full = 1.5 * sum(truth.values()), {}, set()
+        while True:
+            share = (left - sum(2 * truth[s] for s in full)) / (sum(weight[s] for s in weight if s not in full) or 1)
+            over = {s for s in weight if s not in full and share * weight[s] > 2 * truth[s]}
+            if not over:
+                break
+            full |= over
+        target = {s: 2.0 * truth[s] if s in full else share * weight[s] for s in weight}
+        taken = defaultdict(int)
+        for r in rows:
+            assert r["source_size"] == truth[r["source"]] and math.isclose(r["target"], target[r["source"]], rel_tol=1e-9, abs_tol=1e-6)
+            assert r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 2
+            taken[r["source"]] += r["taken"]
+        sizes = defaultdict(list)
+        for r in rows:
+            sizes[r["source"]].append(r["size"])
+        for s in truth:
+            assert abs(taken[s] - target[s]) <= max(sizes[s]) / 2 + 1
+    assert pareto_mixing.mix(empty).count() == 0
+
+
+def test_mix_includes_in_proportion_to_size(spark):
+    """Over many seeds a document is in the sample about as often as c times its size says."""
+    rows = [(i, "w " * (5 + 5 * (i % 4)), "s") for i in range(80)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    times = np.zeros(4)
+    for seed in range(6):
+        for r in pareto_mixing.mix(table, share=0.4, seed=seed).collect():
+            times[r["doc_id"] % 4] += r["copies"]
+    assert times[3] > times[1] > times[0] and times.sum() > 0
+
+
+def test_shards(odd, docs, empty):
+    for table, shards in ((odd, 3), (docs, 24)):
+        rows = splitter_shards.shard_documents(table, shards=shards).collect()
+        truth = sorted(((r["doc_id"], len((r["text"] or "").encode()) + 8, zlib.crc32((r["text"] or "").encode())) for r in table.collect()), key=str)
+        assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in rows), key=str) == truth
+        held, slots = defaultdict(int), defaultdict(list)
+        for r in rows:
+            held[r["shard"]] += r["size"]
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        assert all(0 <= s < shards for s in held)
+        share, largest = sum(held.values()) / shards, max(r["size"] for r in rows)
+        assert max(held.values()) <= share + 1.05 * largest
+    assert splitter_shards.shard_documents(empty).count() == 0
+
+
+def test_one_text_in_most_rows_is_spread_over_shards(spark):
+    rows = [(i, "the same text" if i % 3 else f"text {i}") for i in range(3000)]
+    got = splitter_shards.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=8).groupBy("shard").sum("size").collect()
+    held = [r[1] for r in got]
+    assert len(held) == 8 and max(held) < 1.05 * sum(held) / 8
+
+
+def test_best_borders_equal_brute_force():
+    from itertools import combinations
+
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        lengths, counts = np.sort(rng.choice(40, 8, replace=False)) + 1, rng.integers(1, 9, 8)
+        cost = lambda b: sum(int(c) * min(x for x in b if x >= v) for v, c in zip(lengths, counts))
+        best = min(cost([*c, lengths[-1]]) for c in combinations(lengths[:-1], 2))
+        assert cost(length_buckets.best_borders(lengths, counts, 3)) == best
+
+
+def test_pack(odd, docs, empty):
+    for table in (odd, docs):
+        rows = length_buckets.pack(table, buckets=5, budget=4096).collect()
+        assert sorted(((r["doc_id"], r["size"]) for r in rows), key=str) == sorted(((r["doc_id"], len(words_of(r["text"]))) for r in table.collect()), key=str)
+        batches = defaultdict(list)
+        for r in rows:
+            assert r["padding"] == r["bucket"] - r["size"] >= 0
+            batches[r["bucket"], r["batch"]].append(r["place"])
+        assert len({b for b, _ in batches}) <= 5
+        for (bucket, _), places in batches.items():
+            assert sorted(places) == list(range(len(places)))
+            assert len(places) == 1 or len(places) * bucket <= 4096
+    assert length_buckets.pack(empty).count() == 0
+
+
+def test_secrets_base_equals_plain_regexes(odd, docs, empty):
+    for table in (odd, docs):
+        got = {(r["doc_id"], r["base_sha256"], r["n_assign"], r["n_access"], r["n_hex"]) for r in secret_layers.secrets(table).collect()}
+        truth = set()
+        for r in table.collect():
+            text, spans = r["text"] or "", []
+            for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+                spans += [(m.start(), 0, m.end())] * (len(m[2]) >= 6)
+            for kind, pattern, least in ((1, "AKIA[A-Z0-9]+", 20), (2, "[0-9a-f]+", 24)):
+                spans += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text) if len(m[0]) >= least]
+            names = ("assign", "access", "hex")
+            digest = hashlib.sha256(",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(spans)).encode()).hexdigest()
+            truth.add((r["doc_id"], digest, *(sum(k == i for _, k, _ in spans) for i in range(3))))
+        assert got == truth
+    assert secret_layers.secrets(empty).count() == 0
+
+
+SECRET = "password=hunter2hunter2"
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        quote(SECRET, safe=""),
+        "".join(f"%{b:02X}" for b in SECRET.encode()),
+        "".join(f"\\u{ord(c):04x}" for c in SECRET),
+        base64.b64encode(SECRET.encode()).decode(),
+        base64.urlsafe_b64encode(SECRET.encode()).decode(),
+        base64.b64encode(gzip.compress(SECRET.encode())).decode(),
+        base64.b64encode(zlib.compress(base64.b64encode(SECRET.encode()))).decode(),
+        base64.b64encode(quote(base64.b64encode(SECRET.encode()).decode() + " %41", safe="").encode()).decode(),
+    ],
+)
+def test_nested_secrets_are_found_in_place(hidden):
+    text = "é before " + hidden + " after 50% off"
+    base, every = secret_layers.findings(text)
+    assert any(kind == 0 and 9 <= start and end <= 9 + len(hidden) for start, kind, end in every)
+    assert set(base) <= set(every)
+    masked = secret_layers._masked(text)
+    assert masked.startswith("é before ") and masked.endswith(" after 50% off") and "hunter2" not in masked
+    assert not secret_layers.findings(masked)[1]
+
+
+def test_decoding_ends_on_cycles_and_large_data():
+    assert secret_layers.findings("%2525252525252541 %25" * 50)[1] == []
+    big = base64.b64encode(zlib.compress(b"x" * (9 << 20) + b" " + SECRET.encode() + b" " + b"y" * (5 << 20))).decode()
+    assert [(k, s, e) for s, k, e in secret_layers.findings("go " + big + " on")[1]] == [(0, 3, 3 + len(big))]
+
+
+def test_url_rules(spark):
+    urls = [
+        "http://a.net", "http://a.net/", "http://a.net/x?y#z", "https://Example.NET/en/1", "http://b.example.net/en/", "http://example.net/EN/",
+        "http://example.com/de/x", "http://xexample.com/de/x", "http://q.org/fr/1", "http://q.org/de/1", "ftp://m.ads-track.example.com/x",
+        "no scheme", None, "", "http://", "http://casino.example.org/a", "http://x.org/wp-login.php?a=1", "http://a.net:80/x", "http://casino.net/",
+    ]
+    rows = [(i, u, "h", "c", "c") for i, u in enumerate(urls)] + [(0, urls[0], "h", "c", "c"), (None, "http://a.net/", "h", "c", "c")]
+    got = url_rules.judge(spark.createDataFrame(rows, "page_id long, url string, html string, host string, rule string")).collect()
+    assert len(got) == len(rows)
+    hosts = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+    truth = []
+    for page, url, *_ in rows:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match("[^/?#]*", rest)[0]
+        path = re.match("[^?#]*", rest[len(host) :])[0]
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+        fits = [(len(h + p), h + p, v) for h, p, v in hosts if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        if fits:
+            truth.append((page, host, path, max(fits)[1], max(fits)[2]))
+        else:
+            low = (url or "").lower()
+            does = {r.verdict for r in url_rules.PATTERNS if re.search(r.pattern, low)}
+            truth.append((page, host, path, None, "allow" if "allow" in does or not does else "block"))
+    assert sorted(((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got), key=str) == sorted(truth, key=str)
+    assert url_rules.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def kneser_ney(texts):
+    """Modified Kneser-Ney probabilities of character-class trigrams, straight from the definition."""
+    tables = [defaultdict(int) for _ in range(3)]
+    for t in texts:
+        row = [0, 0, *perplexity_rules._folded(t), 0]
+        for i in range(len(row) - 2):
+            tables[2][tuple(map(int, row[i : i + 3]))] += 1
+    for order in (1, 0):
+        for gram in tables[order + 1]:
+            tables[order][gram[1:]] += 1
+    cuts = []
+    for table in tables:
+        n = [sum(v == k for v in table.values()) for k in range(5)]
+        d = [0.0, 0.5, 0.75, 0.9]
+        if n[1] and n[2]:
+            y = n[1] / (n[1] + 2 * n[2])
+            raw = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2]]
+            raw.append(3 - 4 * y * n[4] / n[3] if n[3] else raw[1])
+            d[1:] = [min(max(r, 0.05), m) for r, m in zip(raw, (0.95, 1.95, 2.95))]
+        cuts.append(d)
+
+    def p(gram):
+        order = len(gram) - 1
+        if order < 0:
+            return 1 / perplexity_rules.SYMBOLS
+        own = {g: v for g, v in tables[order].items() if g[:-1] == gram[:-1]}
+        total = sum(own.values())
+        lower = p(gram[1:]) if order else 1 / perplexity_rules.SYMBOLS
+        if not total:
+            return lower
+        d = cuts[order]
+        left = sum(d[min(v, 3)] for v in own.values()) / total
+        seen = own.get(gram, 0)
+        return max(seen - d[min(seen, 3)], 0) / total + left * lower
+
+    return p
+
+
+def test_perplexity_equals_the_definition():
+    texts = ["the cat sat on the mat.", "a dog and a cat!", "Über 12 cats & dogs", "mat mat mat the the"]
+    frame = next(iter([f for f in perplexity_rules._count(iter([__import__("pandas").DataFrame({"lang": ["en"] * 4, "text": texts})]))]))
+    model, p = perplexity_rules.Model.of_counts(frame), kneser_ney(texts)
+    for text in [*texts, "zebra quiz", "x"]:
+        row = [0, 0, *map(int, perplexity_rules._folded(text)), 0]
+        logs = [math.log(p(tuple(row[i : i + 3]))) for i in range(len(row) - 2)]
+        assert math.isclose(model.log_perplexity(perplexity_rules._slot("en"), text), -sum(logs) / len(logs), rel_tol=1e-9)
+    for context in ((5, 6), (0, 0), (12, 40)):
+        assert math.isclose(sum(p((*context, s)) for s in range(64)), 1.0, rel_tol=1e-9)
+
+
+def test_base_measures_equal_plain_python(odd, docs, empty):
+    for table in (odd, docs):
+        got = perplexity_rules.judge(table).collect()
+        truth = []
+        for r in table.collect():
+            text = r["text"] or ""
+            w = words_of(text)
+            lines = [x for x in text.split("\n") if words_of(x)]
+            where = defaultdict(list)
+            for i in range(len(w) - 2):
+                where[tuple(w[i : i + 3])].append(i)
+            inside = {i + k for at in where.values() if len(at) > 1 for i in at for k in range(3)}
+            truth.append((r["doc_id"], len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(inside)))
+        names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+        assert sorted((tuple(r[n] for n in names) for r in got), key=str) == sorted(truth, key=str)
+        for r in got:
+            assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
+            assert not (r["base_failed"] and r["kept"])
+    assert perplexity_rules.judge(empty).count() == 0
+
+
+def truth_of_vectors(rows):
+    unit = {}
+    for i, (_, v, label) in enumerate(rows):
+        if v is not None and len(v) and label is not None and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            unit[i] = np.array(v, dtype=np.float64) / np.linalg.norm(np.array(v, dtype=np.float64))
+    links = {i: [j for j in unit if j != i and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.93] for i in unit}
+    return links
+
+
+def test_vectors_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    seeds = rng.standard_normal((30, 32)).astype(np.float32)
+    rows = []
+    for i in range(1500):
+        v = seeds[i % 30] + rng.standard_normal(32).astype(np.float32) * (0.08 if i % 3 else 0.6)
+        rows.append((i, [float(x) for x in v.astype(np.float32)], int(i % 30 % 4)))
+    nan = float("nan")
+    rows += [(2000, None, 1), (2001, [], 1), (2002, [0.0] * 32, 1), (2003, [nan] * 32, 1), (2004, [None] * 32, 1), (2005, rows[0][1], None)]
+    rows += [(2006, rows[0][1], rows[0][2]), (2007, [x * 2 for x in rows[0][1]], rows[0][2]), (2008, [1.0, 2.0], 1), (2009, [1.0, 2.0], 1)]
+    table = spark.createDataFrame([(*r, "extra", "n") for r in rows], "vec_id long, embedding array<float>, label int, node string, root string")
+    got = {r["vec_id"]: r for r in collision_projections.near_duplicates(table, block=100).collect()}
+    links = truth_of_vectors(rows)
+    assert len(got) == len(rows)
+    found = sum(r["n_links"] for r in got.values())
+    wanted = sum(map(len, links.values()))
+    assert 0.97 * wanted <= found <= wanted
+    for i, (vec_id, *_) in enumerate(rows):
+        assert got[vec_id]["n_links"] <= len(links.get(i, []))
+        assert got[vec_id]["kept"] == (vec_id == got[vec_id]["component_id"])
+    for vec_id in (2000, 2001, 2002, 2003, 2004, 2005):
+        assert got[vec_id]["n_links"] == 0 and got[vec_id]["component_id"] == vec_id
+    assert got[2006]["component_id"] == got[2007]["component_id"] == got[0]["component_id"] == 0
+    assert got[2009]["component_id"] == 2008 and got[2009]["n_links"] == 1
+    assert collision_projections.near_duplicates(table.limit(0)).count() == 0
+
+
+def held_out(table, labels, folds, fold, label):
+    learns = crc_of_id(F.col("doc_id")) % folds != fold
+    return learns, {r["doc_id"]: r[label] for r in labels.filter(~learns).collect()}
+
+
+def test_quality_on_held_out_labels(spark, odd, empty, labels):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    learns, truth = held_out(docs, labels, 4, 2, "quality")
+    got = {r["doc_id"]: r["score"] for r in neighbour_quality.score(docs, labels, learns).collect()}
+    assert len(got) == docs.count() and all(0 <= s <= 1 for s in got.values())
+    right = [(got[d] >= 0.7) == bool(y) for d, y in truth.items() if d in got]
+    assert np.mean(right) > 0.95
+    rows = neighbour_quality.score(odd, labels, learns).collect()
+    assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
+    assert neighbour_quality.score(empty, labels, learns).count() == 0
+    assert {r["score"] for r in neighbour_quality.score(odd, labels.limit(0), learns).collect()} == {0.5}
+
+
+def test_toxicity_on_held_out_labels(spark, odd, empty):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    learns, truth = held_out(docs, labels, 3, 1, "toxic")
+    grammar = toxicity_grammar.learn(docs, labels, learns)
+    got = {r["doc_id"]: r["score"] for r in toxicity_grammar.score(docs, grammar).collect()}
+    caught = [got[d] >= 0.7 for d, y in truth.items() if y and d in got]
+    clean = [got[d] < 0.7 for d, y in truth.items() if not y and d in got]
+    assert np.mean(caught) > 0.85 and np.mean(clean) > 0.97
+    rows = toxicity_grammar.score(odd, grammar).collect()
+    assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
+    assert toxicity_grammar.score(empty, grammar).count() == 0
+    assert toxicity_grammar.learn(empty, labels, learns).insults == {}
+
+
+def test_grammar_weighs_the_clause():
+    grammar = toxicity_grammar.Grammar({"=idiot": 5.0})
+    plain, aimed = grammar.score("an idiot"), grammar.score("you idiot")
+    negated, told = grammar.score("not an idiot"), grammar.score("he said an idiot")
+    assert aimed > plain > told > negated
+    assert grammar.score("I will kill you") > 0 and grammar.score("kill time. you") == 0
+    assert grammar.score("not. idiot") == plain and grammar.score("idiots") == 0
