@@ -15,27 +15,27 @@ def _url_rules() -> str:
     return f"""
 WITH rest AS (
   SELECT page_id, url, CASE WHEN position('://' IN coalesce(url, '')) > 0
-    THEN substr(url, position('://' IN url) + 3) ELSE '' END AS r, row_number() OVER () AS at
+    THEN substr(url, position('://' IN url) + 3) ELSE '' END AS r, row_number() OVER () AS seat
   FROM pages
 ), parts AS (
-  SELECT page_id, url, at,
+  SELECT page_id, url, seat,
     translate(regexp_extract(r, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
   FROM rest
 ), hosts AS (
-  SELECT at, arg_max(name, length(name)) AS name, arg_max(verdict, length(name)) AS verdict
+  SELECT seat, arg_max(name, length(name)) AS name, arg_max(verdict, length(name)) AS verdict
   FROM parts JOIN (VALUES {hosts}) AS r(name, verdict, pattern) ON regexp_matches(host || path, pattern)
-  GROUP BY at
+  GROUP BY seat
 ), general AS (
-  SELECT at, min(verdict || ' ' || name) AS best
+  SELECT seat, min(verdict || ' ' || name) AS best
   FROM parts JOIN (VALUES {general}) AS r(name, verdict, pattern)
     ON regexp_matches(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), pattern)
-  GROUP BY at
+  GROUP BY seat
 )
 SELECT page_id, host, path, hosts.name AS rule,
   coalesce(hosts.verdict, split_part(best, ' ', 1), 'allow') AS verdict,
   CASE WHEN hosts.name IS NULL THEN split_part(best, ' ', 2) END AS pattern
-FROM parts LEFT JOIN hosts USING (at) LEFT JOIN general USING (at)
+FROM parts LEFT JOIN hosts USING (seat) LEFT JOIN general USING (seat)
 """
 
 
