@@ -2,84 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terraced.session import pin
+from terraced.session import pin, scanned_bytes, width_for
 
 
-def number_rows(
-    df: DataFrame,
-    group: str,
-    order: str,
-    name: str,
-    *,
-    sizing: DataFrame | None = None,
-    hot_rows: int = 1_000_000,
-    max_splits: int = 1024,
-) -> DataFrame:
+def number_rows(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
     """Add ``name`` = 1-based position of each row in its ``group`` by ``order``.
 
     ``order`` must be unique within a group (it is a key), or ties are numbered
     arbitrarily, as with ``row_number``.
 
-    A window needs a whole group in one task. That is right for ordinary groups
-    and wrong for one that holds a large share of the table, so groups above
-    ``hot_rows`` rows are cut into slices of consecutive ``order`` values first.
-    Slice borders are values picked by a hash of the value itself, hence the same
-    in every evaluation and after a lost executor. Each slice is numbered on its
-    own and shifted by the rows of the slices before it.
-
-    The hot groups are found first by counting, over the ``group`` column alone;
-    ``sizing`` may name a narrower frame with the same or more rows per group.
-    At most ``rows / hot_rows`` groups can be hot, and as many slices exist, which
-    bounds both broadcasts. Without hot groups the plan is one plain window.
+    One plan at every size. Rows are dealt into ranges of (``group``, ``order``),
+    which cut a large group like any other stretch of rows, and stored with the
+    number of their range. A group is numbered inside each range. Only a group that
+    reaches over a range's border needs a shift, by its rows in earlier ranges; such
+    groups are the first or last of a range, so at most two rows per range are
+    counted, summed and joined back.
     """
-    counted = (df if sizing is None else sizing).select(group).groupBy(group).agg(F.count("*").alias("_n"))
-    hot = counted.filter(F.col("_n") > hot_rows)
-    by_group = W.partitionBy(group).orderBy(order)
-    if hot.isEmpty():
-        return df.withColumn(name, F.row_number().over(by_group).cast("bigint"))
-
-    columns = df.columns
-    hot = pin(hot.select(F.col(group).alias("_group"), "_n"), "hot-groups")
-    same_group = F.col(group).eqNullSafe(F.col("_group"))
-    ordinary = df.join(F.broadcast(hot), same_group, "left_anti")
-    numbered = ordinary.withColumn(name, F.row_number().over(by_group).cast("bigint"))
-
-    heavy = df.join(F.broadcast(hot), same_group, "inner")
-    spacing = F.greatest(F.lit(hot_rows), F.ceil(F.col("_n") / max_splits)).cast("bigint")
-    borders = (
-        heavy.filter(F.pmod(F.xxhash64(F.col(order)), spacing) == 0)
-        .groupBy("_group")
-        .agg(F.collect_set(order).alias("_borders"))
-        .withColumnRenamed("_group", "_border_group")
-    )
-    sliced = heavy.join(
-        F.broadcast(borders), F.col("_group").eqNullSafe(F.col("_border_group")), "left"
-    ).withColumn("_slice", _borders_up_to(F.col(order)))
-    sliced = sliced.select(*columns, "_slice")
+    ranges = width_for(df.sparkSession, scanned_bytes(df))
+    dealt = df.repartitionByRange(ranges, F.col(group), F.col(order)).withColumn("_range", F.spark_partition_id())
+    stored = pin(dealt, "numbered")
 
-    sizes = sliced.groupBy(group, "_slice").agg(F.count("*").alias("_rows"))
-    earlier = W.partitionBy(group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    shifts = sizes.select(
-        F.col(group).alias("_shift_group"),
-        F.col("_slice").alias("_shift_slice"),
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_shift"),
+    ends = stored.groupBy("_range").agg(
+        F.min(F.struct(F.col(group).alias("g"))).alias("_first"), F.max(F.struct(F.col(group).alias("g"))).alias("_last")
     )
-    by_slice = W.partitionBy(group, "_slice").orderBy(order)
-    renumbered = (
-        sliced.withColumn("_at", F.row_number().over(by_slice))
-        .join(
-            F.broadcast(shifts),
-            F.col(group).eqNullSafe(F.col("_shift_group")) & (F.col("_slice") == F.col("_shift_slice")),
-        )
-        .withColumn(name, (F.col("_at") + F.col("_shift")).cast("bigint"))
-    )
-    return numbered.select(*columns, name).unionByName(renumbered.select(*columns, name))
-
-
-def _borders_up_to(value: Column) -> Column:
-    passed = F.size(F.filter("_borders", lambda border: border <= value))
-    return F.when(F.col("_borders").isNull(), 0).otherwise(passed)
+    of_end = F.col(group).eqNullSafe(F.col("_first.g")) | F.col(group).eqNullSafe(F.col("_last.g"))
+    held = stored.join(pin(ends, "range-ends"), "_range").filter(of_end).groupBy(group, "_range").agg(F.count("*").alias("_rows"))
+    earlier = W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    shifts = held.select(
+        F.col(group).alias("_group"), F.col("_range").alias("_of"), F.sum("_rows").over(earlier).alias("_shift")
+    ).filter("_shift IS NOT NULL")
+
+    within = F.row_number().over(W.partitionBy("_range", group).orderBy(order))
+    same = (F.col("_range") == F.col("_of")) & F.col(group).eqNullSafe(F.col("_group"))
+    numbered = stored.withColumn("_at", within).join(pin(shifts, "range-shifts"), same, "left")
+    at = (F.col("_at") + F.coalesce("_shift", F.lit(0))).cast("bigint")
+    return numbered.select(*df.columns, at.alias(name))

@@ -71,7 +71,7 @@ class Lineage:
 
     @cached_property
     def order_items_clean(self) -> DataFrame:
-        return sp.order_items_clean(self.mirrored("raw_order_items"), self.as_of, sizing=self.source.order_items)
+        return sp.order_items_clean(self.mirrored("raw_order_items"), self.as_of)
 
     @cached_property
     def customer_order_summary(self) -> DataFrame:
@@ -131,19 +131,14 @@ class Lineage:
 
     @cached_property
     def fct_order_revenue_star(self) -> DataFrame:
-        """The fact over order totals that the order export has stored already.
+        """The fact over the rows of the lines model.
 
-        Its item rows and revenue are the export's count and sum: a price has two
-        decimals and a quantity none, so rounding a line changes nothing, and a line
-        of an unknown order finds no partner in the fact's own join either. The lines
-        are the largest table; this way they are scanned and shuffled once.
+        Rows and revenue of an order do not depend on its line numbers, so they are
+        taken from the typed lines, before numbering stores them.
         """
-        items = self.stored_totals.select(
-            "order_id", F.col("item_count").alias("item_rows"), F.col("order_value").alias("item_revenue")
-        )
         return td.fct_order_revenue_star(
             self.orders_3nf,
-            items,
+            td.items_per_order(sp.order_items_typed(self.mirrored("raw_order_items"))),
             pin(self.dim_customers, "dim-customers"),
             pin(self.dim_order_status, "dim-order-status"),
             self.as_of,
@@ -156,5 +151,4 @@ class Lineage:
             self.mirrored("raw_order_items"),
             self.as_of,
             self.order_bands,
-            sizing=self.source.order_items,
         )

@@ -32,7 +32,6 @@ class OrderProduct:
     raw_items: DataFrame
     as_of: datetime
     bands: tuple = schemas.ORDER_BANDS
-    sizing: DataFrame | None = None
 
     def core_orders(self) -> DataFrame:
         return source.orders_clean(self.raw_orders, self.as_of, self.bands, audit=False).select(*_ORDER_COLUMNS)
@@ -44,7 +43,7 @@ class OrderProduct:
         return self.core_orders().withColumn("published_at", instant(self.as_of))
 
     def access_items(self) -> DataFrame:
-        numbered = number_rows(self.core_items(), "order_id", "item_id", "line_number", sizing=self.sizing)
+        numbered = number_rows(self.core_items(), "order_id", "item_id", "line_number")
         return numbered.select(*_LINE_COLUMNS, instant(self.as_of).alias("published_at"))
 
     def inbound_orders(self) -> DataFrame:

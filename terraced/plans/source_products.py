@@ -53,9 +53,9 @@ def order_items_typed(raw: DataFrame) -> DataFrame:
     )
 
 
-def order_items_clean(raw: DataFrame, as_of: datetime, sizing: DataFrame | None = None, **splitting: int) -> DataFrame:
+def order_items_clean(raw: DataFrame, as_of: datetime) -> DataFrame:
     """Items numbered within their order by item id."""
-    numbered = number_rows(order_items_typed(raw), "order_id", "item_id", "line_number", sizing=sizing, **splitting)
+    numbered = number_rows(order_items_typed(raw), "order_id", "item_id", "line_number")
     return numbered.withColumn("cleaned_at", instant(as_of))
 
 

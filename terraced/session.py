@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 _CHECKPOINT_SETTING = "spark.checkpoint.dir"
 _PARTITIONS_SETTING = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 _SCANNED_PER_PARTITION = 256 * 1024 * 1024
-_MOST_PARTITIONS = 65_536
+_UNKNOWN_SIZE = 1 << 62
 _local_folders: dict[str, str] = {}
+_given_widths: dict[str, str | None] = {}
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -22,7 +23,15 @@ def configure(spark: SparkSession) -> SparkSession:
     * UTC, because the raw mirror writes wall-clock text and reads it back zone-free.
     * AQE with forced skew handling: a hot join key is split even when the split
       costs one more exchange above it (for instance an aggregation on the same key).
+    * The first number of shuffle partitions as the caller had it; reading tables
+      raises it for what follows, and the next call sets it back.
     """
+    app = spark.sparkContext.applicationId
+    given = _given_widths.setdefault(app, spark.conf.get(_PARTITIONS_SETTING, None))
+    if given is None:
+        spark.conf.unset(_PARTITIONS_SETTING)
+    else:
+        spark.conf.set(_PARTITIONS_SETTING, given)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -35,17 +44,38 @@ def stored_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def scanned_bytes(df: DataFrame) -> int:
+    """The planner's sizes of all tables below ``df``; those it does not know count nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(size for size in sizes if size < _UNKNOWN_SIZE)
+
+
 def size_shuffles(spark: SparkSession, scanned: int) -> int:
     """Give shuffles enough partitions for ``scanned`` bytes; returns the number in force.
 
     Adaptive execution merges small shuffle partitions but never starts with more
     than it was told to, and the default would put terabytes into one task.
     """
-    needed = min(-(-scanned // _SCANNED_PER_PARTITION), _MOST_PARTITIONS)
-    now = int(spark.conf.get(_PARTITIONS_SETTING, None) or spark.conf.get("spark.sql.shuffle.partitions"))
-    if needed > now:
+    needed = width_for(spark, scanned)
+    if needed > _width(spark):
         spark.conf.set(_PARTITIONS_SETTING, str(needed))
-    return max(needed, now)
+    return needed
+
+
+def width_for(spark: SparkSession, scanned: int) -> int:
+    """Partitions for ``scanned`` bytes, at least as many as are set."""
+    return max(-(-scanned // _SCANNED_PER_PARTITION), _width(spark))
+
+
+def _width(spark: SparkSession) -> int:
+    return int(spark.conf.get(_PARTITIONS_SETTING, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at ``path``, in whatever store it names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def shared_folder(spark: SparkSession) -> str:

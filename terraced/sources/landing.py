@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from terraced.functions.columns import instant, iso_text, load_batch
 from terraced.schemas import LANDED, MIRROR, typed
-from terraced.session import pin
+from terraced.session import folder_exists, pin
 from terraced.sources import catalog, exports
 from terraced.sources.catalog import Warehouse
 from terraced.sources.seed import Operational
@@ -109,39 +109,43 @@ def load_report(frames: Mapping[str, DataFrame]) -> DataFrame:
     return report
 
 
-def latest_files(paths: Mapping[str, str], spark: SparkSession) -> DataFrame:
-    """Newest data file per table with its row count and the number of data files."""
-    per_table = []
+def data_files(paths: Mapping[str, str], spark: SparkSession) -> DataFrame:
+    """Table, path, time and length of every data file, from listings alone; absent paths have none."""
+    found = spark.createDataFrame([], "table_name string, file_path string, modified_at timestamp, length bigint")
     for table, path in paths.items():
-        per_file = (
-            spark.read.parquet(path)
-            .select(
-                F.col("_metadata.file_path").alias("file_path"),
-                F.col("_metadata.file_modification_time").alias("modified_at"),
-            )
-            .groupBy("file_path", "modified_at")
-            .agg(F.count("*").alias("rows"))
-        )
-        newest = F.max_by(F.struct("file_path", "rows"), F.struct("modified_at", "file_path"))
-        per_table.append(
-            per_file.agg(newest.alias("newest"), F.count("*").alias("data_files")).select(
-                F.lit(table).alias("table_name"),
-                F.regexp_extract("newest.file_path", "[^/]+$", 0).alias("file_name"),
-                F.col("newest.rows").alias("row_count"),
-                "data_files",
+        if folder_exists(spark, path):
+            listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+            found = found.unionByName(
+                listed.select(
+                    F.lit(table).alias("table_name"),
+                    F.col("path").alias("file_path"),
+                    F.col("modificationTime").alias("modified_at"),
+                    "length",
+                )
             )
+    return found
+
+
+def latest_files(paths: Mapping[str, str], spark: SparkSession) -> DataFrame:
+    """Newest data file per table with its row count and the number of data files.
+
+    Only the newest files' rows are counted, and Parquet keeps that count in its footer.
+    """
+    newest = F.max_by("file_path", F.struct("modified_at", "file_path"))
+    per_table = data_files(paths, spark).groupBy("table_name").agg(newest.alias("newest"), F.count("*").alias("data_files"))
+    report = spark.createDataFrame([], "table_name string, file_name string, row_count bigint, data_files bigint")
+    for table, path, files in per_table.collect():  # one row per table
+        rows = spark.read.parquet(path).agg(F.count("*").alias("row_count"))
+        report = report.unionByName(
+            rows.select(F.lit(table).alias("table_name"), F.lit(path.rpartition("/")[2]).alias("file_name"), "row_count", F.lit(files).alias("data_files"))
         )
-    report = per_table[0]
-    for other in per_table[1:]:
-        report = report.unionByName(other)
     return report
 
 
 def missing_files(spark: SparkSession, paths: Mapping[str, str], expected: Iterable[str]) -> DataFrame:
-    """Expected tables without any data file."""
-    found = latest_files(paths, spark).filter("data_files > 0").select("table_name")
+    """Expected tables without any data file, also those whose path is absent or empty."""
     wanted = spark.createDataFrame([(t,) for t in expected], "table_name string")
-    return wanted.join(found, "table_name", "left_anti")
+    return wanted.join(data_files(paths, spark).select("table_name"), "table_name", "left_anti")
 
 
 def purge(warehouse: Warehouse, namespace: str = _PLACE) -> int:

@@ -38,8 +38,12 @@ def _turn(values: tuple[str, ...], at: Column) -> Column:
 
 
 def _ago(moment: Column, days: Column | None = None, hours: Column | None = None, mins: Column | None = None) -> Column:
-    parts = {k: v.cast("int") for k, v in {"days": days, "hours": hours, "mins": mins}.items() if v is not None}
-    return moment - F.make_dt_interval(**parts)
+    """``moment`` less whole units; null where that is beyond what a moment can be."""
+    micros = F.lit(0).cast("bigint")
+    for units, seconds in ((days, 86_400), (hours, 3_600), (mins, 60)):
+        if units is not None:
+            micros = F.try_add(micros, F.try_multiply(units.cast("bigint"), F.lit(seconds * 1_000_000).cast("bigint")))
+    return F.timestamp_micros(F.try_subtract(F.unix_micros(moment), micros))
 
 
 def _tenths(value: Column) -> Column:

@@ -26,7 +26,9 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     known = (spark.sparkContext.applicationId, path)
     if known not in _schemas:
         _schemas[known] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[known]).parquet(path)
+    table = spark.read.schema(_schemas[known]).parquet(path)
+    size_shuffles(spark, stored_bytes(table))
+    return table
 
 
 def _shaped(df: DataFrame, table: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terraced.operators.reconcile import lifecycle_fold
-from terraced.session import scratch_path
+from terraced.session import folder_exists, scratch_path
 
 
 def read_event_stream(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
@@ -40,6 +40,9 @@ def fold_stream(events: DataFrame, key: str, folder: str | None = None) -> DataF
         .start()
     )
     query.awaitTermination()
+    if not folder_exists(spark, changes):  # nothing has arrived yet
+        latest = [f for f in folded.schema.fields if f.name in (key, "ts", "event_id", "action")]
+        return spark.createDataFrame([], T.StructType(latest)).select(key, "ts", "event_id", "action")
     state = spark.read.schema(T.StructType([*folded.schema.fields, T.StructField("batch", T.LongType())])).parquet(changes)
     latest = F.max_by(F.struct("ts", "event_id", "action"), "batch").alias("latest")
     return state.groupBy(key).agg(latest).select(key, "latest.ts", "latest.event_id", "latest.action")

@@ -163,6 +163,7 @@ def latest_file_per_table(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def landing_completeness(spark: SparkSession, folder: str) -> DataFrame:
     paths = {t: f"{folder}/{t}.parquet" for t in TABLES}
+    paths["returns"] = f"{folder}/returns.parquet"  # absent; shipments has no path at all
     return landing.missing_files(spark, paths, [*TABLES, "returns", "shipments"])
 
 

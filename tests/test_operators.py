@@ -9,9 +9,11 @@ import random
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terraced.operators import clones, contracts, quality, reconcile
 from terraced.operators.ranking import number_rows
+from terraced.sources import landing, seed
 from terraced.streaming.lifecycle import fold_stream, read_event_stream
 
 
@@ -26,29 +28,46 @@ def skewed_rows(seed: int) -> list[tuple]:
     return rows
 
 
-@pytest.mark.parametrize("hot_rows,splits", [(1_000_000, 1024), (40, 1024), (10, 8)])
-def test_row_numbers_equal_a_plain_window(spark, hot_rows, splits):
-    df = spark.createDataFrame(skewed_rows(hot_rows), "g string, item string").repartition(5)
-    got = number_rows(df, "g", "item", "n", hot_rows=hot_rows, max_splits=splits)
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_row_numbers_equal_a_plain_window(spark, seed):
+    df = spark.createDataFrame(skewed_rows(seed), "g string, item string").repartition(5)
+    got = number_rows(df, "g", "item", "n")
     want = df.withColumn("n", F.row_number().over(W.partitionBy("g").orderBy("item")))
     assert got.columns == ["g", "item", "n"]
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
-def test_hot_groups_are_not_numbered_in_one_task(spark):
-    df = spark.createDataFrame(skewed_rows(1), "g string, item string")
-    plan = number_rows(df, "g", "item", "n", hot_rows=40)._jdf.queryExecution().optimizedPlan().toString()
-    assert "_slice" in plan
-    plain = number_rows(df, "g", "item", "n")._jdf.queryExecution().optimizedPlan().toString()
-    assert "_slice" not in plain and "Join" not in plain
+def test_a_group_with_most_rows_is_numbered_in_several_tasks(spark):
+    df = spark.range(8000).select(F.when(F.col("id") < 7000, "hot").otherwise(F.col("id").cast("string")).alias("g"), F.col("id").alias("item"))
+    got = number_rows(df, "g", "item", "n")
+    assert got.filter("g = 'hot' AND n != item + 1").isEmpty() and got.filter("g != 'hot' AND n != 1").isEmpty()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_range" in plan and "broadcast" not in plan.split("Relation")[0].lower()
+    assert number_rows(df.limit(0), "g", "item", "n").count() == 0
 
 
-def test_sizing_may_come_from_a_wider_frame(spark):
-    df = spark.createDataFrame(skewed_rows(3), "g string, item string")
-    some = df.filter(F.col("item").endswith("1"))
-    got = number_rows(some, "g", "item", "n", sizing=df, hot_rows=40)
-    want = some.withColumn("n", F.row_number().over(W.partitionBy("g").orderBy("item")))
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+def test_large_keys_have_sample_rows(spark, as_of):
+    keys = spark.range(1).select(F.explode(F.array(*[F.lit(k).cast("bigint") for k in (3_000_000_000, 100_000_000_000)])).alias("n"))
+    for make in (seed.seed_customers, seed.seed_orders, seed.seed_taxes, seed.seed_depot_transactions):
+        rows = make(keys, as_of)
+        assert len(rows.select(*[F.col(c).cast("string") for c in rows.columns]).collect()) == 2
+
+
+def test_tables_without_files_are_reported(spark, tmp_path):
+    (tmp_path / "bare").mkdir()
+    for n in (1, 2, 3):
+        spark.range(n).coalesce(1).write.mode("append").parquet(str(tmp_path / "full"))
+    paths = {t: str(tmp_path / t) for t in ("full", "bare", "absent")}
+    missing = landing.missing_files(spark, paths, ["full", "bare", "absent", "unknown"])
+    assert sorted(r[0] for r in missing.collect()) == ["absent", "bare", "unknown"]
+    [newest] = landing.latest_files(paths, spark).collect()
+    assert (newest.table_name, newest.row_count, newest.data_files) == ("full", 3, 3) and newest.file_name.endswith(".parquet")
+
+
+def test_a_stream_without_events_has_no_state(spark, tmp_path):
+    (tmp_path / "inbox").mkdir()
+    events = read_event_stream(spark, str(tmp_path / "inbox"), T.StructType.fromDDL("k string, ts timestamp, event_id bigint, action string"))
+    assert fold_stream(events, "k", str(tmp_path / "state")).collect() == []
 
 
 def test_checks_report_each_fault(spark):
