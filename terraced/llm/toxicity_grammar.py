@@ -50,6 +50,7 @@ LEAST_COUNT = 6
 STEMS = (4, 5, 6, 7, 8)
 BAR = 3.0
 SHADOW = 0.7
+KNOWN = 100_000  # words and stems a task remembers before it starts afresh
 THREAT_WEIGHT = 3.5
 
 THREATS = frozenset("kill hurt destroy beat murder stab shoot töten tuer matar".split())
@@ -114,7 +115,7 @@ class Grammar:
             for name, words in (("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("filler", FILLERS)):
                 if word in words:
                     found = (name, 0.0)
-        if len(self.known) > 500_000:
+        if len(self.known) > KNOWN:
             self.known.clear()
         self.known[word] = found
         return found
@@ -169,17 +170,24 @@ def _marked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _stems(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts = (Counter(), Counter())
-    for frame in in_chunks(frames, "text"):
+    for frame in in_chunks(frames, "text", 1_000_000):
+        if len(counts[0]) + len(counts[1]) > KNOWN:  # sums are joined later, so parts may leave early
+            yield from _counted(*counts)
+            counts = (Counter(), Counter())
         for y, text in zip(frame["y"], frame["text"]):
             found = set()
             for word in set(_WORD.findall((text or "").lower())):
                 found.add("=" + word)
                 found.update(word[:n] for n in STEMS if len(word) >= n)
             counts[y].update(found)
-    every = list(counts[0].keys() | counts[1].keys())
+    yield from _counted(*counts)
+
+
+def _counted(clean: Counter, toxic: Counter) -> Iterator[pd.DataFrame]:
+    every = list(clean.keys() | toxic.keys())
     for start in range(0, len(every), 50_000):
         part = every[start : start + 50_000]
-        yield pd.DataFrame({"stem": part, "clean": [counts[0][s] for s in part], "toxic": [counts[1][s] for s in part]})
+        yield pd.DataFrame({"stem": part, "clean": [clean[s] for s in part], "toxic": [toxic[s] for s in part]})
 
 
 def learn(docs: DataFrame, labels: DataFrame, learns: Column, *, label: str = "toxic", per_label: int = PER_LABEL) -> Grammar:
