@@ -6,7 +6,7 @@ import re
 
 import corpus_pipeline
 import pytest
-from test_operators import near_dup_truth, words_of
+from test_corpus_operators import near_dup_truth, words_of
 
 import __spark_entry__ as contract
 from terraced.llm import queries, secret_layers
