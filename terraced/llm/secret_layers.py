@@ -12,7 +12,8 @@ the escape or base64 run that holds it. Escapes map one by one, base64 in groups
 four characters, inflated data to its whole run.
 
 Inflating is done in pieces of ``PIECE`` bytes with ``OVERLAP`` bytes repeated, so
-memory stays bounded while all of the data is scanned.
+memory stays bounded while all of the data is scanned. Data compressed several times
+over is inflated level by level in the same way.
 
 Defined results. Null text: as empty, no findings. Repeated rows stay rows. Only the
 id and text columns are read. Broken encodings give no layer. An empty table gives
@@ -27,7 +28,10 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
+from itertools import chain
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -45,7 +49,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#x?[0-9A-Fa-f]{1,6};")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: 16 characters hold the shortest finding, an assignment of 12.
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
 Span = tuple[int, int, int]  # start, place of the kind, end
 
@@ -153,34 +158,68 @@ def _readable(data: bytes) -> str | None:
     return text if text and not re.search("[\x00-\x08\x0e-\x1f\x7f]", text) else None
 
 
-def _inflated(data: bytes) -> Iterator[str]:
-    """The texts in compressed ``data``, in pieces; data compressed more than once is inflated again."""
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-        opened = zlib.decompressobj(47)
-    elif data[:3] == b"BZh":
-        opened = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        opened = lzma.LZMADecompressor()
-    else:
-        return
-    tail, first = b"", True
+def _opener(head: bytes) -> Callable[[], Any] | None:
+    """What makes a decompressor for data that begins with ``head``."""
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78":
+        return partial(zlib.decompressobj, 47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor
+    return None
+
+
+def _pieces(parts: Iterable[bytes], make: Callable[[], Any]) -> Iterator[bytes]:
+    """What compressed ``parts`` hold, at most ``PIECE`` bytes at a time, up to the first damage."""
+    opened = make()
     try:
-        while not opened.eof:
-            piece = opened.decompress(data, PIECE)
-            data = opened.unconsumed_tail if hasattr(opened, "unconsumed_tail") else b""
-            if not piece:
-                break
-            held = tail + piece
-            if first and len(piece) < PIECE:  # nested data is taken where one piece holds it
-                yield from _inflated(held)
-            first, tail = False, held[-OVERLAP:]
-            text = held.decode("utf-8", "ignore")
-            if len(text) * 2 > len(held) // 2 and not re.search("[\x00-\x08]", text[:256]):
-                yield text
+        for part in parts:
+            more = bool(part)
+            while more:
+                if opened.eof:  # members follow one another
+                    opened = make()
+                piece = opened.decompress(part, PIECE)
+                if piece:
+                    yield piece
+                if opened.eof:
+                    part = opened.unused_data
+                    more = bool(part)
+                elif hasattr(opened, "needs_input"):
+                    part, more = b"", not opened.needs_input
+                else:
+                    part = opened.unconsumed_tail
+                    more = bool(part) or len(piece) == PIECE
     except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
         return
 
 
+def _inflated(data: bytes) -> Iterator[str]:
+    """The texts in compressed ``data``, in pieces, also where it is compressed more than once.
+
+    Data that holds itself ends the descent: a level that begins like an earlier
+    one, over a whole piece, is not opened again.
+    """
+    seen, levels = set(), []
+    while True:
+        parts: Iterable[bytes] = (data,)
+        for make in levels:
+            parts = _pieces(parts, make)
+        inner, tail = iter(parts), b""
+        head = next(inner, b"")
+        if levels:
+            for piece in chain((head,), inner):
+                held = tail + piece
+                tail = held[-OVERLAP:]
+                text = held.decode("utf-8", "ignore")
+                if len(text) * 2 > len(held) // 2 and not re.search("[\x00-\x08]", text[:256]):
+                    yield text
+        make, mark = _opener(head), hashlib.blake2b(head, digest_size=16).digest()
+        if make is None or mark in seen:
+            return
+        seen.add(mark)
+        levels.append(make)
+
+
 def findings(text: str | None) -> tuple[list[Span], list[Span]]:
     """Base findings of the text as it stands, and all findings, both sorted."""
     if not text:

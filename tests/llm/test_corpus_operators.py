@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import math
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -230,6 +233,9 @@ SECRET = "password=hunter2hunter2"
         base64.urlsafe_b64encode(SECRET.encode()).decode(),
         base64.b64encode(gzip.compress(SECRET.encode())).decode(),
         base64.b64encode(zlib.compress(base64.b64encode(SECRET.encode()))).decode(),
+        base64.b64encode(gzip.compress(bz2.compress(lzma.compress(SECRET.encode())))).decode(),
+        base64.b64encode(gzip.compress(b"first ") + gzip.compress(SECRET.encode())).decode(),
+        base64.b64encode(zlib.compress(b"x^2 + y^2 " + SECRET.encode())).decode(),
         base64.b64encode(quote(base64.b64encode(SECRET.encode()).decode() + " %41", safe="").encode()).decode(),
     ],
 )
@@ -247,6 +253,21 @@ def test_decoding_ends_on_cycles_and_large_data():
     assert secret_layers.findings("%2525252525252541 %25" * 50)[1] == []
     big = base64.b64encode(zlib.compress(b"x" * (9 << 20) + b" " + SECRET.encode() + b" " + b"y" * (5 << 20))).decode()
     assert [(k, s, e) for s, k, e in secret_layers.findings("go " + big + " on")[1]] == [(0, 3, 3 + len(big))]
+    twice = base64.b64encode(gzip.compress(gzip.compress(os.urandom(6 << 20).hex().encode() + b" " + SECRET.encode()))).decode()
+    assert (0, 3, 3 + len(twice)) in [(k, s, e) for s, k, e in secret_layers.findings("go " + twice + " on")[1]]
+    assert [(k, s, e) for s, k, e in secret_layers.findings("so " + base64.b64encode(b"token=a1b2c3").decode())[1]] == [(0, 3, 19)]
+
+
+def test_data_that_holds_itself_ends(monkeypatch):
+    class Same:
+        eof, needs_input = False, True
+
+        def decompress(self, part, most):
+            return part
+
+    monkeypatch.setattr(secret_layers, "_opener", lambda head: Same if head else None)
+    assert list(secret_layers._inflated(b"the same again")) == ["the same again"]
+    assert list(secret_layers._inflated(b"")) == []
 
 
 def test_url_rules(spark):
