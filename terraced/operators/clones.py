@@ -2,7 +2,8 @@
 
 A clone is a snapshot: later writes to the source do not reach it and writes to
 the clone do not reach the source. Parquet tables share no storage, so a clone is
-a distributed copy of the tables; views are re-created with their text.
+a distributed copy of the tables. What a view shows is stored as a table: a view
+re-created with its text would go on reading the source.
 """
 
 from __future__ import annotations
@@ -87,15 +88,9 @@ def clone_namespace(warehouse: Warehouse, source: str, target: str) -> list[str]
     spark = warehouse.spark
     catalog.drop_namespace(spark, target)
     warehouse.ensure(target)
-    views = {row.viewName: row for row in spark.sql(f"SHOW VIEWS IN `{source}`").collect() if not row.isTemporary}
     names = catalog.table_names(spark, source)
     for name in names:
-        if name in views:
-            detail = spark.sql(f"DESCRIBE TABLE EXTENDED `{source}`.`{name}`")
-            text = detail.filter(F.col("col_name") == "View Text").head().data_type
-            spark.sql(f"CREATE VIEW `{target}`.`{name}` AS {text}")
-        else:
-            spark.table(f"`{source}`.`{name}`").write.format("parquet").saveAsTable(f"`{target}`.`{name}`")
+        spark.table(f"`{source}`.`{name}`").write.format("parquet").saveAsTable(f"`{target}`.`{name}`")
     return names
 
 

@@ -6,7 +6,7 @@ counted where it lies and only counts travel.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,6 +91,20 @@ def row_counts(frames: Mapping[str, DataFrame], expected: Mapping[str, int] | Da
     )
 
 
+def require_tables(warehouse: Warehouse, needed: Iterable[tuple[str, str]]) -> None:
+    """Raise when an ACCESS table of (product, table) is missing."""
+    missing = [f"{p}.{t}" for p, t in needed if not warehouse.exists(p, "access", t)]
+    if missing:
+        raise LookupError(f"required upstream tables are missing, build the source products first: {', '.join(missing)}")
+
+
+def require_counts(results: DataFrame) -> None:
+    """Raise when a relation of ``row_counts`` has not the expected rows. Reads one row per relation."""
+    wrong = [f"{r.relation}: {r.found} rows, not {r.expected}" for r in results.filter("NOT matches").collect()]
+    if wrong:
+        raise ValueError("row counts differ: " + "; ".join(wrong))
+
+
 def upstream_contract(
     warehouse: Warehouse, expected: Mapping[tuple[str, str], int]
 ) -> DataFrame:
@@ -98,9 +112,7 @@ def upstream_contract(
 
     ``expected`` maps (product, table) to a row count. Raises when a table is missing.
     """
-    missing = [f"{p}.{t}" for p, t in expected if not warehouse.exists(p, "access", t)]
-    if missing:
-        raise LookupError(f"required upstream tables are missing, build the source products first: {', '.join(missing)}")
+    require_tables(warehouse, expected)
     frames = {f"{p}.{t}": warehouse.table(p, "access", t) for p, t in expected}
     return row_counts(frames, {f"{p}.{t}": n for (p, t), n in expected.items()})
 

@@ -62,6 +62,35 @@ def request_action(action: Column, state: Column) -> Column:
     return F.when(F.coalesce(ended, F.lit(False)), "destroy").otherwise("update")
 
 
+def branch_of_ref(ref: Column) -> Column:
+    """The branch that a full reference names; empty for tags, other references and null."""
+    return F.regexp_extract(F.coalesce(ref, F.lit("")), "^refs/heads/(.*)$", 1)
+
+
+def sandbox_changes(events: DataFrame, projects: DataFrame) -> DataFrame:
+    """Raw change events as ``sandbox, ts, event_id, action``, for the fold.
+
+    ``projects`` (``project``, ``default_branch``) are the managed ones; events of
+    others are dropped. A push counts on a branch that is not the default one. A
+    merge request counts with a number, from another branch into the default one.
+    Other kinds of events, and null kinds, are dropped. Batch or stream.
+    """
+    managed = projects.groupBy("project").agg(F.max("default_branch").alias("default_branch"))
+    default, branch = _default_branch(), branch_of_ref(F.col("ref"))
+    source, number = F.coalesce("source_branch", F.lit("")), F.coalesce("mr_iid", F.lit(""))
+    pushed = F.col("kind").isin("push", "repository_update") & (branch != "") & (branch != default)
+    requested = (F.col("kind") == "merge_request") & (source != "") & (number != "")
+    requested &= (source != default) & (F.col("target_branch") == default)
+    sandbox = F.when(pushed, F.concat_ws(":", "project", F.lit("branch"), branch)).when(
+        requested, F.concat_ws(":", "project", F.lit("request"), number)
+    )
+    action = F.when(pushed, change_action(F.col("before"), F.col("after"))).otherwise(
+        request_action(F.col("request"), F.col("state"))
+    )
+    named = events.join(managed, "project").select(sandbox.alias("sandbox"), "ts", "event_id", action.alias("action"))
+    return named.filter("sandbox IS NOT NULL")
+
+
 def lifecycle_fold(events: DataFrame, key: str) -> DataFrame:
     """Last action per key by ``(ts, event_id)``. Repeated events change nothing.
 

@@ -8,7 +8,7 @@ only its own product.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
@@ -155,8 +155,27 @@ def build_source(wh: Warehouse, scope: str, as_of: datetime, bands: Bands = Band
     _side_by_side(wh, scope, lambda name: builders[name](wh, as_of, bands))
 
 
-def build_domain(wh: Warehouse, scope: str, as_of: datetime) -> None:
-    """Domain product of one scope, or of all; the producer's tables are only read."""
+# ACCESS tables of its producer that a domain scope reads.
+UPSTREAM = {
+    "orders": ("orders_order_grain", "orders_customer_grain", "order_lines_order_grain"),
+    "customers": ("customers_entity_grain", "customers_region_grain", "customers_segment_grain"),
+    "taxes": ("taxes_grain",),
+    "depot_transactions": ("depot_transactions_grain",),
+}
+
+
+def require_upstream(wh: Warehouse, scope: str, expected: Mapping[str, int] | None = None) -> None:
+    """Raise unless the producer's tables are there and those in ``expected`` (by table) have its rows."""
+    needed = [(f"sdp_{s}", table) for s in _scopes(scope) for table in UPSTREAM[s]]
+    quality.require_tables(wh, needed)
+    counted = {(product, table): expected[table] for product, table in needed if table in (expected or {})}
+    if counted:
+        quality.require_counts(quality.upstream_contract(wh, counted))
+
+
+def build_domain(wh: Warehouse, scope: str, as_of: datetime, expected: Mapping[str, int] | None = None) -> None:
+    """Domain product of one scope, or of all; the producer's tables are checked, then only read."""
+    require_upstream(wh, scope, expected)
     builders = {
         "orders": lambda: build_edp_orders(wh, as_of),
         "customers": lambda: build_edp_customers(wh, as_of),

@@ -557,6 +557,21 @@ def oracle_sql() -> dict[str, str]:
         "SELECT 'sdp_taxes.taxes_grain' AS relation, count(*) AS expected, count(*) AS found, true AS matches FROM taxes_clean UNION ALL "
         "SELECT 'sdp_depot_transactions.depot_transactions_grain', count(*) + 1, count(*), false FROM depot_clean"
     )
+    grains = [
+        ("sdp_orders.orders_order_grain", "src_orders", "orders_clean"),
+        ("sdp_orders.orders_customer_grain", "src_customers", "order_summary"),
+        ("sdp_orders.order_lines_order_grain", "src_items", "items_clean"),
+        ("sdp_customers.customers_entity_grain", "src_customers", "customers_clean"),
+        ("sdp_customers.customers_region_grain", "(SELECT DISTINCT region FROM src_customers)", _REGIONS),
+        ("sdp_customers.customers_segment_grain", "(SELECT DISTINCT segment FROM src_customers)", _SEGMENTS),
+        ("sdp_taxes.taxes_grain", "src_taxes", "taxes_clean"),
+        ("sdp_depot_transactions.depot_transactions_grain", "src_depot", "depot_clean"),
+    ]
+    sql["upstream_contract_all"] = _ALL + " UNION ALL ".join(
+        f"SELECT '{label}' AS relation, e.n AS expected, f.n AS found, e.n = f.n AS matches "
+        f"FROM (SELECT count(*) AS n FROM {source}) e, (SELECT count(*) AS n FROM {grain}) f"
+        for label, source, grain in grains
+    )
     sql["layer_parity"] = _ALL + " UNION ALL ".join(
         f"SELECT '{t.removeprefix('raw_')}' AS table_name, s.n AS source_rows, e.n AS export_rows, e.n AS landed_rows, s.n = e.n AS matches "
         f"FROM (SELECT count(*) AS n FROM {source_of[t.removeprefix('raw_')]}) s, (SELECT count(*) AS n FROM {e}) e"
@@ -586,6 +601,12 @@ def oracle_sql() -> dict[str, str]:
     sql["clone_schema"] = f"""{_ALL}, c AS (SELECT count(*) AS n FROM depot_clean)
         SELECT 'source_rows' AS measure, n AS value FROM c UNION ALL SELECT 'clone_rows', n FROM c
         UNION ALL SELECT 'source_rows_after', n FROM c UNION ALL SELECT 'tables_added', 0 FROM c"""
+    sql["clone_schema_orders"] = f"""{_ALL}, c AS (SELECT count(*) AS n FROM revenue_star)
+        SELECT 'source_rows' AS measure, n AS value FROM c UNION ALL SELECT 'clone_rows', n FROM c
+        UNION ALL SELECT 'source_rows_after', n FROM c UNION ALL SELECT 'tables_added', 0 FROM c"""
+    sql["clone_lean"] = f"""{_ALL}, c AS (SELECT count(*) AS n FROM taxes_clean)
+        SELECT '1 source emptied' AS step, 0::bigint AS source_rows, n AS clone_rows FROM c
+        UNION ALL SELECT '2 source dropped', 0, n FROM c"""
     sql["clone_product"] = f"""{_ALL}, c AS (SELECT count(*) AS n FROM taxes_clean)
         SELECT step, status, n * cloned AS rows FROM c, (VALUES ('1 ensure', 'cloned', 1), ('2 ensure again', 'reused', 1),
           ('3 replace', 'cloned', 1), ('4 same', 'same', 1), ('5 drop', '3', 0), ('6 empty', 'created_empty', 0),
@@ -631,4 +652,24 @@ def oracle_sql() -> dict[str, str]:
         FROM events GROUP BY user_id"""
     sql["lifecycle_fold"] = sql["lifecycle_fold_stream"] = fold
     sql["lifecycle_live_keys"] = f"SELECT user_id FROM ({fold}) WHERE action <> 'destroy'"
+    sql["sandbox_lifecycle"] = sql["sandbox_lifecycle_stream"] = """WITH project AS (
+          SELECT 'p' || n_nationkey AS project, CASE WHEN n_nationkey % 2 = 0 THEN 'main' ELSE 'trunk' END AS trunk
+          FROM nation WHERE n_nationkey % 6 <> 5),
+        raw AS (SELECT event_id, ts, event_type, user_id, 'p' || (user_id % 30) AS project,
+          CASE user_id % 5 WHEN 0 THEN 'main' WHEN 1 THEN 'trunk' ELSE 'feature-' || (user_id % 50) END AS branch FROM events),
+        changes AS (
+          SELECT event_id, ts, project || ':branch:' || branch AS sandbox,
+            CASE event_type WHEN 'error' THEN 'destroy' WHEN 'signup' THEN 'create' ELSE 'update' END AS action
+          FROM raw JOIN project USING (project)
+          WHERE event_type NOT IN ('click', 'view') AND event_id % 10 <> 0 AND event_id % 17 <> 0 AND branch <> trunk
+          UNION ALL
+          SELECT event_id, ts, project || ':request:' || (user_id % 200),
+            CASE WHEN event_id % 4 = 0 OR event_id % 19 = 0 THEN 'destroy' ELSE 'update' END
+          FROM raw JOIN project USING (project)
+          WHERE event_type IN ('click', 'view') AND event_id % 11 <> 0 AND event_id % 13 <> 0 AND branch <> trunk
+            AND trunk = CASE WHEN event_id % 3 = 0 THEN 'trunk' ELSE 'main' END)
+        SELECT sandbox, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(action, (ts, event_id)) AS action
+        FROM changes GROUP BY sandbox"""
+    sql["built_fct_order_revenue_star"] = sql["fct_order_revenue_star"]
+    sql["built_customers_complete"] = sql["customers_complete"]
     return sql

@@ -485,6 +485,26 @@ def upstream_contract(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def upstream_contract_all(spark: SparkSession, folder: str) -> DataFrame:
+    """All grains that the domains read, each expected with what it is a grain of in the source."""
+    wh = _built(spark, folder, "all", domains=False)
+    s = read_operational(spark, folder)
+    expected = {
+        "orders_order_grain": s.orders,
+        "orders_customer_grain": s.customers,
+        "order_lines_order_grain": s.order_items,
+        "customers_entity_grain": s.customers,
+        "customers_region_grain": s.customers.select("region").distinct(),
+        "customers_segment_grain": s.customers.select("segment").distinct(),
+        "taxes_grain": s.taxes,
+        "depot_transactions_grain": s.depot_transactions,
+    }
+    return quality.upstream_contract(
+        wh, {(f"sdp_{scope}", t): expected[t].count() for scope, tables in build.UPSTREAM.items() for t in tables}
+    )
+
+
 @_query
 def layer_parity(spark: SparkSession, folder: str) -> DataFrame:
     r = lineage(spark, folder)
@@ -523,8 +543,8 @@ def declared_checks(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- builds
 
 
-def _built(spark: SparkSession, folder: str, *scopes: str, domains: bool = True) -> Warehouse:
-    wh = own_warehouse(spark)
+def _built(spark: SparkSession, folder: str, *scopes: str, domains: bool = True, lean: bool = False) -> Warehouse:
+    wh = replace(own_warehouse(spark), lean=lean)
     source = read_operational(spark, folder)
     for scope in scopes:
         landing.mirror_all(wh, landing.land(wh, landing.export_frames(source, scope), AS_OF), scope)
@@ -577,6 +597,18 @@ def build_all_lean(spark: SparkSession, folder: str) -> DataFrame:
     return _relation_counts(wh, list(schemas.PRODUCTS), ("access",))
 
 
+@_query
+def built_fct_order_revenue_star(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored fact of a build."""
+    return _built(spark, folder, "orders").table("edp_orders", "core", "fct_order_revenue_star")
+
+
+@_query
+def built_customers_complete(spark: SparkSession, folder: str) -> DataFrame:
+    """The published customers of a lean build, read through its views."""
+    return _built(spark, folder, "customers", lean=True).table("edp_customers", "access", "customers_complete")
+
+
 @_query
 def environment_layout(spark: SparkSession, folder: str) -> DataFrame:
     """The same product in two environments, each under its own landing path."""
@@ -602,6 +634,28 @@ def clone_schema(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(list(counts.items()), "measure string, value bigint")
 
 
+@_query
+def clone_schema_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The CORE tables of the order domain with their fact."""
+    wh = _built(spark, folder, "orders")
+    counts = clones.check_clone(wh, wh.namespace("edp_orders", "core"), "fct_order_revenue_star")
+    return spark.createDataFrame(list(counts.items()), "measure string, value bigint")
+
+
+@_query
+def clone_lean(spark: SparkSession, folder: str) -> DataFrame:
+    """A clone of a product with views, after its source was emptied and after it was dropped."""
+    wh = _built(spark, folder, "taxes", domains=False, lean=True)
+    product, target = "sdp_taxes", "sdp_taxes_ci_clo_own_b1"
+    clones.apply_clone(wh, product, target, replace=False)
+    wh.write(product, "core", "taxes_clean", pin(wh.table(product, "core", "taxes_clean").limit(0), "emptied"))
+    source, clone = wh.table(product, "access", "taxes_grain"), wh.table(target, "access", "taxes_grain")
+    steps = [("1 source emptied", source.count(), clone.count())]
+    clones.drop_clone(wh, target, product)
+    steps.append(("2 source dropped", 0, wh.table(target, "access", "taxes_grain").count()))
+    return spark.createDataFrame(steps, "step string, source_rows bigint, clone_rows bigint")
+
+
 @_query
 def clone_product(spark: SparkSession, folder: str) -> DataFrame:
     """Ensure, ensure again, replace, drop; and a source that is not there."""
@@ -811,5 +865,53 @@ def lifecycle_fold_stream(spark: SparkSession, folder: str) -> DataFrame:
     return fold_stream(_change_events(events), "user_id")
 
 
+def _raw_changes(events: DataFrame) -> DataFrame:
+    """Change events as they arrive: pushes, requests and others, of managed and foreign projects."""
+    kind, user, event = F.col("event_type"), F.col("user_id"), F.col("event_id")
+    zero, revision = F.lit(reconcile.ZERO_REVISION), F.sha1(event.cast("string"))
+    feature = F.concat(F.lit("feature-"), (user % 50).cast("string"))
+    named = F.when(user % 5 == 0, "main").when(user % 5 == 1, "trunk").otherwise(feature)
+    return events.select(
+        "event_id",
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.concat(F.lit("p"), (user % 30).cast("string")).alias("project"),
+        F.when(kind.isin("click", "view"), "merge_request")
+        .when(event % 10 == 0, "tag_push")
+        .when(event % 10 == 1, "repository_update")
+        .otherwise("push")
+        .alias("kind"),
+        F.when(event % 17 != 0, F.concat(F.lit("refs/heads/"), named)).alias("ref"),
+        F.when(kind == "signup", zero).otherwise(revision).alias("before"),
+        F.when(kind == "error", zero).otherwise(revision).alias("after"),
+        F.when(event % 11 != 0, named).alias("source_branch"),
+        F.when(event % 3 == 0, "trunk").otherwise("main").alias("target_branch"),
+        F.when(event % 13 == 0, "").otherwise((user % 200).cast("string")).alias("mr_iid"),
+        F.when(event % 4 == 0, "merge").when(event % 4 == 1, "open").alias("request"),
+        F.when(event % 19 == 0, "closed").otherwise("opened").alias("state"),
+    )
+
+
+def _projects(spark: SparkSession, folder: str) -> DataFrame:
+    """A project per nation but every sixth; half of them without a named default branch."""
+    key = F.col("n_nationkey")
+    named = F.when(key % 2 == 0, "").otherwise("trunk")
+    nation = read_table(spark, folder, "nation").filter(key % 6 != 5)
+    return nation.select(F.concat(F.lit("p"), key.cast("string")).alias("project"), named.alias("default_branch"))
+
+
+@_query
+def sandbox_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw change events through the filters to the last action per sandbox."""
+    changes = reconcile.sandbox_changes(_raw_changes(read_table(spark, folder, "events")), _projects(spark, folder))
+    return reconcile.lifecycle_fold(changes, "sandbox")
+
+
+@_query
+def sandbox_lifecycle_stream(spark: SparkSession, folder: str) -> DataFrame:
+    schema = read_table(spark, folder, "events").schema
+    events = read_event_stream(spark, f"{folder.rstrip('/')}/events.parque[t]", schema)
+    return fold_stream(reconcile.sandbox_changes(_raw_changes(events), _projects(spark, folder)), "sandbox")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)

@@ -23,6 +23,10 @@ COMPARED = [
     "relationships_check",
     "clone_plan",
     "lifecycle_fold_stream",
+    "sandbox_lifecycle",
+    "sandbox_lifecycle_stream",
+    "clone_lean",
+    "built_customers_complete",
 ]
 
 

@@ -158,6 +158,39 @@ def test_clone_names_match_whole_bases_only(spark):
     assert got == want
 
 
+def test_sandbox_changes_drop_what_concerns_no_sandbox(spark):
+    zero, some = reconcile.ZERO_REVISION, "a" * 40
+    schema = (
+        "event_id int, ts int, project string, kind string, ref string, before string, after string, "
+        "source_branch string, target_branch string, mr_iid string, request string, state string"
+    )
+    none = (None,) * 5
+    request = ("p", "merge_request", None, None, None)
+    rows = [
+        (1, 1, "p", "push", "refs/heads/a/b", zero, some, *none),
+        (2, 1, "p", "repository_update", "refs/heads/c", some, zero, *none),
+        (3, 1, "p", "push", "refs/heads/main", zero, some, *none),
+        (4, 1, "p", "push", "refs/tags/v1", zero, some, *none),
+        (5, 1, "p", "push", None, zero, some, *none),
+        (6, 1, "foreign", "push", "refs/heads/a", zero, some, *none),
+        (7, 1, None, "push", "refs/heads/a", zero, some, *none),
+        (8, 1, "p", None, "refs/heads/a", zero, some, *none),
+        (9, 1, *request, "a", "main", "7", "open", "opened"),
+        (10, 1, *request, "a", "main", "8", "merge", None),
+        (11, 1, *request, "a", "release", "9", "open", "opened"),
+        (12, 1, *request, "main", "main", "9", "open", "opened"),
+        (13, 1, *request, None, "main", "9", "open", "opened"),
+        (14, 1, *request, "a", "main", None, "open", "opened"),
+        (15, 1, "q", "push", "refs/heads/main", some, some, *none),
+    ]
+    projects = spark.createDataFrame([("p", None), ("p", None), ("q", "trunk")], "project string, default_branch string")
+    got = {r.event_id: (r.sandbox, r.action) for r in reconcile.sandbox_changes(spark.createDataFrame(rows, schema), projects).collect()}
+    assert got == {
+        1: ("p:branch:a/b", "create"), 2: ("p:branch:c", "destroy"), 9: ("p:request:7", "update"),
+        10: ("p:request:8", "destroy"), 15: ("q:branch:main", "update"),
+    }
+
+
 def test_sandbox_namespace(spark):
     seed = "branch_project_a_feature_with_a_long_name"
     want = f"{seed[:29]}_{_cksum(seed)}".replace("__", "_")[:40]

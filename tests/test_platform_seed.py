@@ -150,6 +150,14 @@ def test_upstream_contract(wh):
         quality.upstream_contract(wh, {("sdp_taxes", "absent"): 1})
 
 
+def test_a_domain_build_needs_its_producer(wh, spark, as_of):
+    with pytest.raises(LookupError, match="sdp_orders.orders_order_grain"):
+        build.build_domain(Warehouse(spark, "nothing_", wh.location), "orders", as_of)
+    with pytest.raises(ValueError, match="sdp_taxes.taxes_grain: 8 rows, not 9"):
+        build.build_domain(wh, "taxes", as_of, {"taxes_grain": 9})
+    build.require_upstream(wh, "all", {"taxes_grain": 8, "orders_order_grain": 30, "customers_region_grain": 3})
+
+
 def test_listing_reports_and_newest_file(wh, spark):
     place = f"{wh.prefix}landing"
     assert [r.table_name for r in catalog.list_tables(spark, place).collect()] == sorted(schemas.LANDED)
