@@ -21,6 +21,7 @@ from terraced.operators import quality
 from terraced.plans import customer_domain as cd
 from terraced.plans import source_products as sp
 from terraced.plans import transaction_domain as td
+from terraced.plans.order_product import OrderProduct, revenue_created, revenue_fulfilled
 from terraced.sources import landing
 from terraced.sources.catalog import Warehouse
 from terraced.sources.seed import Operational
@@ -210,6 +211,39 @@ def _side_by_side(wh: Warehouse, scope: str, build_one: Callable[[str], None]) -
             done.result()
 
 
+def build_order_product(wh: Warehouse, name: str, product: OrderProduct) -> None:
+    """Store one order product as ``sdp_<name>`` and ``edp_<name>`` and require its checks to pass."""
+    sdp, edp = f"sdp_{name}", f"edp_{name}"
+    orders = wh.write(sdp, "core", "orders_clean", product.core_orders())
+    items = wh.write(sdp, "core", "order_items_clean", product.core_items())
+    wh.write(sdp, "access", "orders_order_grain", product.access_orders(orders))
+    wh.write(sdp, "access", "order_lines_order_grain", product.access_items(items))
+    renamed = "* EXCEPT (published_at), published_at AS sdp_published_at"
+    orders = wh.view(edp, "inbound", "in_orders_order_grain", wh.name(sdp, "access", "orders_order_grain"), renamed)
+    lines = wh.view(edp, "inbound", "in_order_lines_order_grain", wh.name(sdp, "access", "order_lines_order_grain"), renamed)
+    customers = wh.write(edp, "core", "dim_customers", product.dim_customers(orders))
+    statuses = wh.write(edp, "core", "dim_order_status", product.dim_order_status(orders))
+    fact = wh.write(edp, "core", "fct_order_revenue_star", product.fact_over(orders, lines, customers, statuses))
+    wh.write(edp, "access", "order_revenue_created", revenue_created(fact))
+    wh.write(edp, "access", "order_revenue_fulfilled", revenue_fulfilled(fact))
+    quality.require(order_product_checks(orders, items, customers, statuses, fact))
+
+
+def order_product_checks(
+    orders: DataFrame, items: DataFrame, customers: DataFrame, statuses: DataFrame, fact: DataFrame
+) -> DataFrame:
+    """The checks an order product declares."""
+    return quality.union(
+        [
+            quality.keys(orders, "core_orders", ["order_id"], ["order_total"]),
+            quality.not_null(items, "core_items", ["order_id", "item_id"]),
+            quality.keys(customers, "dim_customers", ["customer_sk"]),
+            quality.keys(statuses, "dim_order_status", ["status_sk"]),
+            quality.keys(fact, "fact", ["order_id"], ["customer_sk", "status_sk"]),
+        ]
+    )
+
+
 def reload_sources(wh: Warehouse, source: Operational) -> DataFrame:
     """Replace the five operational tables and count them."""
     stored = {t: wh.write("operational", "source", t, df) for t, df in source.tables().items()}

@@ -39,11 +39,13 @@ class OrderProduct:
     def core_items(self) -> DataFrame:
         return source.order_items_typed(self.raw_items)
 
-    def access_orders(self) -> DataFrame:
-        return self.core_orders().withColumn("published_at", instant(self.as_of))
+    def access_orders(self, orders: DataFrame | None = None) -> DataFrame:
+        orders = self.core_orders() if orders is None else orders
+        return orders.withColumn("published_at", instant(self.as_of))
 
-    def access_items(self) -> DataFrame:
-        numbered = number_rows(self.core_items(), "order_id", "item_id", "line_number")
+    def access_items(self, items: DataFrame | None = None) -> DataFrame:
+        items = self.core_items() if items is None else items
+        numbered = number_rows(items, "order_id", "item_id", "line_number")
         return numbered.select(*_LINE_COLUMNS, instant(self.as_of).alias("published_at"))
 
     def inbound_orders(self) -> DataFrame:
@@ -74,9 +76,11 @@ class OrderProduct:
         orders = pin(self.inbound_orders(), "product-orders")
         customers = pin(self.dim_customers(orders), "product-customers")
         statuses = pin(self.dim_order_status(orders), "product-statuses")
-        items = self.core_items().groupBy("order_id").agg(
-            F.sum("line_total").alias("item_revenue"), F.count("*").alias("item_rows")
-        )
+        return self.fact_over(orders, self.core_items(), customers, statuses)
+
+    def fact_over(self, orders: DataFrame, items: DataFrame, customers: DataFrame, statuses: DataFrame) -> DataFrame:
+        """The star fact over given relations; only the columns of the lines that are summed are read."""
+        items = items.groupBy("order_id").agg(F.sum("line_total").alias("item_revenue"), F.count("*").alias("item_rows"))
         return (
             orders.drop("sdp_published_at")
             .join(items, on=["order_id"], how="left")

@@ -53,11 +53,11 @@ class Warehouse:
         df.write.mode("overwrite").format("parquet").saveAsTable(name)
         return self.spark.table(name)
 
-    def view(self, product: str, layer: str, table: str, over: str) -> DataFrame:
-        """A stored view that republishes another product's table."""
+    def view(self, product: str, layer: str, table: str, over: str, columns: str = "*") -> DataFrame:
+        """A stored view that republishes another product's table, or a selection of its ``columns``."""
         self.ensure(self.namespace(product, layer))
         name = self.name(product, layer, table)
-        self.spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {over}")
+        self.spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT {columns} FROM {over}")
         return self.spark.table(name)
 
     def project(self, product: str, layer: str, table: str, df: DataFrame, over: str) -> DataFrame:

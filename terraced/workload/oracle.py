@@ -671,5 +671,10 @@ def oracle_sql() -> dict[str, str]:
         SELECT sandbox, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(action, (ts, event_id)) AS action
         FROM changes GROUP BY sandbox"""
     sql["built_fct_order_revenue_star"] = sql["fct_order_revenue_star"]
+    sql["built_order_product_fact"] = sql["scaffold_fct_order_revenue"]
+    sql["built_order_revenue_fulfilled"] = sql["order_revenue_fulfilled"]
+    sql["sandbox_layout"] = _ALL + " UNION ALL ".join(
+        f"SELECT true AS in_place, count(*) AS row_count, '{t}' AS table_name FROM {source}" for t, source in _EXPORT_COUNTS
+    )
     sql["built_customers_complete"] = sql["customers_complete"]
     return sql

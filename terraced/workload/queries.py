@@ -523,15 +523,8 @@ def scaffold_checks(spark: SparkSession, folder: str) -> DataFrame:
     product = lineage(spark, folder).order_product
     orders = pin(product.core_orders(), "product-orders")
     fact = pin(product.fact(), "product-fact")
-    return quality.union(
-        [
-            quality.keys(orders, "core_orders", ["order_id"], ["order_total"]),
-            quality.not_null(product.core_items(), "core_items", ["order_id", "item_id"]),
-            quality.keys(product.dim_customers(orders), "dim_customers", ["customer_sk"]),
-            quality.keys(product.dim_order_status(orders), "dim_order_status", ["status_sk"]),
-            quality.keys(fact, "fact", ["order_id"], ["customer_sk", "status_sk"]),
-        ]
-    )
+    customers, statuses = product.dim_customers(orders), product.dim_order_status(orders)
+    return build.order_product_checks(orders, product.core_items(), customers, statuses, fact)
 
 
 @_query
@@ -624,6 +617,38 @@ def environment_layout(spark: SparkSession, folder: str) -> DataFrame:
     return quality.union(counts)
 
 
+@_query
+def sandbox_layout(spark: SparkSession, folder: str) -> DataFrame:
+    """Every scope landed under the path of a branch sandbox, with rows and place per table."""
+    place = build.sandbox_path("mesh", "branch", "postgres", "feature_totals")
+    own = own_warehouse(spark)
+    wh = Warehouse(spark, own.prefix, f"{own.location}/{place}")
+    landed = landing.land(wh, landing.export_frames(read_operational(spark, folder)), AS_OF)
+    counts = []
+    for table, df in landed.items():
+        per_file = df.select(F.col("_metadata.file_path").contains(f"/{place}/").alias("in_place"))
+        counts.append(per_file.groupBy("in_place").agg(F.count("*").alias("row_count")).withColumn("table_name", F.lit(table)))
+    return quality.union(counts)
+
+
+def _order_product(spark: SparkSession, folder: str) -> Warehouse:
+    wh = own_warehouse(spark)
+    build.build_order_product(wh, "mesh_orders", lineage(spark, folder).order_product)
+    return wh
+
+
+@_query
+def built_order_product_fact(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored fact of an order product."""
+    return _order_product(spark, folder).table("edp_mesh_orders", "core", "fct_order_revenue_star")
+
+
+@_query
+def built_order_revenue_fulfilled(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored table of fulfilled orders of an order product."""
+    return _order_product(spark, folder).table("edp_mesh_orders", "access", "order_revenue_fulfilled")
+
+
 # ---------------------------------------------------------------- clones
 
 

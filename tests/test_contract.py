@@ -27,6 +27,8 @@ COMPARED = [
     "sandbox_lifecycle_stream",
     "clone_lean",
     "built_customers_complete",
+    "built_order_product_fact",
+    "sandbox_layout",
 ]
 
 
