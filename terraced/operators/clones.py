@@ -8,7 +8,7 @@ re-created with its text would go on reading the source.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -159,6 +159,27 @@ def drop_clone(warehouse: Warehouse, source: str, target: str) -> int:
     return sum(catalog.drop_namespace(warehouse.spark, warehouse.namespace(target, layer)) for layer in LAYERS)
 
 
+def apply_plan(warehouse: Warehouse, plan: DataFrame, mode: str, on_missing: Mapping[str, str]) -> list[tuple[str, str, str]]:
+    """``ensure``, ``replace`` or ``drop`` every clone of a plan; (key, target, what was done) in order of the keys.
+
+    ``on_missing`` says per key what a missing source means, ``error`` where it does
+    not name the key. A source that must be there and is not stops the run before
+    anything is changed. A plan has one row per product, so reading it is bounded.
+    """
+    if mode not in ("ensure", "replace", "drop"):
+        raise ValueError(f"unknown mode {mode!r}")
+    pairs = sorted((r.key, r.source_database, r.target_database) for r in plan.collect())
+    if mode == "drop":
+        return [(key, target, f"dropped {drop_clone(warehouse, source, target)}") for key, source, target in pairs]
+    absent = [s for key, s, _ in pairs if on_missing.get(key, "error") == "error" and not _layers_of(warehouse, s)]
+    if absent:
+        raise LookupError(f"products {', '.join(absent)} are missing; build them before cloning")
+    return [
+        (key, target, apply_clone(warehouse, source, target, replace=mode == "replace", source_missing=on_missing.get(key, "error")))
+        for key, source, target in pairs
+    ]
+
+
 def purge_clones(spark: SparkSession, bases: Sequence[str]) -> list[str]:
     """Drop every namespace that is a clone of any base; returns their names in order."""
     names = catalog.namespaces(spark).select(F.col("namespace").alias("name"))

@@ -611,6 +611,11 @@ def oracle_sql() -> dict[str, str]:
         SELECT step, status, n * cloned AS rows FROM c, (VALUES ('1 ensure', 'cloned', 1), ('2 ensure again', 'reused', 1),
           ('3 replace', 'cloned', 1), ('4 same', 'same', 1), ('5 drop', '3', 0), ('6 empty', 'created_empty', 0),
           ('7 empty again', 'reused_empty', 0), ('8 empty replace', 'created_empty', 0), ('9 missing', 'error', 0)) v(step, status, cloned)"""
+    sql["clone_registry"] = f"""{_ALL}, c AS (SELECT 'taxes' AS key, count(*) AS n FROM taxes_clean
+          UNION ALL SELECT 'depot', count(*) FROM depot_clean UNION ALL SELECT 'absent', 0)
+        SELECT step, key, CASE WHEN key <> 'absent' THEN there ELSE absent END AS status, n * cloned AS rows
+        FROM c, (VALUES ('1 ensure', 'cloned', 'created_empty', 1), ('2 ensure', 'reused', 'reused_empty', 1),
+          ('3 replace', 'cloned', 'created_empty', 1), ('4 drop', 'dropped 3', 'dropped 0', 0)) v(step, there, absent, cloned)"""
     sql["clone_purge"] = f"{_ALL} SELECT 6::bigint AS purged, count(*) AS source_rows FROM taxes_clean"
     sql["clone_plan"] = f"""{_clone_named("feature_rework_of_daily_totals")}
         SELECT arg_min(key, position) AS key, arg_min(source_database, position) AS source_database, target_database

@@ -708,6 +708,22 @@ def clone_product(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(steps, "step string, status string, rows bigint")
 
 
+@_query
+def clone_registry(spark: SparkSession, folder: str) -> DataFrame:
+    """A registry's plan ensured twice, replaced and dropped, with the rows each clone publishes after it."""
+    wh = _built(spark, folder, "taxes", "depot_transactions", domains=False)
+    products = [(1, "taxes", "sdp_taxes"), (2, "depot", "sdp_depot_transactions"), (3, "absent", "sdp_absent"), (4, "unset", None)]
+    registry = spark.createDataFrame(products, "position int, key string, source_database string")
+    plan = pin(clones.clone_plan(registry, "OWN", F.lit("b1")), "plan")
+    grains = {"taxes": "taxes_grain", "depot": "depot_transactions_grain"}
+    steps = []
+    for step, mode in (("1 ensure", "ensure"), ("2 ensure", "ensure"), ("3 replace", "replace"), ("4 drop", "drop")):
+        for key, target, done in clones.apply_plan(wh, plan, mode, {"absent": "create_empty"}):
+            there = key in grains and wh.exists(target, "access", grains[key])
+            steps.append((step, key, done, wh.table(target, "access", grains[key]).count() if there else 0))
+    return spark.createDataFrame(steps, "step string, key string, status string, rows bigint")
+
+
 @_query
 def clone_purge(spark: SparkSession, folder: str) -> DataFrame:
     """Two clones of three namespaces each are purged, the product itself stays."""

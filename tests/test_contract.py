@@ -26,6 +26,7 @@ COMPARED = [
     "sandbox_lifecycle",
     "sandbox_lifecycle_stream",
     "clone_lean",
+    "clone_registry",
     "built_customers_complete",
     "built_order_product_fact",
     "sandbox_layout",

@@ -195,6 +195,16 @@ def test_clone_ensure_replace_drop_and_purge(wh, spark):
     assert wh.table("edp_taxes", "access", "taxes_only").count() == 8
 
 
+def test_clone_plan_stops_before_any_change(wh, spark):
+    rows = [("absent", "sdp_absent", "absent_ci_clo_own_b2"), ("taxes", "sdp_taxes", "sdp_taxes_ci_clo_own_b2")]
+    plan = spark.createDataFrame(rows, "key string, source_database string, target_database string")
+    with pytest.raises(LookupError, match="sdp_absent"):
+        clones.apply_plan(wh, plan, "ensure", {})
+    assert not catalog.namespace_exists(spark, wh.namespace("sdp_taxes_ci_clo_own_b2", "core"))
+    with pytest.raises(ValueError, match="unknown mode"):
+        clones.apply_plan(wh, plan, "swap", {})
+
+
 def test_landing_refresh_and_purge(spark, as_of):
     wh = Warehouse(spark, "refresh_", scratch_path(spark, "warehouse"))
     frames = landing.export_frames(seed_all(spark, as_of), "taxes")
