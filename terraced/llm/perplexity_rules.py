@@ -1,23 +1,27 @@
 """Quality rules and n-gram perplexity under a modified Kneser-Ney model of each language.
 
-The model is a trigram model of characters folded to ``SYMBOLS`` classes: one for
-each letter a-z, several for other letters, one for capitals, digits and each common
-mark. Spark counts the trigrams of every text: each task adds up its own counts, so
-at most ``SYMBOLS ** 3`` rows per language leave a task, and a partial sum joins
-them. From the counts come modified Kneser-Ney probabilities (three discounts for
-each order, lower orders from continuation counts), stored as arrays of hashes in
-order with their log probabilities, which tasks search. Languages share
-``SLOTS`` models by the hash of their name, so the broadcast arrays hold at most
-``SLOTS * SYMBOLS ** 3`` entries of 16 bytes, 268 MB, whatever the corpus; four
-languages take under 2 MB.
-
-A document's perplexity is that of its folded text in pieces of ``CHUNK`` characters,
-of which the middle one counts, so a quoted passage in another language does not
-decide about a document. Each language has a lower and an
-upper border, the median of its documents' log perplexity minus and plus ``WIDTH``
-robust standard deviations (at least ``LEAST``). Equal values count once there, so a
-large group of copies does not narrow the band. Documents beyond a border, or that
-fail the base rules, are not kept.
+The model is one of character trigrams (digits folded to one character, white space but
+line ends to a space) with no limit on characters, n-grams or languages: what is counted
+grows with the corpus. Rows are stored once in blocks of at most ``ROWS_PER_BLOCK``, in a
+table bucketed by block. A task counts the distinct n-grams of its block; Spark adds the
+blocks up and makes from them, with joins and aggregates, continuation counts of the lower
+orders, three discounts for each order and language, and interpolated probabilities.
+
+A document is part of the corpus that judges it, so each occurrence is left out of the
+counts when its own probability is taken: one is taken off the n-gram, and off each lower
+order whose n-gram occurs in that place alone. Without this, junk would look familiar
+because it had been counted itself.
+
+Nothing of the model is broadcast and no task holds it whole. Each block gets the n-grams
+it counted back with their log probabilities, as an array sorted by hash, and searches
+that; its size is bounded by the block. Texts are not shuffled for it, as they lie by block.
+
+A document's perplexity is that of its text in pieces of ``CHUNK`` characters, of which
+the middle one counts, so a quoted passage in another language does not decide about a
+document. Each language has a lower and an upper border, the median of its documents' log
+perplexity minus and plus ``WIDTH`` robust standard deviations (at least ``LEAST``). Equal
+values count once there, so a large group of copies does not narrow the band. Documents
+beyond a border, or that fail the base rules, are not kept.
 
 Defined results. Null and empty texts have no words and fail the base rules. A null
 language is a language of its own. Repeated rows stay rows. Only id, text and lang
@@ -27,159 +31,158 @@ are read. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
-import zlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraced.llm.common import in_chunks, mix64, pin
+from terraced.session import scanned_bytes
 
-SYMBOLS = 64
-SLOTS = 64
-WIDTH = 5.0
-LEAST = 0.12
+ORDER = 3
+WIDTH = 4.0
+LEAST = 0.1
 CHUNK = 200
-_SIZE = SYMBOLS**3
-_OWN_CLASS = ".,!?|#*$%&<>"
-
-
-def _fold_table() -> np.ndarray:
-    """The symbol class of every code point below 65536; 0 is the border of a text."""
-    table = np.full(65536, 63, dtype=np.int32)
-    for point in range(65536):
-        char = chr(point)
-        if char.isalpha():
-            table[point] = 4 if char.isupper() else 31 + point % 16
-        elif char.isdigit():
-            table[point] = 3
-        elif point > 32 and not char.isspace():
-            table[point] = 62
-    for at, char in enumerate("abcdefghijklmnopqrstuvwxyz"):
-        table[ord(char)] = 5 + at
-    for at, char in enumerate(_OWN_CLASS):
-        table[ord(char)] = 47 + at
-    for chars, symbol in (("\"'`", 59), ("()[]{}", 60), ("-_/\\", 61), (" \t\x0b\x0c\r", 1), ("\n", 2)):
-        for char in chars:
-            table[ord(char)] = symbol
-    return table
-
-
-_tables: dict[str, np.ndarray] = {}
-
-
-def _folded(text: str) -> np.ndarray:
-    if "fold" not in _tables:
-        _tables["fold"] = _fold_table()
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return _tables["fold"][np.minimum(points, 65535)]
-
-
-def _trigrams(text: str) -> np.ndarray:
-    row = np.concatenate(([0, 0], _folded(text), [0]))
-    return (row[:-2] * SYMBOLS + row[1:-1]) * SYMBOLS + row[2:]
-
-
-def _slot(lang: str | None) -> int:
-    return zlib.crc32((lang or "").encode("utf-8", "surrogatepass")) % SLOTS
+ROWS_PER_BLOCK = 16_384
+BYTES_PER_BUCKET = 32 * 1024 * 1024
+MOST_BUCKETS = 100_000  # what Spark allows; a bucket then holds several blocks, one after the other
+HELD = 2_000_000  # n-grams a counting task holds before it hands on what it has
+_BORDER = 2
+
+
+def _fold(points: np.ndarray) -> np.ndarray:
+    points = np.where((points >= 48) & (points <= 57), 48, points)
+    points = np.where((points == 9) | ((points >= 11) & (points <= 13)), 32, points)
+    return np.where((points == 0) | (points == _BORDER), 0xFFFD, points).astype(np.uint32)
+
+
+def _hashed(grams: np.ndarray) -> np.ndarray:
+    """A hash of each row of ``grams``, an array of code points ``ORDER`` wide."""
+    found = np.zeros(len(grams), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(ORDER):
+            found = mix64(found + grams[:, at].astype(np.uint64))
+    return found
+
+
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that end in each character and the end of each text, and how many each text has."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    lead = chr(_BORDER) * (ORDER - 1)
+    joined = lead.join(["", *(t + chr(_BORDER) for t in texts)])
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    starts = np.concatenate(([0], np.cumsum(sizes + ORDER)[:-1])).astype(np.int64)
+    border = np.zeros(len(points), dtype=bool)
+    border[(starts[:, None] + np.arange(ORDER - 1)).ravel()] = True
+    predicted = np.flatnonzero(~border)
+    border[starts + ORDER - 1 + sizes] = True
+    points = np.where(border, np.uint32(_BORDER), _fold(points))
+    return np.lib.stride_tricks.sliding_window_view(points, ORDER)[predicted - (ORDER - 1)], sizes + 1
 
 
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sums: dict[int, np.ndarray] = {}
+    held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for frame in in_chunks(frames, "text"):
-        for lang, text in zip(frame["lang"], frame["text"]):
-            if text:
-                found = sums.setdefault(_slot(lang), np.zeros(_SIZE, dtype=np.int64))
-                codes, counts = np.unique(_trigrams(text), return_counts=True)
-                found[codes] += counts
-    for slot, found in sums.items():
-        codes = np.flatnonzero(found)
-        yield pd.DataFrame({"slot": slot, "code": codes, "n": found[codes]})
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """The discount of each count, from the numbers of entries seen once to four times."""
-    n1, n2, n3, n4 = (int((counts == k).sum()) for k in (1, 2, 3, 4))
-    d = np.array([0.0, 0.5, 0.75, 0.9])
-    if n1 and n2:
-        y = n1 / (n1 + 2 * n2)
-        d[1] = 1 - 2 * y * n2 / n1
-        d[2] = 2 - 3 * y * n3 / n2
-        d[3] = 3 - 4 * y * n4 / n3 if n3 else d[2]
-        d[1:] = np.clip(d[1:], 0.05, [0.95, 1.95, 2.95])
-    return d[np.minimum(counts, 3)]
-
-
-def _interpolated(counts: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities along the last axis given those of the order below, and the weight left to it."""
-    totals = counts.sum(axis=-1, keepdims=True)
-    cut = _discounts(counts)
-    weight = np.where(totals > 0, cut.sum(axis=-1, keepdims=True) / np.maximum(totals, 1), 1.0)
-    return np.maximum(counts - cut, 0) / np.maximum(totals, 1) + weight * lower, weight[..., 0]
+        for key, part in frame[frame["text"].str.len() > 0].groupby(["block", "of"]):
+            rows, _ = _grams(list(part["text"]))
+            keys, first, n = np.unique(_hashed(rows), return_index=True, return_counts=True)
+            rows = rows[first]
+            if key in held:
+                known, counts, grams = held[key]
+                keys, first, back = np.unique(np.concatenate((known, keys)), return_index=True, return_inverse=True)
+                rows = np.concatenate((grams, rows))[first]
+                n = np.bincount(back, np.concatenate((counts, n)), len(keys)).astype(np.int64)
+            held[key] = keys, n, rows
+        if sum(len(entry[0]) for entry in held.values()) > HELD:  # sums are joined later, so parts may leave early
+            yield from _handed_on(held)
+            held = {}
+    yield from _handed_on(held)
+
+
+def _handed_on(held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+    for (block, of), (_, n, rows) in held.items():
+        for at in range(0, len(n), 100_000):
+            part = np.ascontiguousarray(rows[at : at + 100_000]).view(f"<U{ORDER}").ravel()
+            yield pd.DataFrame({"block": block, "of": of, "gram": part.astype(object), "n": n[at : at + 100_000]})
+
+
+def probabilities(counts: DataFrame) -> DataFrame:
+    """``of``, ``gram``, ``value`` (log probability, its own occurrence left out) from ``of``, ``gram``, ``n``."""
+    tables = {ORDER: pin(counts.groupBy("of", "gram").agg(F.sum("n").alias("c")), f"grams-{ORDER}")}
+    for order in range(ORDER - 1, 0, -1):
+        suffix = F.expr("substring(gram, 2)").alias("gram")
+        tables[order] = pin(tables[order + 1].groupBy("of", suffix).agg(F.count("*").alias("c")), f"grams-{order}")
+    lower = None
+    for order in range(1, ORDER + 1):
+        lower = pin(_interpolated(tables[order], order, lower), f"probabilities-{order}")
+    return lower.select("of", "gram", F.log("left_out").alias("value"))
+
+
+def _interpolated(table: DataFrame, order: int, lower: DataFrame | None) -> DataFrame:
+    """``p``, and ``left_out``: the same with one occurrence taken off, for each n-gram of an order."""
+
+    def times(k: int) -> Column:
+        return F.count(F.when(F.col("c") == k, 1))
+
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    raw = {
+        "d1": 1 - 2 * y * F.col("n2") / F.col("n1"),
+        "d2": 2 - 3 * y * F.col("n3") / F.col("n2"),
+        "d3": F.when(F.col("n3") > 0, 3 - 4 * y * F.col("n4") / F.col("n3")).otherwise(2 - 3 * y * F.col("n3") / F.col("n2")),
+    }
+    seen = table.groupBy("of").agg(*[times(k).alias(f"n{k}") for k in (1, 2, 3, 4)])
+    some = (F.col("n1") > 0) & (F.col("n2") > 0)
+    cuts = [
+        F.when(some, F.greatest(F.lit(0.05), F.least(F.lit(most), raw[name]))).otherwise(F.lit(usual)).alias(name)
+        for name, most, usual in (("d1", 0.95, 0.5), ("d2", 1.95, 0.75), ("d3", 2.95, 0.9))
+    ]
+    cuts = pin(seen.select("of", *cuts), "discounts")  # one row for each language
+
+    context = F.expr(f"substring(gram, 1, {order - 1})")
+    rows = table.withColumn("context", context).withColumn("suffix", F.expr("substring(gram, 2)"))
+    totals = rows.groupBy("of", "context").agg(
+        F.sum("c").alias("total"), times(1).alias("t1"), times(2).alias("t2"), F.count(F.when(F.col("c") > 2, 1)).alias("t3")
+    )
+    rows = rows.join(totals, ["of", "context"]).join(cuts, "of")
+    if lower is None:  # all characters of the language and one unknown are alike
+        rows = rows.withColumn("low", 1 / (F.col("t1") + F.col("t2") + F.col("t3") + 1)).withColumn("low_out", F.col("low"))
+    else:
+        below = lower.select("of", F.col("gram").alias("suffix"), F.col("p").alias("low"), F.col("left_out").alias("low_out"))
+        rows = rows.join(below, ["of", "suffix"])
+
+    def cut(count: Column) -> Column:
+        return F.when(count <= 0, 0.0).when(count == 1, F.col("d1")).when(count == 2, F.col("d2")).otherwise(F.col("d3"))
+
+    c, total = F.col("c"), F.col("total")
+    freed = F.col("d1") * F.col("t1") + F.col("d2") * F.col("t2") + F.col("d3") * F.col("t3")
+    freed_out = freed - cut(c) + cut(c - 1)
+    below_out = F.when(c == 1, F.col("low_out")).otherwise(F.col("low"))
+    p = (F.greatest(c - cut(c), F.lit(0.0)) + freed * F.col("low")) / total
+    left_out = (F.greatest(c - 1 - cut(c - 1), F.lit(0.0)) + freed_out * below_out) / (total - 1)
+    return rows.select("of", "gram", p.alias("p"), F.when(total == 1, below_out).otherwise(left_out).alias("left_out"))
 
 
 class Model:
-    """Log probabilities in arrays sorted by the hash of slot, order and n-gram."""
+    """The log probabilities of one language and block in an array sorted by the hash of the n-gram."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
+    def __init__(self, grams: list[str], values: np.ndarray):
+        points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        keys = _hashed(points.reshape(-1, ORDER))
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
-
-    @staticmethod
-    def hashed(slot: int, order: int, codes: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix64(codes.astype(np.uint64) | np.uint64((slot * 8 + order) << 20))
-
-    @classmethod
-    def of_counts(cls, rows: pd.DataFrame) -> Model:
-        keys, values = [np.empty(0, np.uint64)], [np.empty(0)]
-
-        def put(slot: int, order: int, table: np.ndarray, where: np.ndarray) -> None:
-            codes = np.flatnonzero(where)
-            keys.append(cls.hashed(slot, order, codes))
-            values.append(np.log(table.ravel()[codes]))
-
-        for slot, part in rows.groupby("slot"):
-            three = np.zeros(_SIZE, dtype=np.int64)
-            three[part["code"]] = part["n"]
-            three = three.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
-            two = (three > 0).sum(axis=0)
-            one = (two > 0).sum(axis=0)
-            p1, _ = _interpolated(one, np.full(SYMBOLS, 1 / SYMBOLS))
-            p2, left2 = _interpolated(two, p1[None, :])
-            p3, left3 = _interpolated(three, p2[None, :, :])
-            put(slot, 1, p1, p1 > 0)
-            put(slot, 2, p2, two > 0)
-            put(slot, 3, p3, three > 0)
-            put(slot, 4, left2, (two.sum(axis=-1) > 0) & (left2 > 0))
-            put(slot, 5, left3, (three.sum(axis=-1) > 0) & (left3 > 0))
-        return cls(np.concatenate(keys), np.concatenate(values))
-
-    def find(self, slot: int, order: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The stored values, 0 where there is none, and where there is one."""
-        if not len(self.keys):
-            return np.zeros(len(codes)), np.zeros(len(codes), dtype=bool)
-        wanted = self.hashed(slot, order, codes)
+        self.keys, self.values = keys[order], np.asarray(values, dtype=np.float64)[order]
+
+    def log_perplexity(self, text: str) -> float:
+        rows, _ = _grams([text])
+        wanted = _hashed(rows)
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        hit = self.keys[at] == wanted
-        return np.where(hit, self.values[at], 0.0), hit
-
-    def log_perplexity(self, slot: int, text: str) -> float:
-        every = _trigrams(text)
-        codes, back = np.unique(every, return_inverse=True)
-        logs, hit = self.find(slot, 3, codes)
-        rest = codes[~hit]
-        if len(rest):
-            back3, _ = self.find(slot, 5, rest // SYMBOLS)
-            two, hit2 = self.find(slot, 2, rest % SYMBOLS**2)
-            back2, _ = self.find(slot, 4, rest // SYMBOLS % SYMBOLS)
-            one, _ = self.find(slot, 1, rest % SYMBOLS)
-            logs[~hit] = back3 + np.where(hit2, two, back2 + one)
-        starts = np.arange(0, max(len(every) - CHUNK // 2, 1), CHUNK)
-        sums = np.add.reduceat(logs[back], starts)
-        return float(np.median(-sums / np.diff(np.append(starts, len(every)))))
+        if not (self.keys[at] == wanted).all():
+            raise ValueError("an n-gram of the text was not counted")
+        starts = np.arange(0, max(len(wanted) - CHUNK // 2, 1), CHUNK)
+        sums = np.add.reduceat(self.values[at], starts)
+        return float(np.median(-sums / np.diff(np.append(starts, len(wanted)))))
 
 
 def base_measures(text: str | None) -> tuple[int, int, int, int, int]:
@@ -206,31 +209,47 @@ def base_measures(text: str | None) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
 
+_MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
+
+
+def _measured(docs: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
+    """The measures of the rows of one block, with the n-grams it counted."""
+    models = {of: Model(list(part["gram"]), part["value"]) for of, part in grams.groupby("of")}
+    rows = [(*base_measures(t), models[of].log_perplexity(t) if t else math.nan) for of, t in zip(docs["of"], docs["text"])]
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in _MEASURES.split(", ")])
+    out.insert(0, "lang", docs["lang"].to_numpy())
+    out.insert(0, "doc_id", docs["doc_id"].astype("Int64").to_numpy())
+    return out
+
+
+def _in_blocks(docs: DataFrame, name: str) -> DataFrame:
+    """Store id, text and language as table ``name``, bucketed by ``block``; ``of`` stands for the language.
+
+    A block holds rows of one task, so a task writes its blocks without a shuffle.
+    The number is stored, so whatever runs again later sees the same blocks.
+    """
+    number = F.monotonically_increasing_id()  # the task, and below 33 bits the row within it
+    per_task = (1 << 33) // ROWS_PER_BLOCK
+    block = F.shiftright(number, 33) * per_task + (number.bitwiseAND((1 << 33) - 1) / ROWS_PER_BLOCK).cast("long")
+    lang = F.col("lang").cast("string")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
+    read = read.select("*", block.alias("block"), F.xxhash64("lang").alias("of"))
+    buckets = min(max(scanned_bytes(docs) // BYTES_PER_BUCKET, 8), MOST_BUCKETS)
+    read.write.bucketBy(buckets, "block").option("compression", "zstd").format("parquet").saveAsTable(name)
+    return docs.sparkSession.table(name)
+
+
 def judge(docs: DataFrame, *, width: float = WIDTH, least: float = LEAST) -> DataFrame:
     """The base measures, ``base_failed``, ``log_perplexity`` and ``kept`` for every row of ``docs``."""
-    read = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
-    )
-    counts = read.select("lang", "text").mapInPandas(_count, "slot int, code int, n long")
-    counts = counts.groupBy("slot", "code").agg(F.sum("n").alias("n"))
-    model = Model.of_counts(counts.toPandas())  # bounded by SLOTS and SYMBOLS
-    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.values))
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = Model(*shared.value)
-        for frame in in_chunks(frames, "text"):
-            rows = [(*base_measures(t), found.log_perplexity(_slot(lang), t) if t else math.nan) for lang, t in zip(frame["lang"], frame["text"])]
-            out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"])
-            out.insert(0, "lang", frame["lang"].to_numpy())
-            out.insert(0, "doc_id", frame["doc_id"].astype("Int64").to_numpy())
-            yield out
-
-    measured = read.mapInPandas(
-        score,
-        "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double",
-    )
+    spark, name = docs.sparkSession, f"perplexity_{uuid.uuid4().hex}"
+    stored = _in_blocks(docs, name)
+    counts = stored.select("block", "of", "text").mapInPandas(_count, "block long, of long, gram string, n long")
+    counts = pin(counts, "block-grams")
+    wanted = counts.select("block", "of", "gram").join(probabilities(counts), ["of", "gram"]).dropDuplicates(["block", "of", "gram"])
+    measured = stored.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(_measured, "doc_id long, lang string, " + _MEASURES)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     measured = pin(measured.withColumn("base_failed", failed), "perplexity")
+    spark.sql(f"DROP TABLE {name}")
 
     values = measured.filter("NOT base_failed").select(F.col("lang").alias("_lang"), "log_perplexity").distinct()
     middle = values.groupBy("_lang").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("_middle"))

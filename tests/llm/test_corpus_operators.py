@@ -11,7 +11,7 @@ import math
 import os
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from urllib.parse import quote
 
 import numpy as np
@@ -298,36 +298,36 @@ def test_url_rules(spark):
 
 
 def kneser_ney(texts):
-    """Modified Kneser-Ney probabilities of character-class trigrams, straight from the definition."""
-    tables = [defaultdict(int) for _ in range(3)]
-    for t in texts:
-        row = [0, 0, *perplexity_rules._folded(t), 0]
-        for i in range(len(row) - 2):
-            tables[2][tuple(map(int, row[i : i + 3]))] += 1
-    for order in (1, 0):
-        for gram in tables[order + 1]:
-            tables[order][gram[1:]] += 1
+    """Modified Kneser-Ney from its definition; ``p(gram, out)`` with one occurrence of ``gram`` taken off if ``out``."""
+    n = perplexity_rules.ORDER
+    tables = [Counter() for _ in range(n)]
+    for text in texts:
+        row = "\x02" * (n - 1) + text + "\x02"
+        tables[-1].update(row[i : i + n] for i in range(len(row) - n + 1))
+    for order in range(n - 2, -1, -1):
+        tables[order].update(gram[1:] for gram in tables[order + 1])
     cuts = []
     for table in tables:
-        n = [sum(v == k for v in table.values()) for k in range(5)]
+        times = [sum(v == k for v in table.values()) for k in range(5)]
         d = [0.0, 0.5, 0.75, 0.9]
-        if n[1] and n[2]:
-            y = n[1] / (n[1] + 2 * n[2])
-            raw = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2]]
-            raw.append(3 - 4 * y * n[4] / n[3] if n[3] else raw[1])
+        if times[1] and times[2]:
+            y = times[1] / (times[1] + 2 * times[2])
+            raw = [1 - 2 * y * times[2] / times[1], 2 - 3 * y * times[3] / times[2]]
+            raw.append(3 - 4 * y * times[4] / times[3] if times[3] else raw[1])
             d[1:] = [min(max(r, 0.05), m) for r, m in zip(raw, (0.95, 1.95, 2.95))]
         cuts.append(d)
 
-    def p(gram):
-        order = len(gram) - 1
-        if order < 0:
-            return 1 / perplexity_rules.SYMBOLS
-        own = {g: v for g, v in tables[order].items() if g[:-1] == gram[:-1]}
+    def p(gram, out=False):
+        if not gram:
+            return 1 / (len(tables[0]) + 1)
+        d = cuts[len(gram) - 1]
+        own = {g: v for g, v in tables[len(gram) - 1].items() if g[:-1] == gram[:-1]}
+        if out:
+            own[gram] -= 1
+        lower = p(gram[1:], out and not own[gram])
         total = sum(own.values())
-        lower = p(gram[1:]) if order else 1 / perplexity_rules.SYMBOLS
         if not total:
             return lower
-        d = cuts[order]
         left = sum(d[min(v, 3)] for v in own.values()) / total
         seen = own.get(gram, 0)
         return max(seen - d[min(seen, 3)], 0) / total + left * lower
@@ -335,16 +335,34 @@ def kneser_ney(texts):
     return p
 
 
-def test_perplexity_equals_the_definition():
-    texts = ["the cat sat on the mat.", "a dog and a cat!", "Über 12 cats & dogs", "mat mat mat the the"]
-    frame = next(iter([f for f in perplexity_rules._count(iter([__import__("pandas").DataFrame({"lang": ["en"] * 4, "text": texts})]))]))
-    model, p = perplexity_rules.Model.of_counts(frame), kneser_ney(texts)
-    for text in [*texts, "zebra quiz", "x"]:
-        row = [0, 0, *map(int, perplexity_rules._folded(text)), 0]
-        logs = [math.log(p(tuple(row[i : i + 3]))) for i in range(len(row) - 2)]
-        assert math.isclose(model.log_perplexity(perplexity_rules._slot("en"), text), -sum(logs) / len(logs), rel_tol=1e-9)
-    for context in ((5, 6), (0, 0), (12, 40)):
-        assert math.isclose(sum(p((*context, s)) for s in range(64)), 1.0, rel_tol=1e-9)
+def test_perplexity_equals_the_definition(spark):
+    texts = ["the cat sat on the mat.", "a dog and a cat!", "\u00dcber the cats & dogs \U0001f600", "mat mat mat the the", "zx"]
+    other = ["le chat et le chien", "un chat"]
+    words = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))  # a document with several pieces
+    rows = [(i, t, "en") for i, t in enumerate([*texts, words])] + [(i + 20, t, None) for i, t in enumerate(other)]
+    got = {r["doc_id"]: r["log_perplexity"] for r in perplexity_rules.judge(spark.createDataFrame(rows, SCHEMA.split(", source")[0])).collect()}
+    n = perplexity_rules.ORDER
+    for part in ([*texts, words], other):
+        p = kneser_ney(part)
+        for doc_id, text, _ in [r for r in rows if r[1] in part]:
+            row = "\x02" * (n - 1) + text + "\x02"
+            logs = [math.log(p(row[i : i + n], True)) for i in range(len(row) - n + 1)]
+            starts = range(0, max(len(logs) - perplexity_rules.CHUNK // 2, 1), perplexity_rules.CHUNK)
+            pieces = [logs[s:e] for s, e in zip(starts, [*starts[1:], len(logs)])]
+            assert math.isclose(got[doc_id], np.median([-sum(x) / len(x) for x in pieces]), rel_tol=1e-9)
+    p = kneser_ney(texts)
+    for context in ("th", "\x02\x02", "at"):
+        chars = {c for t in texts for c in t} | {"\x02"}
+        assert math.isclose(sum(p(context + c) for c in chars) + p(context + "?"), 1.0, rel_tol=1e-9)
+
+
+def test_the_model_grows_and_ignores_how_rows_are_dealt(spark):
+    rows = [(i, " ".join(f"{chr(97 + (i * 7 + k) % 26)}{chr(97 + k % 26)}{i % 3}" for k in range(80)), "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA.split(", source")[0])
+    one = {r["doc_id"]: r["log_perplexity"] for r in perplexity_rules.judge(docs.coalesce(1)).collect()}
+    many = {r["doc_id"]: r["log_perplexity"] for r in perplexity_rules.judge(docs.repartition(7)).collect()}
+    assert one.keys() == many.keys() and all(math.isclose(one[k], many[k], rel_tol=1e-9) for k in one)
+    assert not spark.catalog.listTables() or not [t for t in spark.catalog.listTables() if t.name.startswith("perplexity_")]
 
 
 def test_base_measures_equal_plain_python(odd, docs, empty):
