@@ -10,11 +10,16 @@ orders, three discounts for each order and language, and interpolated probabilit
 A document is part of the corpus that judges it, so each occurrence is left out of the
 counts when its own probability is taken: one is taken off the n-gram, and off each lower
 order whose n-gram occurs in that place alone. Without this, junk would look familiar
-because it had been counted itself.
+because it had been counted itself. Where other rows of the language hold the same text
+(as the model reads it), all they counted is taken off as well, from n-grams, totals and
+numbers of n-grams of a context, so a document is judged alike however often it is copied.
+Lower orders count each n-gram once and the text itself stays, so copies do not touch them;
+the three discounts are those of all rows.
 
 Nothing of the model is broadcast and no task holds it whole. Each block gets the n-grams
-it counted back with their log probabilities, as an array sorted by hash, and searches
-that; its size is bounded by the block. Texts are not shuffled for it, as they lie by block.
+it counted back with the parts of their probabilities, as arrays sorted by hash, and searches
+those; their size is bounded by the block. Texts are not shuffled for it, as they lie by block;
+equal ones are counted by digest.
 
 A document's perplexity is that of its text in pieces of ``CHUNK`` characters, of which
 the middle one counts, so a quoted passage in another language does not decide about a
@@ -51,6 +56,7 @@ BYTES_PER_BUCKET = 32 * 1024 * 1024
 MOST_BUCKETS = 100_000  # what Spark allows; a bucket then holds several blocks, one after the other
 HELD = 2_000_000  # n-grams a counting task holds before it hands on what it has
 _BORDER = 2
+_PARTS = ("c", "total", "t1", "t2", "t3", "low", "low_out", "d1", "d2", "d3")
 
 
 def _fold(points: np.ndarray) -> np.ndarray:
@@ -60,10 +66,10 @@ def _fold(points: np.ndarray) -> np.ndarray:
 
 
 def _hashed(grams: np.ndarray) -> np.ndarray:
-    """A hash of each row of ``grams``, an array of code points ``ORDER`` wide."""
+    """A hash of each row of ``grams``, an array of code points."""
     found = np.zeros(len(grams), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for at in range(ORDER):
+        for at in range(grams.shape[1]):
             found = mix64(found + grams[:, at].astype(np.uint64))
     return found
 
@@ -110,19 +116,19 @@ def _handed_on(held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def probabilities(counts: DataFrame) -> DataFrame:
-    """``of``, ``gram``, ``value`` (log probability, its own occurrence left out) from ``of``, ``gram``, ``n``."""
+    """``of``, ``gram`` and what ``left_out`` makes its probability of, from ``of``, ``gram``, ``n``."""
     tables = {ORDER: pin(counts.groupBy("of", "gram").agg(F.sum("n").alias("c")), f"grams-{ORDER}")}
     for order in range(ORDER - 1, 0, -1):
         suffix = F.expr("substring(gram, 2)").alias("gram")
         tables[order] = pin(tables[order + 1].groupBy("of", suffix).agg(F.count("*").alias("c")), f"grams-{order}")
     lower = None
-    for order in range(1, ORDER + 1):
-        lower = pin(_interpolated(tables[order], order, lower), f"probabilities-{order}")
-    return lower.select("of", "gram", F.log("left_out").alias("value"))
+    for order in range(1, ORDER):
+        lower = pin(_interpolated(_parts(tables[order], order, lower)), f"probabilities-{order}")
+    return pin(_parts(tables[ORDER], ORDER, lower).select("of", "gram", *_PARTS), f"probabilities-{ORDER}")
 
 
-def _interpolated(table: DataFrame, order: int, lower: DataFrame | None) -> DataFrame:
-    """``p``, and ``left_out``: the same with one occurrence taken off, for each n-gram of an order."""
+def _parts(table: DataFrame, order: int, lower: DataFrame | None) -> DataFrame:
+    """Count, sums of the context, discounts and lower probabilities of each n-gram of an order."""
 
     def times(k: int) -> Column:
         return F.count(F.when(F.col("c") == k, 1))
@@ -152,6 +158,11 @@ def _interpolated(table: DataFrame, order: int, lower: DataFrame | None) -> Data
     else:
         below = lower.select("of", F.col("gram").alias("suffix"), F.col("p").alias("low"), F.col("left_out").alias("low_out"))
         rows = rows.join(below, ["of", "suffix"])
+    return rows
+
+
+def _interpolated(rows: DataFrame) -> DataFrame:
+    """``p``, and ``left_out``: the same with one occurrence taken off, for each n-gram of an order."""
 
     def cut(count: Column) -> Column:
         return F.when(count <= 0, 0.0).when(count == 1, F.col("d1")).when(count == 2, F.col("d2")).otherwise(F.col("d3"))
@@ -165,25 +176,55 @@ def _interpolated(table: DataFrame, order: int, lower: DataFrame | None) -> Data
     return rows.select("of", "gram", p.alias("p"), F.when(total == 1, below_out).otherwise(left_out).alias("left_out"))
 
 
+def left_out(c: np.ndarray, total: np.ndarray, t1: np.ndarray, t2: np.ndarray, t3: np.ndarray, low: np.ndarray, low_out: np.ndarray, *d: np.ndarray) -> np.ndarray:
+    """Log probabilities of n-grams with one occurrence of each taken off; as ``_interpolated`` has it."""
+
+    def cut(count: np.ndarray) -> np.ndarray:
+        return np.select([count <= 0, count == 1, count == 2], [0.0, d[0], d[1]], d[2])
+
+    freed = d[0] * t1 + d[1] * t2 + d[2] * t3 - cut(c) + cut(c - 1)
+    below = np.where(c == 1, low_out, low)
+    return np.log(np.where(total == 1, below, (np.maximum(c - 1 - cut(c - 1), 0.0) + freed * below) / np.maximum(total - 1, 1)))
+
+
 class Model:
-    """The log probabilities of one language and block in an array sorted by the hash of the n-gram."""
+    """The parts of the probabilities of one language and block in arrays sorted by the hash of the n-gram."""
 
-    def __init__(self, grams: list[str], values: np.ndarray):
-        points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    def __init__(self, grams: pd.DataFrame):
+        points = np.frombuffer("".join(grams["gram"]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         keys = _hashed(points.reshape(-1, ORDER))
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], np.asarray(values, dtype=np.float64)[order]
+        self.keys, self.parts = keys[order], [grams[part].to_numpy()[order] for part in _PARTS]
+        self.values = left_out(*self.parts)
 
-    def log_perplexity(self, text: str) -> float:
+    def log_perplexity(self, text: str, copies: int = 1) -> float:
+        """Of ``text``, which ``copies`` rows of the language hold."""
         rows, _ = _grams([text])
         wanted = _hashed(rows)
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         if not (self.keys[at] == wanted).all():
             raise ValueError("an n-gram of the text was not counted")
+        values = self.values[at] if copies == 1 else self._without(rows, at, copies - 1)
         starts = np.arange(0, max(len(wanted) - CHUNK // 2, 1), CHUNK)
-        sums = np.add.reduceat(self.values[at], starts)
+        sums = np.add.reduceat(values, starts)
         return float(np.median(-sums / np.diff(np.append(starts, len(wanted)))))
 
+    def _without(self, rows: np.ndarray, at: np.ndarray, others: int) -> np.ndarray:
+        """The values of the n-grams ``rows``, found ``at``, when ``others`` further texts like theirs are taken off."""
+        found, first, back, own = np.unique(at, return_index=True, return_inverse=True, return_counts=True)
+        context = np.unique(_hashed(rows[first, :-1]), return_inverse=True)[1]
+        c, total, t1, t2, t3, *rest = (part[found] for part in self.parts)
+        after = c - others * own
+
+        def moved(less: np.ndarray) -> np.ndarray:
+            return np.bincount(context, less)[context]
+
+        total = total - others * moved(own)
+        t1 = t1 + moved((after == 1) * 1 - (c == 1))
+        t2 = t2 + moved((after == 2) * 1 - (c == 2))
+        t3 = t3 + moved((after > 2) * 1 - (c > 2))
+        return left_out(after, total, t1, t2, t3, *rest)[back]
+
 
 def base_measures(text: str | None) -> tuple[int, int, int, int, int]:
     """Words, code points in words, symbols, repeated lines, words in repeated three-word windows."""
@@ -213,17 +254,29 @@ _MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_
 
 
 def _measured(docs: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
-    """The measures of the rows of one block, with the n-grams it counted."""
-    models = {of: Model(list(part["gram"]), part["value"]) for of, part in grams.groupby("of")}
-    rows = [(*base_measures(t), models[of].log_perplexity(t) if t else math.nan) for of, t in zip(docs["of"], docs["text"])]
+    """The measures of the rows of one block, with the n-grams it counted and its texts that several rows hold."""
+    several = grams["same"].notna()
+    copies = dict(zip(zip(grams["of"][several], grams["same"][several]), grams["copies"][several].astype("int64")))
+    models = {of: Model(part) for of, part in grams[~several].groupby("of")}
+    rows = [
+        (*base_measures(t), models[of].log_perplexity(t, copies.get((of, same), 1)) if t else math.nan)
+        for of, same, t in zip(docs["of"], docs["same"], docs["text"])
+    ]
     out = pd.DataFrame(rows, columns=[c.split()[0] for c in _MEASURES.split(", ")])
     out.insert(0, "lang", docs["lang"].to_numpy())
     out.insert(0, "doc_id", docs["doc_id"].astype("Int64").to_numpy())
     return out
 
 
+def _several(stored: DataFrame) -> DataFrame:
+    """``block``, ``of``, ``same`` and ``copies`` of the texts that several rows of a language hold."""
+    texts = stored.filter(F.length("text") > 0).select("block", "of", "same")
+    copies = texts.groupBy("of", "same").agg(F.count("*").alias("copies")).filter("copies > 1")
+    return texts.distinct().join(copies, ["of", "same"])
+
+
 def _in_blocks(docs: DataFrame, name: str) -> DataFrame:
-    """Store id, text and language as table ``name``, bucketed by ``block``; ``of`` stands for the language.
+    """Store id, text and language as table ``name``, bucketed by ``block``; ``of`` stands for the language, ``same`` for the text.
 
     A block holds rows of one task, so a task writes its blocks without a shuffle.
     The number is stored, so whatever runs again later sees the same blocks.
@@ -233,7 +286,8 @@ def _in_blocks(docs: DataFrame, name: str) -> DataFrame:
     block = F.shiftright(number, 33) * per_task + (number.bitwiseAND((1 << 33) - 1) / ROWS_PER_BLOCK).cast("long")
     lang = F.col("lang").cast("string")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
-    read = read.select("*", block.alias("block"), F.xxhash64("lang").alias("of"))
+    folded = F.translate("text", "123456789\t\x0b\x0c\r", "000000000    ")
+    read = read.select("*", block.alias("block"), F.xxhash64("lang").alias("of"), F.md5(folded).alias("same"))
     buckets = min(max(scanned_bytes(docs) // BYTES_PER_BUCKET, 8), MOST_BUCKETS)
     read.write.bucketBy(buckets, "block").option("compression", "zstd").format("parquet").saveAsTable(name)
     return docs.sparkSession.table(name)
@@ -245,7 +299,8 @@ def judge(docs: DataFrame, *, width: float = WIDTH, least: float = LEAST) -> Dat
     stored = _in_blocks(docs, name)
     counts = stored.select("block", "of", "text").mapInPandas(_count, "block long, of long, gram string, n long")
     counts = pin(counts, "block-grams")
-    wanted = counts.select("block", "of", "gram").join(probabilities(counts), ["of", "gram"]).dropDuplicates(["block", "of", "gram"])
+    wanted = counts.select("block", "of", "gram").distinct().join(probabilities(counts), ["of", "gram"])
+    wanted = wanted.unionByName(_several(stored), allowMissingColumns=True)
     measured = stored.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(_measured, "doc_id long, lang string, " + _MEASURES)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     measured = pin(measured.withColumn("base_failed", failed), "perplexity")

@@ -356,6 +356,44 @@ def test_perplexity_equals_the_definition(spark):
         assert math.isclose(sum(p(context + c) for c in chars) + p(context + "?"), 1.0, rel_tol=1e-9)
 
 
+def test_copies_of_a_text_do_not_judge_it(spark):
+    texts = [r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").filter("lang = 'en'").orderBy("doc_id").collect() if r["text"]]
+    texts = list(dict.fromkeys(texts))
+    read = lambda rows: {r["doc_id"]: r for r in perplexity_rules.judge(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumn("lang", F.lit("en"))).collect()}
+    once = read(texts)
+    for at in [i for i, r in once.items() if r["kept"]][:3]:
+        many = read([*texts, *[texts[at]] * (len(texts) // 2)])
+        rows = [many[i] for i in (at, *range(len(texts), len(many)))]
+        assert all(r["kept"] for r in rows) and len({r["log_perplexity"] for r in rows}) == 1
+        assert abs(rows[0]["log_perplexity"] - once[at]["log_perplexity"]) < 0.03
+
+
+def test_left_out_copies_equal_the_definition(spark):
+    text, texts = "the cat sat on the mat, the cat 12", ["a dog and a cat!", "mat mat mat the the", "zx", "the cattle and the cats"]
+    rows = [*texts, text, text, text.replace("12", "34")]  # alike to the model
+    got = perplexity_rules.judge(spark.createDataFrame([(i, t, "en") for i, t in enumerate(rows)], SCHEMA.split(", source")[0])).collect()
+    n, whole = perplexity_rules.ORDER, Counter()
+    folded = lambda t: "\x02" * (n - 1) + re.sub("[0-9]", "0", t) + "\x02"
+    grams = lambda t: [folded(t)[i : i + n] for i in range(len(folded(t)) - n + 1)]
+    for t in rows:
+        whole.update(grams(t))
+    times = [sum(v == k for v in whole.values()) for k in range(5)]
+    y = times[1] / (times[1] + 2 * times[2])
+    raw = [1 - 2 * y * times[2] / times[1], 2 - 3 * y * times[3] / times[2]]
+    raw.append(3 - 4 * y * times[4] / times[3] if times[3] else raw[1])
+    d = [0.0, *(min(max(r, 0.05), m) for r, m in zip(raw, (0.95, 1.95, 2.95)))]
+    p = kneser_ney([re.sub("[0-9]", "0", t) for t in dict.fromkeys([*texts, text])])  # lower orders count each n-gram once
+    left = Counter(whole)
+    left.subtract(Counter({g: 2 * v for g, v in Counter(grams(text)).items()}))
+    logs = []
+    for gram in grams(text):
+        own = {g: v - (g == gram) for g, v in left.items() if g[:-1] == gram[:-1]}
+        total, low = sum(own.values()), p(gram[1:], not own[gram])
+        freed = sum(d[min(v, 3)] for v in own.values())
+        logs.append(math.log((max(own[gram] - d[min(own[gram], 3)], 0) + freed * low) / total if total else low))
+    assert all(math.isclose(r["log_perplexity"], -sum(logs) / len(logs), rel_tol=1e-9) for r in got if r["doc_id"] >= len(texts))
+
+
 def test_the_model_grows_and_ignores_how_rows_are_dealt(spark):
     rows = [(i, " ".join(f"{chr(97 + (i * 7 + k) % 26)}{chr(97 + k % 26)}{i % 3}" for k in range(80)), "en") for i in range(40)]
     docs = spark.createDataFrame(rows, SCHEMA.split(", source")[0])
