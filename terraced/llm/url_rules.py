@@ -1,8 +1,8 @@
 """URL filters: pattern rules found through their rarest literal token.
 
 A rule is a regular expression with the literal tokens that every matching URL
-holds. Over the whole table the pages of each rule token are counted, and each rule
-is indexed by its rarest token. A URL's tokens fetch the rules indexed by them, and
+holds; one that matches in several ways has such tokens for each way. Over the whole table
+the pages of each rule token are counted, and each way of a rule is indexed by its rarest token. A URL's tokens fetch the rules indexed by them, and
 only those run their expressions. The four host rules are such rules as well: their
 expression is matched with host and path, the longest one that fits wins, and only
 where none fits do the general patterns decide, an allowing one before a blocking
@@ -36,6 +36,11 @@ class Rule:
     pattern: str  # for host and path if from a host rule, else for the lower-cased url
     tokens: tuple[str, ...]
     is_host: bool = False
+    others: tuple[tuple[str, ...], ...] = ()  # tokens of the pattern's further ways to match
+
+    @property
+    def ways(self) -> tuple[tuple[str, ...], ...]:
+        return (self.tokens, *self.others)
 
 
 def host_rule(verdict: str, name: str) -> Rule:
@@ -55,7 +60,7 @@ PATTERNS = (
     Rule("ad-tracker", "block", "://[^/?#]*\\bads-track\\.", ("ads", "track")),
     Rule("ad-server", "block", "://(?:[^/?#]*\\.)?adserver\\.", ("adserver",)),
     Rule("casino", "block", "://[^/?#]*\\bcasino\\b", ("casino",)),
-    Rule("betting", "block", "://[^/?#]*\\bsports-?bet\\b|://[^/?#]*\\bbet\\b", ("bet",)),
+    Rule("betting", "block", "://[^/?#]*\\bsports-?bet\\b|://[^/?#]*\\bbet\\b", ("bet",), others=(("sportsbet",),)),
     Rule("adult-host", "block", "://[^/?#]*\\bxxx\\b", ("xxx",)),
     Rule("adult-path", "block", "/adult/", ("adult",)),
     Rule("login-page", "block", "/wp-login\\.php(?:[?#]|$)", ("wp", "login", "php")),
@@ -91,11 +96,11 @@ def judge(pages: DataFrame, *, host_rules: tuple[Rule, ...] = HOST_RULES, patter
     rows = pin(read.withColumn("_tokens", words), "url-rows")
 
     rules = {r.name: r for r in (*host_rules, *patterns)}
-    known = sorted({t for r in rules.values() for t in r.tokens})
+    known = sorted({t for r in rules.values() for way in r.ways for t in way})
     held = rows.select(F.explode(F.array_intersect("_tokens", F.array(*map(F.lit, known)))).alias("token"))
     pages_of = {r["token"]: r["n"] for r in held.groupBy("token").agg(F.count("*").alias("n")).collect()}  # rule tokens only
     index = [
-        (min(r.tokens, key=lambda t: (pages_of.get(t, 0), t)), r.name, r.verdict, r.pattern, r.is_host) for r in rules.values()
+        (min(way, key=lambda t: (pages_of.get(t, 0), t)), r.name, r.verdict, r.pattern, r.is_host) for r in rules.values() for way in r.ways
     ]
     indexed = spark.createDataFrame(index, "token string, name string, does string, pattern string, is_host boolean")
 

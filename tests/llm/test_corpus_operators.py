@@ -297,6 +297,21 @@ def test_url_rules(spark):
     assert url_rules.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_every_pattern_fetches_its_urls(spark):
+    samples = {
+        "ad-tracker": ["http://m.ads-track.com/"], "ad-server": ["http://adserver.com/", "http://a.adserver.com/"], "casino": ["http://my-casino.com/"],
+        "betting": ["http://sportsbet.com/x", "http://sports-bet.com/x", "http://bet.com/", "http://SportsBet.com/"],
+        "adult-host": ["http://xxx.com/"], "adult-path": ["http://a.com/adult/1"], "login-page": ["http://a.com/wp-login.php"],
+        "script-folder": ["http://a.com/cgi-bin/x"], "cart": ["http://a.com/cart/add", "http://a.com/cart/checkout"],
+        "calendar-trap": ["http://a.com/calendar/2020/1/12/"], "session": ["http://a.com/?PHPSESSID=1"], "program": ["http://a.com/x.exe"],
+        "encyclopedia": ["http://encyclopedia.com/", "http://a.encyclopedia.com/"],
+    }
+    assert samples.keys() == {r.name for r in url_rules.PATTERNS}
+    rows = [(i, name, url) for i, (name, url) in enumerate((n, u) for n, urls in samples.items() for u in urls)]
+    got = url_rules.judge(spark.createDataFrame(rows, "page_id long, name string, url string")).collect()
+    assert {r["page_id"]: r["pattern"] for r in got} == {i: name for i, name, _ in rows}
+
+
 def kneser_ney(texts):
     """Modified Kneser-Ney from its definition; ``p(gram, out)`` with one occurrence of ``gram`` taken off if ``out``."""
     n = perplexity_rules.ORDER
