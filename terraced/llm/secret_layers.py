@@ -1,19 +1,25 @@
 """Secret scans through nested encodings.
 
-Every text is scanned as it stands, then a worklist unwraps it: percent escapes,
-Unicode escapes, base64 runs, and gzip, zlib, bzip2 or xz data in them. Each layer
-found is scanned and unwrapped in turn until nothing new comes out. A layer whose
-text was seen before in the same document is not taken again, which ends cycles;
-every other layer is shorter than what it came from or comes from inflating it.
-
-Spans are code points of the document. Each layer knows for every character the
-part of the document it came from, so a finding inside three layers is reported at
+Every text is scanned as it stands, then it is unwrapped: percent escapes, Unicode
+escapes, base64 runs, and gzip, zlib, bzip2 or xz data in them. Each layer found is
+scanned, whatever its bytes are, and unwrapped in turn until nothing new comes out. A
+layer whose text was seen before in the same document is not taken again, which ends
+cycles; every other layer is shorter than what it came from or comes from inflating it.
+
+Decoded bytes are read as Latin-1: one character for each byte, as all that is looked
+for is ASCII. A base64 run goes on over single line breaks with white space around them,
+and is decoded from each of its first four characters, so one that begins anywhere in it
+is found; the lines of such a run are decoded by themselves too. Compressed data is
+opened wherever decoded bytes hold its mark.
+
+Spans are code points of the document. A finding inside three layers is reported at
 the escape or base64 run that holds it. Escapes map one by one, base64 in groups of
-four characters, inflated data to its whole run.
+four characters, inflated data to the part from its first group to the end of its run.
 
-Inflating is done in pieces of ``PIECE`` bytes with ``OVERLAP`` bytes repeated, so
-memory stays bounded while all of the data is scanned. Data compressed several times
-over is inflated level by level in the same way.
+Inflating is done in pieces of about ``PIECE`` bytes with ``OVERLAP`` bytes repeated. A
+piece ends where no encoded run is open; a run longer than that is held whole. Layers
+are made one after the other. Data compressed several times over is inflated level by
+level in the same way.
 
 Defined results. Null text: as empty, no findings. Repeated rows stay rows. Only the
 id and text columns are read. Broken encodings give no layer. An empty table gives
@@ -28,9 +34,10 @@ import hashlib
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
-from itertools import chain
+from itertools import accumulate, chain
 from typing import Any
 
 import numpy as np
@@ -49,37 +56,40 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#x?[0-9A-Fa-f]{1,6};")
-#: 16 characters hold the shortest finding, an assignment of 12.
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_B64, _BREAK = "[A-Za-z0-9+/_-]", r"[ \t]*+\r?\n[ \t]*+"
+#: 16 characters hold the shortest finding, an assignment of 12; the lines of a run may be shorter.
+_BASE64 = re.compile(rf"(?<!{_B64})(?:{_B64}{{16,}}+|{_B64}++(?={_BREAK}{_B64}))(?:{_BREAK}{_B64}++)*+={{0,2}}")
+_LINE = re.compile(f"{_B64}+")
+_MARKS = re.compile(b"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
+#: In reversed data: a byte no encoded run holds, or white space within a line.
+_FREE = re.compile(rb"[^A-Za-z0-9+/_.=%\\&#;\s-]|\S[ \t]+(?=\S)")
 
 Span = tuple[int, int, int]  # start, place of the kind, end
 
 
 def scan(text: str) -> list[Span]:
     """Findings of one layer, leftmost and non-overlapping for each kind."""
-    found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
+    low = text.lower()
+    named = any(name in low for name in ("passw", "secret", "token", "api"))  # much faster than the expression, and needed by it
+    found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6] if named else []
     found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     return sorted(found)
 
 
 class _Layer:
-    """A text and, for each of its characters, the start and end of its part of the document."""
+    """A text made from another one, its ``parent``; ``within`` gives the parent's part that characters came from."""
 
-    def __init__(self, text: str, starts: np.ndarray | None, ends: np.ndarray | None):
-        self.text, self.starts, self.ends = text, starts, ends
+    def __init__(self, text: str, parent: _Layer | None = None, within: Callable[[int, int], tuple[int, int]] | None = None):
+        self.text, self.parent, self.within = text, parent, within
 
     def part(self, start: int, end: int) -> tuple[int, int]:
-        if self.starts is None:
-            return start, end
-        return int(self.starts[start:end].min()), int(self.ends[start:end].max())
-
-
-def _inside(layer: _Layer, text: str, starts: np.ndarray, ends: np.ndarray) -> _Layer:
-    """A layer made from ``layer``: character i came from its characters ``starts[i]`` to ``ends[i]``."""
-    if layer.starts is not None:
-        starts, ends = layer.starts[starts], layer.ends[np.maximum(ends - 1, 0)]
-    return _Layer(text, starts, ends)
+        """The part of the document that characters ``start`` to ``end`` came from."""
+        layer = self
+        while layer.parent is not None:
+            start, end = layer.within(start, end)
+            layer = layer.parent
+        return start, end
 
 
 def _unescaped(layer: _Layer) -> Iterator[_Layer]:
@@ -101,13 +111,10 @@ def _unescaped(layer: _Layer) -> Iterator[_Layer]:
         if raw[0] == "%" or raw[:2] == "\\x":
             width = 3 if raw[0] == "%" else 4
             data = bytes.fromhex(raw.replace("%", "").replace("\\x", ""))
-            try:
-                plain = data.decode("utf-8")
-                sizes = np.array([len(c.encode()) for c in plain]) * width
-            except UnicodeDecodeError:
-                for text in _inflated(data):
-                    yield _whole(layer, text, m.start(), m.end())
-                continue
+            for place in _opened(data):
+                for text in _inflated(data[place:]):
+                    yield _whole(layer, text, m.start() + place * width, m.end())
+            plain, sizes = data.decode("latin-1"), np.full(len(data), width)
         elif raw[0] == "\\":
             units = bytes.fromhex(raw.replace("\\u", ""))
             plain = units.decode("utf-16-be", "replace")
@@ -125,37 +132,45 @@ def _unescaped(layer: _Layer) -> Iterator[_Layer]:
         at, changed = m.end(), True
     if changed:
         keep(len(layer.text))
-        yield _inside(layer, "".join(pieces), np.concatenate(starts), np.concatenate(ends))
+        first, last = np.concatenate(starts), np.concatenate(ends)
+        yield _Layer("".join(pieces), layer, lambda start, end: (int(first[start]), int(last[end - 1])))
 
 
 def _whole(layer: _Layer, text: str, start: int, end: int) -> _Layer:
-    return _inside(layer, text, np.full(len(text), start), np.full(len(text), end))
+    return _Layer(text, layer, lambda *_: (start, end))
 
 
 def _decoded(layer: _Layer) -> Iterator[_Layer]:
     """What the base64 runs of the layer hold."""
     for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        body = run[: len(run) - (len(run) % 4 == 1)]
-        data = base64.b64decode(body.translate({45: 43, 95: 47}) + "=" * (-len(body) % 4))
-        plain = _readable(data)
-        if plain is None:
-            for text in _inflated(data):
-                yield _whole(layer, text, m.start(), m.end())
-            continue
-        sizes = np.array([len(c.encode()) for c in plain])
-        last = np.cumsum(sizes)
-        starts = m.start() + (last - sizes) // 3 * 4
-        ends = np.minimum(m.start() + ((last - 1) // 3 + 1) * 4, m.end())
-        yield _inside(layer, plain, starts, ends)
+        lines = [(m.start() + part.start(), m.start() + part.end()) for part in _LINE.finditer(m[0])]
+        runs = [lines] if len(lines) == 1 else [lines, *([line] for line in lines)]
+        for run in runs:
+            if sum(end - start for start, end in run) >= 16:
+                yield from _from_run(layer, run, m.end() if run[-1][1] == lines[-1][1] else run[-1][1])
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and not re.search("[\x00-\x08\x0e-\x1f\x7f]", text) else None
+def _from_run(layer: _Layer, lines: list[tuple[int, int]], end: int) -> Iterator[_Layer]:
+    """The layers of one run, given by the places of its lines."""
+    joined = "".join(layer.text[first:last] for first, last in lines).translate({45: 43, 95: 47})
+    before = list(accumulate((last - first for first, last in lines), initial=0))
+
+    def place(at: int) -> int:
+        line = bisect_right(before, at, hi=len(lines)) - 1
+        return lines[line][0] + at - before[line]
+
+    for phase in range(4):
+        body = joined[phase : len(joined) - ((len(joined) - phase) % 4 == 1)]
+        data = base64.b64decode(body + "=" * (-len(body) % 4))
+
+        def within(start: int, stop: int, phase: int = phase) -> tuple[int, int]:
+            last = phase + ((stop - 1) // 3 + 1) * 4
+            return place(phase + start // 3 * 4), place(last - 1) + 1 if last < len(joined) else end
+
+        yield _Layer(data.decode("latin-1"), layer, within)
+        for at in _opened(data):
+            for text in _inflated(data[at:]):
+                yield _whole(layer, text, place(phase + at // 3 * 4), end)
 
 
 def _opener(head: bytes) -> Callable[[], Any] | None:
@@ -169,6 +184,17 @@ def _opener(head: bytes) -> Callable[[], Any] | None:
     return None
 
 
+def _opened(data: bytes) -> Iterator[int]:
+    """Where compressed data begins: at a mark, if its first bytes can be inflated, as otherwise it gives nothing."""
+    for mark in _MARKS.finditer(data):
+        head = data[mark.start() : mark.start() + 256]
+        try:
+            _opener(head)().decompress(head, PIECE)
+        except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
+            continue
+        yield mark.start()
+
+
 def _pieces(parts: Iterable[bytes], make: Callable[[], Any]) -> Iterator[bytes]:
     """What compressed ``parts`` hold, at most ``PIECE`` bytes at a time, up to the first damage."""
     opened = make()
@@ -193,6 +219,25 @@ def _pieces(parts: Iterable[bytes], make: Callable[[], Any]) -> Iterator[bytes]:
         return
 
 
+def _cut(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """The pieces, moved so that each ends where no encoded run is open, with the last ``OVERLAP`` bytes before it."""
+    held, tail, looked = bytearray(), b"", 0
+    for piece in pieces:
+        held += piece
+        if len(held) < PIECE:
+            continue
+        free = _FREE.search(bytes(held[max(looked - 2, 0) :])[::-1])
+        looked = len(held)
+        if free:
+            at = len(held) - free.start() - (free.end() - free.start() > 1)
+            whole = tail + bytes(held[:at])
+            tail, held = whole[-OVERLAP:], held[at:]
+            looked = len(held)
+            yield whole
+    if held:
+        yield tail + bytes(held)
+
+
 def _inflated(data: bytes) -> Iterator[str]:
     """The texts in compressed ``data``, in pieces, also where it is compressed more than once.
 
@@ -204,15 +249,11 @@ def _inflated(data: bytes) -> Iterator[str]:
         parts: Iterable[bytes] = (data,)
         for make in levels:
             parts = _pieces(parts, make)
-        inner, tail = iter(parts), b""
+        inner = iter(parts)
         head = next(inner, b"")
         if levels:
-            for piece in chain((head,), inner):
-                held = tail + piece
-                tail = held[-OVERLAP:]
-                text = held.decode("utf-8", "ignore")
-                if len(text) * 2 > len(held) // 2 and not re.search("[\x00-\x08]", text[:256]):
-                    yield text
+            for held in _cut(chain((head,), inner)):
+                yield held.decode("latin-1")
         make, mark = _opener(head), hashlib.blake2b(head, digest_size=16).digest()
         if make is None or mark in seen:
             return
@@ -220,6 +261,10 @@ def _inflated(data: bytes) -> Iterator[str]:
         levels.append(make)
 
 
+def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
+    return chain(_unescaped(layer), _decoded(layer))
+
+
 def findings(text: str | None) -> tuple[list[Span], list[Span]]:
     """Base findings of the text as it stands, and all findings, both sorted."""
     if not text:
@@ -227,20 +272,24 @@ def findings(text: str | None) -> tuple[list[Span], list[Span]]:
     base = scan(text)
     every = set(base)
     seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-    work = [_Layer(text, None, None)]
+    work = [_unwrapped(_Layer(text))]
     while work:
-        layer = work.pop()
-        for made in (*_unescaped(layer), *_decoded(layer)):
-            mark = hashlib.blake2b(made.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            # The place counts too: equal runs in two places are two findings.
-            mark += b"%d" % made.part(0, 1)[0]
-            if mark in seen:
-                continue
-            seen.add(mark)
-            for start, kind, end in scan(made.text):
-                first, last = made.part(start, end)
-                every.add((first, kind, last))
-            work.append(made)
+        made = next(work[-1], None)
+        if made is None:
+            work.pop()
+            continue
+        if not made.text:
+            continue
+        mark = hashlib.blake2b(made.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        # The place counts too: equal runs in two places are two findings.
+        mark += b"%d" % made.part(0, 1)[0]
+        if mark in seen:
+            continue
+        seen.add(mark)
+        for start, kind, end in scan(made.text):
+            first, last = made.part(start, end)
+            every.add((first, kind, last))
+        work.append(_unwrapped(made))
     return base, sorted(every)
 
 

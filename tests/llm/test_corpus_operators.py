@@ -258,6 +258,51 @@ def test_decoding_ends_on_cycles_and_large_data():
     assert [(k, s, e) for s, k, e in secret_layers.findings("so " + base64.b64encode(b"token=a1b2c3").decode())[1]] == [(0, 3, 19)]
 
 
+def _tar_gz():
+    head = b"notes.txt".ljust(100, b"\0") + b"\0" * 412
+    return base64.b64encode(gzip.compress(head + SECRET.encode())).decode()
+
+
+def _wrapped(data, width):
+    return re.sub(f"(.{{{width}}})", "\\1\n", base64.b64encode(data).decode())
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        _tar_gz(),
+        base64.b64encode("caf\xe9 ".encode("latin-1") + SECRET.encode() + b"\x01").decode(),
+        "%E9%20" + quote(SECRET, safe=""),
+        "".join(f"\\x{b:02x}" for b in b"\xe9 " + SECRET.encode()),
+    ],
+)
+def test_layers_of_any_bytes_are_scanned(hidden):
+    assert any(kind == 0 and 7 <= start and end <= 7 + len(hidden) for start, kind, end in secret_layers.findings("before " + hidden + " after")[1])
+
+
+@pytest.mark.parametrize("width", [12, 64, 76])
+def test_wrapped_base64_is_joined(width):
+    noise = os.urandom(200).hex().encode()
+    for data in (b"x, " * 15 + SECRET.encode(), gzip.compress(noise + b" " + SECRET.encode()), lzma.compress(noise + b" " + SECRET.encode())):
+        hidden = _wrapped(data, width)
+        assert any(kind == 0 and 7 <= start and end <= 7 + len(hidden) for start, kind, end in secret_layers.findings("before " + hidden + " after")[1])
+
+
+@pytest.mark.parametrize("before", ["https://x.org/data/", "https://x.org/dat/", "a", "ab-", "abc_"])
+def test_base64_is_decoded_from_any_place_of_its_run(before):
+    for data in (b"user token=abcdef123456", gzip.compress(b"user token=abcdef123456")):
+        hidden = base64.b64encode(data).decode()
+        assert any(kind == 0 and len(before) <= start <= end <= len(before + hidden) for start, kind, end in secret_layers.findings(before + hidden + " x")[1])
+
+
+def test_runs_are_not_split_between_pieces():
+    filler = os.urandom(3 << 20)
+    inner = base64.b64encode(gzip.compress(filler + b" " + SECRET.encode())).decode()
+    for lead in ("word " * 600_000, ""):
+        outer = base64.b64encode(gzip.compress((lead + inner + " end").encode())).decode()
+        assert (0, 3, 3 + len(outer)) in [(k, s, e) for s, k, e in secret_layers.findings("go " + outer + " on")[1]]
+
+
 def test_data_that_holds_itself_ends(monkeypatch):
     class Same:
         eof, needs_input = False, True
