@@ -7,12 +7,13 @@ spread on each direction, so the number of collisions among all directions is
 binomial; a pair is verified when it reaches the count that such pairs miss with a
 chance of at most ``1 - recall``. Closer pairs collide more often.
 
-Sorted projections make the windows: each direction is cut into strips of one
-width, and vectors in equal strips on ``depth`` directions share a cell. ``tables``
+Candidates come from strip hashing, which replaces windows of sorted projections:
+nothing is sorted. Each direction is cut into strips of one width, and vectors in equal strips on ``depth`` directions share a cell. ``tables``
 such groups of directions with shifted strips are used, so that a pair at the
 threshold shares a cell in one of them with a chance of ``recall``. Collisions are
 counted, and counts that pass are verified by the exact cosine in double precision,
-for the pairs that share a cell, each in the first table where it does. Cells keep
+for the pairs that share a cell, each in the first table where it does. A pair at the
+threshold passes both filters with a chance of about ``recall`` squared, 0.98. Cells keep
 the pairs looked at to a small part of all pairs, a part that falls with ``depth``.
 
 Skew. Equal vectors of one label are one vector with a count. A cell above ``block``
