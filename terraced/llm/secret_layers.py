@@ -55,7 +55,7 @@ MASK = "[SECRET]"
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#x?[0-9A-Fa-f]{1,6};")
+_ESCAPE = re.compile(r"(?=[%\\&])(?:(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#x?[0-9A-Fa-f]{1,6};)")
 _B64, _BREAK = "[A-Za-z0-9+/_-]", r"[ \t]*+\r?\n[ \t]*+"
 #: 16 characters hold the shortest finding, an assignment of 12; the lines of a run may be shorter.
 _BASE64 = re.compile(rf"(?<!{_B64})(?:{_B64}{{16,}}+|{_B64}++(?={_BREAK}{_B64}))(?:{_BREAK}{_B64}++)*+={{0,2}}")
