@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from terraced.llm import (
     collision_projections,
+    dual_tree_codes,
     length_buckets,
+    licence_diagonals,
     neighbour_quality,
     pareto_mixing,
     perplexity_rules,
+    prefix_trie,
     secret_layers,
     splitter_shards,
     tensored_minhash,
@@ -83,6 +86,20 @@ def op10_toxicity_grammar(spark: SparkSession, folder: str) -> DataFrame:
     return _judged(toxicity_grammar.score(docs, grammar), 3, 1)
 
 
+def op11_dual_tree_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return dual_tree_codes.compress(_read(spark, folder, "embeddings"))
+
+
+def op12_licence_diagonals(spark: SparkSession, folder: str) -> DataFrame:
+    found = licence_diagonals.scan(_read(spark, folder, "documents"))
+    places = F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"], s["end"]))
+    return found.withColumn("spans", F.array_join(places, ","))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(_read(spark, folder, "conversations"))
+
+
 def _judged(scored: DataFrame, folds: int, held: int) -> DataFrame:
     return scored.select(
         "doc_id",
@@ -105,5 +122,8 @@ QUERIES: dict[str, Query] = {
         op8_length_buckets,
         op9_collision_projections,
         op10_toxicity_grammar,
+        op11_dual_tree_codes,
+        op12_licence_diagonals,
+        op13_prefix_trie,
     )
 }
