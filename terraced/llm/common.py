@@ -1,4 +1,4 @@
-"""Pieces the operators share: text measures, row numbers without hot tasks, stored intermediates."""
+"""Pieces the operators share: text measures, hashes, chunks of batches."""
 
 from __future__ import annotations
 
@@ -6,13 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from terraced.session import pin
 
-__all__ = ["WORD", "crc_of_id", "hash_words", "mix64", "number_in", "pin", "unit_hash", "word_count"]
+__all__ = ["WORD", "crc_of_id", "hash_words", "mix64", "pin", "unit_hash", "word_count"]
 
 #: A word is a run of anything but space, tab, newline, vertical tab, form feed and return.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -80,33 +79,6 @@ def hash_words(data: bytes) -> np.ndarray:
     return mix64(sums + (ends - starts).astype(np.uint64))
 
 
-def number_in(df: DataFrame, group: str, spread: str, order: list[str], name: str, rows_per_task: int = 50_000) -> DataFrame:
-    """Add ``name``: 0, 1, 2, ... without gaps inside each ``group``, at any size of a group.
-
-    ``spread`` is a hash column; a group is cut by it into slices, each slice is
-    numbered by itself and moved by the rows of the slices before it. There are as
-    many slices as the whole table has multiples of ``rows_per_task``. ``df`` must be
-    stored, since it is read for the count, the slices' sizes and the numbers.
-    """
-    slices = df.count() // rows_per_task + 1
-    cut = df.withColumn("_slice", F.pmod(F.col(spread), F.lit(slices)))
-    sizes = cut.groupBy(group, "_slice").agg(F.count("*").alias("_rows"))
-    before = W.partitionBy(group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    moves = sizes.select(
-        F.col(group).alias("_group"),
-        F.col("_slice").alias("_of"),
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
-    )
-    within = F.row_number().over(W.partitionBy(group, "_slice").orderBy(*order)) - 1
-    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_slice") == F.col("_of"))
-    return (
-        cut.withColumn("_at", within)
-        .join(moves, same)
-        .withColumn(name, (F.col("_at") + F.col("_before")).cast("long"))
-        .drop("_slice", "_at", "_group", "_of", "_before")
-    )
-
-
 def in_chunks(frames: Iterator[pd.DataFrame], column: str, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
     """Cut batches so that each holds about ``chars`` characters of ``column``, or one long row."""
     for frame in frames:

@@ -18,7 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraced.llm.common import number_in, pin, word_count
+from terraced.llm.common import pin, word_count
+from terraced.operators.ranking import number_rows
 
 BUCKETS = 32
 BUDGET = 65_536
@@ -65,7 +66,7 @@ def pack(docs: DataFrame, *, length: Column | None = None, buckets: int = BUCKET
     length is the number of words unless a column expression over ``docs`` is given.
     """
     size = word_count(F.col("text").cast("string")) if length is None else F.coalesce(length, F.lit(0)).cast("long")
-    rows = docs.select("doc_id", size.alias("size"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("_spread"))
+    rows = docs.select("doc_id", size.alias("size"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("_spread"), F.monotonically_increasing_id().alias("_row"))
     rows = pin(rows.withColumn("_bin", bin_of(F.col("size"))), "pack-rows")
     histogram = rows.groupBy("_bin").agg(F.count("*").alias("n")).orderBy("_bin").collect()  # bounded, see above
     borders = best_borders(np.array([r[0] for r in histogram], dtype=np.int64), np.array([r[1] for r in histogram]), buckets)
@@ -73,8 +74,9 @@ def pack(docs: DataFrame, *, length: Column | None = None, buckets: int = BUCKET
         bucket = F.lit(0).cast("long")
     else:
         bucket = F.element_at(F.filter(F.array(*[F.lit(b).cast("long") for b in borders]), lambda b: b >= F.col("_bin")), 1)
-    placed = pin(rows.withColumn("bucket", bucket), "pack-placed")
-    numbered = number_in(placed, "bucket", "_spread", ["_spread", "doc_id", "size"], "_seat")
+    order = F.struct("_spread", "doc_id", "size", "_row").alias("_order")  # the row's number parts equal rows
+    numbered = number_rows(rows.select(bucket.alias("bucket"), order), "bucket", "_order", "_seat")
+    numbered = numbered.select(F.col("_order.doc_id").alias("doc_id"), F.col("_order.size").alias("size"), "bucket", (F.col("_seat") - 1).alias("_seat"))
     fit = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket"), F.lit(1)))).cast("long")
     return numbered.select(
         "doc_id",

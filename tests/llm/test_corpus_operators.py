@@ -177,6 +177,41 @@ def test_one_text_in_most_rows_is_spread_over_shards(spark):
     assert len(held) == 8 and max(held) < 1.05 * sum(held) / 8
 
 
+def test_equal_texts_stay_together(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, f"single text number {i} " * int(rng.integers(1, 30))) for i in range(4000)]
+    for group in range(150):
+        text = f"group {group} " * int(rng.integers(1, 12))
+        rows += [(10_000 + 100 * group + i, text) for i in range(int(rng.integers(2, 51)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shards = 6
+    got = splitter_shards.shard_documents(df, shards=shards).collect()
+    total = sum(r["size"] for r in got)
+    share = total / (shards * splitter_shards.RANGES_PER_SHARD)
+    held, of_shard = defaultdict(list), Counter()
+    for r in got:
+        held[r["text_crc32"]].append(r)
+        of_shard[r["shard"]] += r["size"]
+    for rs in held.values():
+        assert len({r["shard"] for r in rs}) == 1 or sum(r["size"] for r in rs) > share
+    assert len(held) == len({t for _, t in rows})
+    assert max(of_shard.values()) < 1.03 * total / shards and min(of_shard.values()) > 0.97 * total / shards
+
+
+def test_equal_rows_are_numbered_over_many_tasks(spark):
+    df = spark.range(400_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one same text").alias("text"))
+    df = df.unionByName(spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("other").alias("text")))
+    got = splitter_shards.shard_documents(df, shards=8)
+    sizes = got.groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert len(sizes) == 8 and max(r.b for r in sizes) < 1.03 * sum(r.b for r in sizes) / 8
+    assert all(r.n == r.d == r.m + 1 for r in sizes)
+    packed = length_buckets.pack(df)
+    assert packed.count() == 401_000 == packed.select("bucket", "batch", "place").distinct().count()
+    stored = next(os.path.dirname(f) for f in packed.inputFiles() if "/numbered-" in f)
+    ranges = [r["count"] for r in spark.read.parquet(stored).groupBy("_range").count().collect()]
+    assert len(ranges) >= 8 and max(ranges) < 2 * sum(ranges) / len(ranges)
+
+
 def test_best_borders_equal_brute_force():
     from itertools import combinations
 
@@ -559,3 +594,39 @@ def test_grammar_weighs_the_clause():
     assert aimed > plain > told > negated
     assert grammar.score("I will kill you") > 0 and grammar.score("kill time. you") == 0
     assert grammar.score("not. idiot") == plain and grammar.score("idiots") == 0
+
+
+def test_probe_sentences_in_order():
+    score = toxicity_grammar.Grammar({"=idiot": 5.0}).score
+    reports = [score(t) for t in ("He said: you are an idiot", "He said, you are an idiot", "He said you are an idiot")]
+    assert len(set(reports)) == 1 and reports[0] < 0.7 < score("You are an idiot")
+    assert score("I will never hurt you. We will not hurt you.") < 0.3 < 0.7 < score("I will hurt you")
+    assert 0 < score("They beat them. We beat them.") < 0.5
+    assert score("I am killing you") > 0.7 > score("he shoots them") > 0
+    once = score("You are not an idiot.")
+    assert once < 0.5 and score("You are not an idiot. " * 40) == once
+    assert score("not an idiot " * 500) < 0.7
+    assert score("You isn\u2019t an idiot") == score("You isn't an idiot") < 0.5
+
+
+def test_composed_machine_equals_the_five_one_by_one():
+    names = [n for n, _ in toxicity_grammar._SYMBOLS] + ["insult", "other", "pause"]
+    words = {n: sorted(w)[0] for n, w in toxicity_grammar._SYMBOLS} | {"insult": "idiot", "other": "stone", "pause": ","}
+    grammar = toxicity_grammar.Grammar({"=idiot": 5.0})
+    symbol_of = {w: (grammar.symbol(w) or ("other",))[0] if w != "," else "pause" for w in words.values()}
+    rng = np.random.default_rng(10)
+    for _ in range(400):
+        tokens = [words[n] for n in rng.choice(names, rng.integers(1, 14))]
+        answers = []
+        for machine in toxicity_grammar.MACHINES:  # each alone over the whole sentence
+            state, told = 0, []
+            for token in tokens:
+                state, weight, factor = machine(state, symbol_of[token])
+                told.append((weight, factor))
+            answers.append(told)
+        want = []
+        for at in range(len(tokens)):
+            weight = answers[0][at][0] * 5.0 + sum(a[at][0] for a in answers[1:])
+            if weight:
+                want.append(weight * math.prod(a[at][1] for a in answers))
+        assert list(grammar.matches(tokens)) == pytest.approx(want)

@@ -57,6 +57,28 @@ def test_stages_bear_odd_rows(spark):
     assert mixed.count() == 3
 
 
+def test_different_texts_under_one_id_stay(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    rows = [(1, one, "s"), (1, two, "s"), (1, two + " more", "s"), (2, one, "s"), (None, two, "s"), (None, "third text", "s"), (None, "third text", "t"), (3, "", "s"), (3, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = []
+    for table in (docs, docs.repartition(5)):
+        kept = corpus_pipeline.keep_one_of_each(spark, table, FOLDER).collect()
+        found.append(sorted(r["text"] for r in kept))
+        assert {r["doc_id"] for r in kept if r["text"] == one or r["text"].startswith(two)} == {1}
+    texts = found[0]
+    assert texts == found[1] and len(texts) == 5
+    assert texts[:2] == ["", ""] and one in texts and "third text" in texts and sum(t.startswith(two) for t in texts) == 1
+
+
+def test_mixing_deals_copies_to_repeated_rows(spark):
+    rows = [(1, "same words here", "s")] * 500 + [(i, f"text {i} of its own", "s") for i in range(2, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    before = sum(len(words_of(t)) for _, t, _ in rows)
+    mixed = corpus_pipeline.mix_sources(spark, docs, FOLDER).collect()
+    assert abs(sum(len(words_of(r["text"])) for r in mixed) - 1.5 * before) < 10
+
+
 def test_mixing_has_no_python(spark):
     df = queries.QUERIES["op1_pareto_mixing"](spark, FOLDER)
     assert "Python" not in df._jdf.queryExecution().toString() and "Pandas" not in df._jdf.queryExecution().toString()
