@@ -85,7 +85,11 @@ _SYMBOLS = (("threat", THREATS), ("you", YOU), ("them", THEM), ("intent", INTENT
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[,:]")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 _SENTENCE = re.compile(r"[.;!?\n]+")
-_QUOTES = str.maketrans("\u2019\u02bc\u2018", "'''")
+
+
+def _lower(text: str) -> str:
+    """Lower case with one kind of apostrophe. Replacing is much faster than a translation table."""
+    return text.lower().replace("\u2019", "'").replace("\u02bc", "'").replace("\u2018", "'")
 
 
 # ------------------------------------------------------------- the machine
@@ -182,7 +186,7 @@ class Grammar:
     def score(self, text: str | None) -> float:
         if not text:
             return 0.0
-        lower = text.lower().translate(_QUOTES)
+        lower = _lower(text)
         hits = {w for w in set(_WORD.findall(lower)) if (s := self.symbol(w)) and s[0] in ("insult", "threat")}
         if not hits:
             return 0.0
@@ -218,7 +222,7 @@ def _stems(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             counts = (Counter(), Counter())
         for y, text in zip(frame["y"], frame["text"]):
             found = set()
-            for word in set(_WORD.findall((text or "").lower().translate(_QUOTES))):
+            for word in set(_WORD.findall(_lower(text or ""))):
                 found.add("=" + word)
                 found.update(word[:n] for n in STEMS if len(word) >= n)
             counts[y].update(found)
