@@ -1,9 +1,10 @@
 """Copies of products for isolated work: planning, creating, checking and dropping them.
 
 A clone is a snapshot: later writes to the source do not reach it and writes to
-the clone do not reach the source. Parquet tables share no storage, so a clone is
-a distributed copy of the tables. What a view shows is stored as a table: a view
-re-created with its text would go on reading the source.
+the clone do not reach the source. Nothing is copied: the clone's names stand for the
+same version folders, which are never written again. A write to either side makes a
+new version and moves that side's name alone. A view becomes a view over the folders it reads
+now: re-created with its text it would go on reading the source.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from terraced.functions.columns import posix_cksum
 from terraced.schemas import LAYERS
-from terraced.sources import catalog
+from terraced.sources import catalog, versions
 from terraced.sources.catalog import Warehouse
 
 # Fixed values of clone names.
@@ -84,13 +85,13 @@ def missing_objects(required: DataFrame, existing: DataFrame, key: str) -> DataF
 
 
 def clone_namespace(warehouse: Warehouse, source: str, target: str) -> list[str]:
-    """Replace ``target`` with a copy of ``source``; returns the names copied."""
+    """Replace ``target`` with a clone of ``source``; returns the names cloned. Only the catalog is written."""
     spark = warehouse.spark
     catalog.drop_namespace(spark, target)
     warehouse.ensure(target)
     names = catalog.table_names(spark, source)
     for name in names:
-        spark.table(f"`{source}`.`{name}`").write.format("parquet").saveAsTable(f"`{target}`.`{name}`")
+        versions.share(spark, f"{source}.{name}", f"{target}.{name}")
     return names
 
 
@@ -110,8 +111,8 @@ def check_clone(warehouse: Warehouse, source: str, fact: str, target: str | None
     if counts["source_rows"] != counts["clone_rows"]:
         raise ValueError(f"clone of {source}.{fact} has {counts['clone_rows']} rows, not {counts['source_rows']}")
     mark = spark.range(1).select(F.current_timestamp().alias("created_at"))
-    mark.write.mode("overwrite").format("parquet").saveAsTable(f"`{target}`.clone_mutation_check")
-    spark.table(f"`{source}`.`{fact}`").limit(0).write.mode("overwrite").format("parquet").saveAsTable(f"`{target}`.`{fact}`")
+    emptied = spark.table(f"`{source}`.`{fact}`").limit(0)
+    warehouse.publish({f"{target}.clone_mutation_check": mark, f"{target}.{fact}": emptied})
     counts["source_rows_after"] = spark.table(f"`{source}`.`{fact}`").count()
     counts["tables_added"] = len(set(catalog.table_names(spark, source)) - before)
     catalog.drop_namespace(spark, target)

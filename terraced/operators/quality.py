@@ -6,13 +6,18 @@ counted where it lies and only counts travel.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraced.sources.catalog import Warehouse
+from terraced.session import pin
+
+if TYPE_CHECKING:
+    from terraced.sources.catalog import Warehouse
 
 RESULT = ["check_name", "table_name", "column_name", "failures"]
 
@@ -33,6 +38,28 @@ def _counted(df: DataFrame, check: str, table: str, broken: Mapping[str, Column]
     return counts.select(F.inline(F.array(*rows)))
 
 
+@dataclass(frozen=True)
+class Rules:
+    """Rules that a write can count while it writes: one pass, no second scan.
+
+    The counts are taken in the stage that writes, where Spark adds up each
+    partition once, whatever tasks are repeated.
+    """
+
+    present: Sequence[str] = ()
+    ranges: Mapping[str, Column] = field(default_factory=dict)
+
+    def counts(self) -> list[Column]:
+        missing = [F.count_if(F.col(c).isNull()).alias(f"not_null {c}") for c in self.present]
+        outside = [F.count_if(~rule).alias(f"range {c}") for c, rule in self.ranges.items()]
+        return [F.count(F.lit(1)).alias("row_count"), *missing, *outside]
+
+    def results(self, table: str, found: Mapping[str, int]) -> Iterator[tuple[str, str, str, int]]:
+        for check, columns in (("not_null", self.present), ("range", self.ranges)):
+            for column in columns:
+                yield check, table, column, found[f"{check} {column}"]
+
+
 def not_null(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
     return _counted(df, "not_null", table, {c: F.col(c).isNull() for c in columns})
 
@@ -50,6 +77,46 @@ def unique(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def present_and_distinct(tables: Sequence[tuple[str, DataFrame, Sequence[str], Sequence[str]]]) -> DataFrame:
+    """Not-null and unique checks of many tables: one scan each, one shuffle for all.
+
+    ``tables`` holds (label, frame, columns that must be present, columns that must be
+    distinct). Every table sends a 128-bit hash per distinct column and row, counted
+    where it lies first, and something for a null only; one aggregate counts nulls
+    and repeated hashes. Columns with repeated hashes are counted again by value.
+    """
+    checks: list[tuple[int, str, str, str]] = []
+    sent: list[DataFrame] = []
+    frames: dict[int, tuple[DataFrame, str]] = {}
+    for label, df, present, distinct in tables:
+        entries = []
+        for column in dict.fromkeys([*present, *distinct]):
+            number = len(frames)
+            frames[number] = (df, column)
+            checks += [(number, "not_null", label, column)] * (column in present) + [(number, "unique", label, column)] * (column in distinct)
+            value = F.col(f"`{column}`")
+            hashes = [F.when(value.isNotNull(), F.xxhash64(F.lit(seed), value)) if column in distinct else F.lit(None).cast("bigint") for seed in (1, 2)]
+            entry = F.struct(F.lit(number).alias("number"), hashes[0].alias("h1"), hashes[1].alias("h2"))
+            entries.append(entry if column in distinct else F.when(value.isNull(), entry))
+        if entries:
+            sent.append(df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("e.*"))
+    spark = tables[0][1].sparkSession
+    met = union(sent).groupBy("number", "h1", "h2").agg(F.count("*").alias("n"))
+    found = met.groupBy("number").agg(
+        F.sum(F.when(F.col("h1").isNull(), F.col("n"))).alias("nulls"), F.count_if(F.col("h1").isNotNull() & (F.col("n") > 1)).alias("repeated")
+    )
+    counted = {r.number: r for r in found.collect()}  # one row per declared column
+    rows = []
+    for number, check, label, column in checks:
+        failures = 0
+        if number in counted:
+            failures = (counted[number].nulls or 0) if check == "not_null" else counted[number].repeated
+            if check == "unique" and failures:
+                failures = duplicates(*frames[number]).count()
+        rows.append((check, label, column, failures))
+    return spark.createDataFrame(rows, "check_name string, table_name string, column_name string, failures bigint")
+
+
 def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """Keys of the child that the parent does not know, with the rows that use them.
 
@@ -135,6 +202,50 @@ def layer_parity(stages: Mapping[str, Mapping[str, DataFrame]]) -> DataFrame:
     return wide.select("table_name", *[F.col(n).alias(f"{n}_rows") for n in names], agree.alias("matches"))
 
 
+#: Ranges of keys at each level of a content comparison.
+DIGEST_LEVELS = (256, 65_536)
+
+
+def _digests(df: DataFrame, levels: int) -> DataFrame:
+    """Per range of keys: rows and two order-free sums of row hashes."""
+    return df.groupBy(F.pmod(F.col("_place"), F.lit(levels)).alias("_range")).agg(
+        F.count("*").alias("_rows"), F.sum(F.col("_h1").cast("decimal(38,0)")).alias("_s1"), F.sum(F.col("_h2").cast("decimal(38,0)")).alias("_s2")
+    )
+
+
+def differing_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Keys whose rows differ between two frames of the same columns, with their rows on each side.
+
+    Both sides are reduced to digests of ranges of keys: sums of row hashes, so order does
+    not matter and rows count as often as they stand. Only ranges with unequal digests
+    are looked at again, in finer ranges, and only rows of unequal fine ranges are
+    compared one by one. Equal tables move digests alone. A row counts as on a side as
+    often as it stands there; keys may be null.
+    """
+    columns = left.columns
+
+    def marked(df: DataFrame) -> DataFrame:
+        all_columns = [F.col(f"`{c}`") for c in columns]
+        row = [F.xxhash64(F.lit(seed), F.struct(*[c.isNull() for c in all_columns]), *all_columns) for seed in (1, 2)]
+        return df.select(F.col(f"`{key}`").alias("_key"), F.xxhash64(F.lit(3), F.col(f"`{key}`")).alias("_place"), row[0].alias("_h1"), row[1].alias("_h2"))
+
+    sides = [marked(left), marked(right)]
+    for levels in DIGEST_LEVELS:
+        one, two = (_digests(side, levels) for side in sides)
+        other = two.toDF(*[f"{c}_" for c in two.columns])
+        equal = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ("_rows", "_s1", "_s2")])
+        unequal = one.join(other, F.col("_range") == F.col("_range_"), "full").filter(~equal)
+        unequal = pin(unequal.select(F.coalesce("_range", "_range_").alias("_unequal")), "unequal")
+        within = F.pmod(F.col("_place"), F.lit(levels)) == F.col("_unequal")
+        sides = [side.join(unequal, within, "left_semi") for side in sides]
+    counted = sides[0].withColumn("_side", F.lit(1)).unionByName(sides[1].withColumn("_side", F.lit(-1)))
+    per_row = counted.groupBy("_key", "_h1", "_h2").agg(
+        F.sum("_side").alias("_more"), F.count_if(F.col("_side") == 1).alias("_left"), F.count_if(F.col("_side") == -1).alias("_right")
+    )
+    per_key = per_row.groupBy("_key").agg(F.max(F.abs("_more")).alias("_off"), F.sum("_left").alias("left_rows"), F.sum("_right").alias("right_rows"))
+    return per_key.filter("_off > 0").select(F.col("_key").alias(key), "left_rows", "right_rows")
+
+
 def failing(results: DataFrame) -> DataFrame:
     return results.filter("failures > 0")
 

@@ -22,7 +22,7 @@ from terraced.plans import customer_domain as cd
 from terraced.plans import source_products as sp
 from terraced.plans import transaction_domain as td
 from terraced.plans.order_product import OrderProduct, revenue_created, revenue_fulfilled
-from terraced.sources import landing
+from terraced.sources import landing, versions
 from terraced.sources.catalog import Warehouse
 from terraced.sources.seed import Operational
 
@@ -245,9 +245,9 @@ def order_product_checks(
 
 
 def reload_sources(wh: Warehouse, source: Operational) -> DataFrame:
-    """Replace the five operational tables and count them."""
-    stored = {t: wh.write("operational", "source", t, df) for t, df in source.tables().items()}
-    return landing.load_report(stored)
+    """Replace the five operational tables in one commit, with the rows each write counted."""
+    frames = {wh.name("operational", "source", t): df for t, df in source.tables().items()}
+    return versions.counts_of(wh.spark, wh.publish(frames, scope=f"{wh.prefix}operational"))
 
 
 def _scopes(scope: str) -> tuple[str, ...]:
@@ -288,15 +288,13 @@ DECLARED = [
 def declared_checks(wh: Warehouse, scope: str = "all", products: Iterable[str] | None = None) -> DataFrame:
     """All declared not-null and unique checks of a scope's products as one frame."""
     wanted = set(products) if products else {f"{kind}_{s}" for kind in ("sdp", "edp") for s in _scopes(scope)}
-    results = []
-    for product, layer, table, present, distinct in DECLARED:
-        if product not in wanted:
-            continue
-        df, label = wh.table(product, layer, table), f"{product}.{table}"
-        results.append(quality.not_null(df, label, present.split()))
-        if distinct:
-            results.append(quality.unique(df, label, distinct.split()))
-    return quality.union(results)
+    return quality.present_and_distinct(
+        [
+            (f"{product}.{table}", wh.table(product, layer, table), present.split(), distinct.split())
+            for product, layer, table, present, distinct in DECLARED
+            if product in wanted
+        ]
+    )
 
 
 def landing_path(environment: str, system: str, table: str) -> str:

@@ -7,12 +7,15 @@ sandboxes apart.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraced.operators import quality
 from terraced.schemas import LAYERS
+from terraced.sources import versions
 
 
 @dataclass(frozen=True)
@@ -37,22 +40,55 @@ class Warehouse:
 
     def ensure(self, namespace: str) -> str:
         """Create the namespace unless it is there."""
-        where = f" LOCATION '{self.location}/{namespace}.db'" if self.location else ""
-        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{namespace}`{where}")
+        where = versions.namespace_folder(self.root, namespace)
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{namespace}` LOCATION '{where}'")
         return namespace
 
     def ensure_product(self, product: str) -> list[str]:
         return [self.ensure(self.namespace(product, layer)) for layer in LAYERS]
 
+    @property
+    def root(self) -> str:
+        """Where the versions of its tables and its commits are."""
+        return versions.root_of(self.spark, self.location)
+
     def write(self, product: str, layer: str, table: str, df: DataFrame) -> DataFrame:
-        """Materialise ``df`` as a table and continue from the stored copy."""
-        self.ensure(self.namespace(product, layer))
+        """Materialise ``df`` as a table and continue from the stored copy; a failed write leaves the old table."""
         name = self.name(product, layer, table)
-        if self.spark.catalog.tableExists(name) and not self._is_stored(name):
-            self.spark.sql(f"DROP VIEW {name}")
-        df.write.mode("overwrite").format("parquet").saveAsTable(name)
+        self.publish({name: df})
         return self.spark.table(name)
 
+    def publish(
+        self,
+        frames: Mapping[str, DataFrame],
+        rules: Mapping[str, quality.Rules] | None = None,
+        audit: Callable[[Mapping[str, DataFrame]], DataFrame] | None = None,
+        scope: str | None = None,
+    ) -> list[versions.Staged]:
+        """Write all frames, check them, then name all of them by their keys (``namespace.table``) or none.
+
+        ``rules`` are counted by the writes. ``audit`` sees what was written, by name, before
+        anybody else does and returns more checks. Any failure raises and changes nothing. With a
+        ``scope`` the commit is recorded, see ``versions.committed``.
+        """
+        rules = rules or {}
+        for name in frames:
+            self.ensure(name.partition(".")[0])
+        staged: list[versions.Staged] = []
+        try:
+            for name, df in frames.items():
+                staged.append(versions.stage(df, self.root, name, rules.get(name, quality.Rules())))
+            broken = [f"{check}({name}.{column}): {n}" for s in staged for check, name, column, n in s.checks if n]
+            if broken:
+                raise ValueError("failed checks: " + "; ".join(broken))
+            if audit:
+                quality.require(audit({s.name: versions.frame_of(self.spark, s) for s in staged}))
+            versions.commit(self.spark, self.root, staged, scope)
+        except Exception:
+            versions.discard(self.spark, staged)
+            raise
+        return staged
+
     def view(self, product: str, layer: str, table: str, over: str, columns: str = "*") -> DataFrame:
         """A stored view that republishes another product's table, or a selection of its ``columns``."""
         self.ensure(self.namespace(product, layer))
@@ -110,7 +146,7 @@ def table_names(spark: SparkSession, namespace: str) -> list[str]:
 
 
 def drop_namespace(spark: SparkSession, namespace: str) -> int:
-    """Drop a namespace with everything in it; returns how many tables it had."""
+    """Drop a namespace with all its names; returns how many tables it had. Folders that no other name shares go with the next sweep."""
     if not namespace_exists(spark, namespace):
         return 0
     held = len(table_names(spark, namespace))

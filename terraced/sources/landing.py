@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terraced.functions.columns import instant, iso_text, load_batch
+from terraced.operators import quality
 from terraced.schemas import LANDED, MIRROR, typed
 from terraced.session import folder_exists, pin
 from terraced.sources import catalog, exports
@@ -58,25 +59,32 @@ def in_scope(scope: str) -> list[str]:
 
 
 def land(
-    warehouse: Warehouse, frames: Mapping[str, DataFrame], as_of: datetime, *, namespace: str = _PLACE, refresh: bool = False
+    warehouse: Warehouse,
+    frames: Mapping[str, DataFrame],
+    as_of: datetime,
+    *,
+    namespace: str = _PLACE,
+    refresh: bool = False,
+    rules: Mapping[str, quality.Rules] | None = None,
 ) -> dict[str, DataFrame]:
-    """Replace each landed table. ``refresh`` drops the old tables first.
+    """Replace the landed tables in one commit: all of them or, when a write or a rule fails, none.
+
+    ``refresh`` drops the old tables first. ``rules`` by table are counted by the writes.
 
     Rows are sorted within files only: it keeps the min/max statistics narrow
     without a global sort.
     """
     spark = warehouse.spark
     place = warehouse.ensure(f"{warehouse.prefix}{namespace}")
-    landed = {}
+    rows = {}
     for table, export in frames.items():
         name = f"{place}.{table}"
         if refresh:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
         _, _, order, _ = LANDED[table]
-        rows = stamped(table, export, as_of).sortWithinPartitions(*order)
-        rows.write.mode("overwrite").format("parquet").saveAsTable(name)
-        landed[table] = spark.table(name)
-    return landed
+        rows[name] = stamped(table, export, as_of).sortWithinPartitions(*order)
+    warehouse.publish(rows, rules={f"{place}.{table}": of for table, of in (rules or {}).items()})
+    return {table: spark.table(f"{place}.{table}") for table in frames}
 
 
 def mirror(landed: DataFrame, mirror_table: str) -> DataFrame:
@@ -86,15 +94,20 @@ def mirror(landed: DataFrame, mirror_table: str) -> DataFrame:
     return as_text.selectExpr(*typed(MIRROR[mirror_table]))
 
 
-def mirror_all(warehouse: Warehouse, landed: Mapping[str, DataFrame], scope: str = "all") -> dict[str, DataFrame]:
-    """Write the raw mirror of a scope. Each table is replaced on its own: Parquet
-    tables have no common commit, so readers may see old and new tables side by side."""
-    written = {}
+def mirror_frames(warehouse: Warehouse, landed: Mapping[str, DataFrame], scope: str = "all") -> dict[str, DataFrame]:
+    """The raw mirror of a scope by full name, lazily."""
+    frames = {}
     for table in in_scope(scope):
         mirror_table, owner, _, _ = LANDED[table]
-        rows = mirror(landed[table], mirror_table)
-        written[mirror_table] = warehouse.write(f"sdp_{owner}", "inbound", mirror_table, rows)
-    return written
+        frames[warehouse.name(f"sdp_{owner}", "inbound", mirror_table)] = mirror(landed[table], mirror_table)
+    return frames
+
+
+def mirror_all(warehouse: Warehouse, landed: Mapping[str, DataFrame], scope: str = "all") -> dict[str, DataFrame]:
+    """Write the raw mirror of a scope in one recorded commit: all of its tables change, or none."""
+    frames = mirror_frames(warehouse, landed, scope)
+    warehouse.publish(frames, scope=f"{warehouse.prefix}mirror_{scope}")
+    return {name.rpartition(".")[2]: warehouse.spark.table(name) for name in frames}
 
 
 def load_report(frames: Mapping[str, DataFrame]) -> DataFrame:

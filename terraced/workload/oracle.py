@@ -412,9 +412,12 @@ def oracle_sql() -> dict[str, str]:
     }
     sql["source_lookup"] = _counts([(mirror_names[t], s) for t, s in _EXPORT_COUNTS])
     sql["model_lookup"] = _pick(TAXES, "taxes_clean")
-    tables = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+    keys = {"customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey", "supplier": "s_suppkey", "events": "event_id"}
     sql["latest_file_per_table"] = " UNION ALL ".join(
-        f"SELECT '{t}' AS table_name, count(*) AS row_count, 1::bigint AS data_files FROM {t}" for t in tables.split()
+        f"""SELECT '{t}' AS table_name, 'load-' || max_load || '-' || part || '-0.parquet' AS file_name, rows AS row_count, files AS data_files FROM (
+          SELECT arg_max(ld, (ld, pt)) AS max_load, arg_max(pt, (ld, pt)) AS part, arg_max(n, (ld, pt)) AS rows, count(*) AS files FROM (
+            SELECT {k} % 3 AS ld, CAST(floor({k} / 3) AS BIGINT) % 4 AS pt, count(*) AS n FROM {t} GROUP BY ALL))"""
+        for t, k in keys.items()
     )
     sql["landing_completeness"] = "SELECT * FROM (VALUES ('returns'), ('shipments')) v(table_name)"
     sql["catalog_listing"] = "SELECT * FROM (VALUES {}) v(table_name)".format(", ".join(f"('{t}')" for t, _ in _EXPORT_COUNTS))
@@ -450,6 +453,30 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT event_id, {_iso('ts')} AS iso_ts, {_iso("date_trunc('second', ts)")} AS iso_second, ts AS parsed FROM events"
     )
 
+    # Publishing.
+    first = {"customers": "customer_id", "orders": "order_id", "order_items": "item_id", "taxes": "tax_id", "depot_transactions": "transaction_id"}
+    sql["publish_all_or_none"] = _ALL + " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, count(*){when} AS row_count, '{step}' AS step FROM {source_of}"
+        for t, source_of in _SOURCE_COUNTS
+        for step, when in (
+            ("1 write fails", ""),
+            ("2 rule fails", ""),
+            ("3 audit fails", ""),
+            ("4 move fails", ""),
+            ("5 published", f" FILTER (WHERE CAST({first[t]} AS VARCHAR) LIKE '%3')"),
+        )
+    )
+    sql["load_audit"] = _ALL + _FAULTY_ORDERS + _FAULTY_ITEMS + " UNION ALL ".join(
+        [_fail("not_null", "orders_clean", c, "faulty", f"{c} IS NULL") for c in ("order_id", "order_total")]
+        + [
+            _fail("not_null", "order_items", "item_id", "faulty_items", "item_id IS NULL"),
+            _fail("range", "order_items", "quantity", "faulty_items", "quantity <= 0"),
+            _fail("range", "order_items", "unit_price", "faulty_items", "unit_price <= 0"),
+            _fail("range", "taxes", "rate", "src_taxes", "rate < 0"),
+        ]
+        + [f"SELECT 'row_count', '{t}', '', count(*) FROM {f}" for t, f in (("orders_clean", "faulty"), ("order_items", "faulty_items"), ("taxes", "src_taxes"))]
+    )
+
     # Source products.
     sql["orders_clean"] = sql["orders_order_grain"] = sql["in_orders_order_grain"] = _pick(ORDERS + " cleaned_at", "orders_clean", _WIDE)
     for name in ("order_items_clean", "order_lines_order_grain", "in_order_lines_order_grain"):
@@ -547,6 +574,23 @@ def oracle_sql() -> dict[str, str]:
         + _keys("taxes", "src_taxes", "tax_id tax_code", "rate")
         + _keys("depot_transactions", "src_depot", "transaction_id", "customer_id amount")
     )
+    sql["keys_at_once"] = _ALL + _FAULTY_ORDERS + " UNION ALL ".join(
+        [
+            rule
+            for table, source, present, distinct in (
+                ("customers", "src_customers", "customer_id customer_name region", "customer_id customer_code segment"),
+                ("orders", "src_orders", "order_id customer_id", "order_id customer_id"),
+                ("order_items", "src_items", "item_id order_id sku", "item_id"),
+                ("taxes", "src_taxes", "tax_id tax_code rate", "tax_id tax_code"),
+                ("depot_transactions", "src_depot", "transaction_id amount", "transaction_id"),
+                ("orders_clean", "faulty", "order_id order_total", "order_id order_total"),
+            )
+            for rule in [_fail("not_null", table, c, source, f"{c} IS NULL") for c in present.split()] + [_dup(table, c, source) for c in distinct.split()]
+        ]
+    )
+    sql["content_parity"] = """SELECT o_orderkey, count(*) AS left_rows,
+          CASE WHEN o_orderkey % 1000 = 1 THEN 0 ELSE count(*) END + CASE WHEN o_orderkey % 1000 = 2 THEN count(*) ELSE 0 END AS right_rows
+        FROM orders WHERE o_orderkey % 1000 IN (1, 2) OR o_orderkey % 1000 = 5 AND o_orderpriority <> 'changed' GROUP BY o_orderkey"""
     source_of = dict(_SOURCE_COUNTS)
     sql["row_count_contract"] = _ALL + " UNION ALL ".join(
         f"SELECT '{t.removeprefix('raw_')}' AS relation, s.n AS expected, e.n AS found, s.n = e.n AS matches "
@@ -604,6 +648,12 @@ def oracle_sql() -> dict[str, str]:
     sql["clone_schema_orders"] = f"""{_ALL}, c AS (SELECT count(*) AS n FROM revenue_star)
         SELECT 'source_rows' AS measure, n AS value FROM c UNION ALL SELECT 'clone_rows', n FROM c
         UNION ALL SELECT 'source_rows_after', n FROM c UNION ALL SELECT 'tables_added', 0 FROM c"""
+    sql["clone_without_copying"] = f"""{_ALL}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE tax_code LIKE '%1') AS half FROM taxes_clean)
+        SELECT '1 cloned' AS step, n AS source_rows, n AS clone_rows, false AS own_files, 0::bigint AS swept FROM c
+        UNION ALL SELECT '2 clone changed', n, half, true, 0 FROM c
+        UNION ALL SELECT '3 source changed', 0, half, true, 0 FROM c
+        UNION ALL SELECT '4 swept', 0, half, true, 1 FROM c
+        UNION ALL SELECT '5 clone dropped', n, 0, false, 1 FROM c"""
     sql["clone_lean"] = f"""{_ALL}, c AS (SELECT count(*) AS n FROM taxes_clean)
         SELECT '1 source emptied' AS step, 0::bigint AS source_rows, n AS clone_rows FROM c
         UNION ALL SELECT '2 source dropped', 0, n FROM c"""

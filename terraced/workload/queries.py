@@ -25,7 +25,7 @@ from terraced.plans import source_products as sp
 from terraced.plans import transaction_domain as td
 from terraced.plans.lineage import Lineage
 from terraced.session import configure, pin, scratch_path
-from terraced.sources import catalog, exports, landing, seed
+from terraced.sources import catalog, exports, landing, seed, versions
 from terraced.sources.catalog import Warehouse
 from terraced.sources.star_schema import read_operational, read_table
 from terraced.streaming.lifecycle import fold_stream, read_event_stream
@@ -154,10 +154,27 @@ def model_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return wh.table("edp_taxes", "access", "taxes_only")
 
 
+def _loads(spark: SparkSession, folder: str, table: str, key: str, loads: int = 3, files: int = 4) -> str:
+    """A given table landed in several loads of several named files; returns its folder."""
+    place = scratch_path(spark, f"loads-{table}")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    rows = read_table(spark, folder, table).withColumn("_load", F.pmod(F.col(key), F.lit(loads))).withColumn("_part", F.pmod(F.floor(F.col(key) / loads), F.lit(files)))
+    rows.repartition(loads * files, "_load", "_part").write.partitionBy("_load", "_part").parquet(place)
+    system = fs_path(place).getFileSystem(spark._jsc.hadoopConfiguration())
+    for load in range(loads):  # as many names as files
+        for part in range(files):
+            for number, found in enumerate(system.globStatus(fs_path(f"{place}/_load={load}/_part={part}/*.parquet")) or []):
+                name = fs_path(f"{place}/load-{load}-{part}-{number}.parquet")
+                system.rename(found.getPath(), name)
+                system.setTimes(name, 1_700_000_000_000 + 60_000 * load + 1_000 * part, -1)
+    return place
+
+
 @_query
 def latest_file_per_table(spark: SparkSession, folder: str) -> DataFrame:
-    paths = {t: f"{folder}/{t}.parquet" for t in TABLES}
-    return landing.latest_files(paths, spark).select("table_name", "row_count", "data_files")
+    """Newest of twelve files of each of five tables, by name, with its rows."""
+    keys = {"customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey", "supplier": "s_suppkey", "events": "event_id"}
+    return landing.latest_files({t: _loads(spark, folder, t, key) for t, key in keys.items()}, spark)
 
 
 @_query
@@ -240,6 +257,58 @@ def iso_timestamps(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- publishing
+
+
+@_query
+def publish_all_or_none(spark: SparkSession, folder: str) -> DataFrame:
+    """Five tables published, then failing in a write, in a rule, in an audit and in a move, then published anew."""
+    wh = own_warehouse(spark)
+    source = read_operational(spark, folder).tables()
+    names = {t: wh.name("operational", "source", t) for t in source}
+    key = {t: df.columns[0] for t, df in source.items()}
+    fewer = {t: df.filter(F.col(key[t]).cast("string").endswith("3")) for t, df in source.items()}
+    wh.publish({names[t]: df for t, df in source.items()}, scope=f"{wh.prefix}operational")
+    steps = []
+
+    def seen(step: str) -> None:
+        counts = landing.load_report({t: spark.table(n) for t, n in names.items()})
+        steps.append(counts.withColumn("step", F.lit(step)))
+
+    def failing(step: str, frames: dict[str, DataFrame], **options: object) -> None:
+        try:
+            wh.publish({names[t]: df for t, df in frames.items()}, scope=f"{wh.prefix}operational", **options)
+        except Exception:  # whatever stops it, the tables must be as before
+            seen(step)
+
+    broken = dict(fewer)
+    broken["taxes"] = fewer["taxes"].withColumn("tax_code", F.raise_error(F.lit("lost connection")).cast("string"))
+    failing("1 write fails", broken)
+    failing("2 rule fails", fewer, rules={names["taxes"]: quality.Rules(ranges={"rate": F.col("rate") < 0})})
+    failing("3 audit fails", fewer, audit=lambda seen_first: quality.not_null(seen_first[names["orders"]].withColumn("gone", F.lit(None)), "orders", ["gone"]))
+    blocked = wh.name("operational", "source", "customers")
+    failing("4 move fails", {**fewer, "taxes": fewer["taxes"].withColumnRenamed("tax_code", blocked.replace(".", "`"))})
+    wh.publish({names[t]: df for t, df in fewer.items()}, scope=f"{wh.prefix}operational")
+    seen("5 published")
+    return quality.union(steps)
+
+
+@_query
+def load_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Not-null, range and row counts of faulty tables, counted by their writes alone."""
+    r = lineage(spark, folder)
+    wh = own_warehouse(spark)
+    positive = {"quantity": F.col("quantity") > 0, "unit_price": F.col("unit_price") > 0}
+    staged = [
+        versions.stage(_faulty_orders(r), wh.root, "audit.orders_clean", quality.Rules(present=["order_id", "order_total"])),
+        versions.stage(_faulty_items(r), wh.root, "audit.order_items", quality.Rules(["item_id"], positive)),
+        versions.stage(r.source.taxes, wh.root, "audit.taxes", quality.Rules(ranges={"rate": F.col("rate") >= 0})),
+    ]
+    rows = versions.counts_of(spark, staged).select(F.lit("row_count").alias("check_name"), "table_name", F.lit("").alias("column_name"), F.col("row_count").alias("failures"))
+    checks = versions.checks_of(spark, staged).withColumn("table_name", F.substring_index("table_name", ".", -1))
+    return checks.unionByName(rows)
+
+
 # ---------------------------------------------------------------- source products
 
 _relation("orders_clean", lambda r: r.orders_clean)
@@ -460,6 +529,34 @@ def key_check(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def keys_at_once(spark: SparkSession, folder: str) -> DataFrame:
+    """Presence and uniqueness over all operational tables and faulty orders: one scan each, one shuffle."""
+    r = lineage(spark, folder)
+    s = r.source
+    return quality.present_and_distinct(
+        [
+            ("customers", s.customers, ["customer_id", "customer_name", "region"], ["customer_id", "customer_code", "segment"]),
+            ("orders", s.orders, ["order_id", "customer_id"], ["order_id", "customer_id"]),
+            ("order_items", s.order_items, ["item_id", "order_id", "sku"], ["item_id"]),
+            ("taxes", s.taxes, ["tax_id", "tax_code", "rate"], ["tax_id", "tax_code"]),
+            ("depot_transactions", s.depot_transactions, ["transaction_id", "amount"], ["transaction_id"]),
+            ("orders_clean", _faulty_orders(r), ["order_id", "order_total"], ["order_id", "order_total"]),
+        ]
+    )
+
+
+@_query
+def content_parity(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders against a copy that lost some, doubled as many and changed others: equal counts, different content."""
+    orders = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    at = F.col("o_orderkey") % 1000
+    changed = F.when(at == 5, F.lit("changed")).otherwise(F.col("o_orderpriority"))
+    other = orders.withColumn("o_orderpriority", changed).filter(at != 1)
+    other = other.unionByName(orders.filter(at == 2)).repartition(F.col("o_custkey"))
+    return quality.differing_keys(pin(orders, "parity"), pin(other, "parity"), "o_orderkey")
+
+
 @_query
 def row_count_contract(spark: SparkSession, folder: str) -> DataFrame:
     """Expected counts are the source's; orders without items make the order export fall short."""
@@ -667,6 +764,33 @@ def clone_schema_orders(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(list(counts.items()), "measure string, value bigint")
 
 
+@_query
+def clone_without_copying(spark: SparkSession, folder: str) -> DataFrame:
+    """A clone that shares every file until either side changes, and what a sweep leaves."""
+    wh = _built(spark, folder, "taxes", domains=False)
+    product, target, table = "sdp_taxes", "sdp_taxes_ci_clo_own_b1", ("core", "taxes_clean")
+    clones.apply_clone(wh, product, target, replace=False)
+    steps = []
+
+    def seen(step: str, swept: int = 0) -> None:
+        source, clone = wh.table(product, *table), wh.table(target, *table)
+        own = len(set(clone.inputFiles()) - set(source.inputFiles()))
+        steps.append((step, source.count(), clone.count(), own > 0, swept))
+
+    seen("1 cloned")
+    half = wh.table(target, *table).filter(F.col("tax_code").endswith("1"))
+    wh.write(target, *table, half)
+    seen("2 clone changed")
+    wh.write(product, *table, wh.table(product, *table).limit(0))
+    seen("3 source changed")
+    seen("4 swept", versions.sweep(spark, wh.root, older_than=0))
+    clones.drop_clone(wh, product, target)
+    swept = versions.sweep(spark, wh.root, older_than=0)
+    left = wh.table(product, "access", "taxes_grain").count()
+    steps.append(("5 clone dropped", left, 0, False, swept))
+    return spark.createDataFrame(steps, "step string, source_rows bigint, clone_rows bigint, own_files boolean, swept bigint")
+
+
 @_query
 def clone_lean(spark: SparkSession, folder: str) -> DataFrame:
     """A clone of a product with views, after its source was emptied and after it was dropped."""
