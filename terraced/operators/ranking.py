@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from terraced.session import pin, scanned_bytes, width_for
 
+_SAMPLED_PER_TASK = 40
+
 
 def number_rows(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
     """Add ``name`` = 1-based position of each row in its ``group`` by ``order``.
@@ -15,29 +17,41 @@ def number_rows(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
     ``order`` must be unique within a group (it is a key), or ties are numbered
     arbitrarily, as with ``row_number``.
 
-    One plan at every size. Rows are dealt into ranges of (``group``, ``order``),
-    which cut a large group like any other stretch of rows, and stored with the
-    number of their range. A group is numbered inside each range. Only a group that
-    reaches over a range's border needs a shift, by its rows in earlier ranges; such
-    groups are the first or last of a range, so at most two rows per range are
-    counted, summed and joined back.
+    The rows are shuffled once. A group that holds more than a task's share of a sample is cut
+    at evenly spaced sample rows into ranges of about a share each; ranges are numbered
+    by themselves and moved by the rows of the group's earlier ranges. The sample
+    decides where groups are cut, never what the numbers are. There are at most as many
+    cuts as tasks, so the tables of cuts and moves are small, and without a group of that size there are none.
     """
-    ranges = width_for(df.sparkSession, scanned_bytes(df))
-    dealt = df.repartitionByRange(ranges, F.col(group), F.col(order)).withColumn("_range", F.spark_partition_id())
-    stored = pin(dealt, "numbered")
-
-    ends = stored.groupBy("_range").agg(
-        F.min(F.struct(F.col(group).alias("g"))).alias("_first"), F.max(F.struct(F.col(group).alias("g"))).alias("_last")
-    )
-    of_end = F.col(group).eqNullSafe(F.col("_first.g")) | F.col(group).eqNullSafe(F.col("_last.g"))
-    held = stored.join(pin(ends, "range-ends"), "_range").filter(of_end).groupBy(group, "_range").agg(F.count("*").alias("_rows"))
-    earlier = W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    shifts = held.select(
-        F.col(group).alias("_group"), F.col("_range").alias("_of"), F.sum("_rows").over(earlier).alias("_shift")
-    ).filter("_shift IS NOT NULL")
-
-    within = F.row_number().over(W.partitionBy("_range", group).orderBy(order))
-    same = (F.col("_range") == F.col("_of")) & F.col(group).eqNullSafe(F.col("_group"))
-    numbered = stored.withColumn("_at", within).join(pin(shifts, "range-shifts"), same, "left")
+    tasks = width_for(df.sparkSession, scanned_bytes(df))
+    cuts = _cuts(df, group, order, tasks)
+    if cuts.isEmpty():
+        within = F.row_number().over(W.partitionBy(group).orderBy(order))
+        return df.withColumn(name, within.cast("bigint"))
+
+    same = F.col(group).eqNullSafe(F.col("_cut_group"))
+    passed = F.filter("_cuts", lambda cut: F.coalesce(cut["at"] <= F.col(order), F.lit(False)))
+    ranged = df.join(cuts, same, "left").withColumn("_range", F.when(F.col("_cuts").isNotNull(), F.size(passed)).otherwise(0))
+    held = df.join(cuts, same).groupBy(F.col("_cut_group").alias("_of_group"), F.size(passed).alias("_of")).agg(F.count("*").alias("_rows"))
+    earlier = W.partitionBy("_of_group").orderBy("_of").rowsBetween(W.unboundedPreceding, -1)
+    moves = pin(held.select("_of_group", "_of", F.sum("_rows").over(earlier).alias("_shift")).filter("_shift IS NOT NULL"), "range-shifts")
+
+    within = F.row_number().over(W.partitionBy(group, "_range").orderBy(order))
+    of_range = (F.col("_range") == F.col("_of")) & F.col(group).eqNullSafe(F.col("_of_group"))
+    numbered = ranged.withColumn("_at", within).join(moves, of_range, "left")
     at = (F.col("_at") + F.coalesce("_shift", F.lit(0))).cast("bigint")
-    return numbered.select(*df.columns, at.alias(name))
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], at.alias(name))
+
+
+def _cuts(df: DataFrame, group: str, order: str, tasks: int) -> DataFrame:
+    """``_cut_group`` and ``_cuts`` (ascending values of ``order``) of groups above a task's share of a sample."""
+    rows = df.count()
+    share = min(1.0, _SAMPLED_PER_TASK * tasks / max(rows, 1))
+    keys = df.select(F.col(group).alias("_cut_group"), F.struct(F.col(order).alias("at")).alias("_key"))
+    sample = pin(keys.sample(share, seed=1), "number-sample")
+    per_task = max(1, sample.count() // tasks)
+    pieces = F.ceil(F.col("_held") / per_task)
+    large = sample.groupBy(F.col("_cut_group").alias("_large")).agg(F.count("*").alias("_held")).filter(F.col("_held") > per_task)
+    placed = sample.join(large, F.col("_cut_group").eqNullSafe(F.col("_large"))).withColumn("_seat", F.row_number().over(W.partitionBy("_cut_group").orderBy("_key")) - 1)
+    starts = placed.filter((F.col("_seat") > 0) & (F.floor(F.col("_seat") * pieces / F.col("_held")) != F.floor((F.col("_seat") - 1) * pieces / F.col("_held"))))
+    return pin(starts.groupBy("_cut_group").agg(F.array_sort(F.collect_list("_key")).alias("_cuts")), "number-cuts")
