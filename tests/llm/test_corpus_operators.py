@@ -31,6 +31,7 @@ from terraced.llm import (
     url_rules,
 )
 from terraced.llm.common import crc_of_id
+from terraced.operators import ranking
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string, score string, node string"
@@ -207,9 +208,10 @@ def test_equal_rows_are_numbered_over_many_tasks(spark):
     assert all(r.n == r.d == r.m + 1 for r in sizes)
     packed = length_buckets.pack(df)
     assert packed.count() == 401_000 == packed.select("bucket", "batch", "place").distinct().count()
-    stored = next(os.path.dirname(f) for f in packed.inputFiles() if "/numbered-" in f)
-    ranges = [r["count"] for r in spark.read.parquet(stored).groupBy("_range").count().collect()]
-    assert len(ranges) >= 8 and max(ranges) < 2 * sum(ranges) / len(ranges)
+    rows = df.filter("doc_id IS NULL").select(F.lit(0).alias("g"), F.monotonically_increasing_id().alias("o"))
+    [cuts] = ranking._cuts(rows, "g", "o", 8).collect()
+    places = np.searchsorted(np.sort(rows.toPandas()["o"].to_numpy()), [0, *[c["at"] for c in cuts["_cuts"]], 1 << 62])
+    assert len(places) in (9, 10) and np.diff(places).max() < 2 * 400_000 / 8
 
 
 def test_best_borders_equal_brute_force():
