@@ -1,7 +1,8 @@
 """Secret scans through nested encodings.
 
 Every text is scanned as it stands, then it is unwrapped: percent escapes, Unicode
-escapes, base64 runs, and gzip, zlib, bzip2 or xz data in them. Each layer found is
+escapes in all usual notations, escaped quotes and line breaks, base64 runs, UTF-16 and
+UTF-32, and gzip, zlib (of any window), bzip2 or xz data in them. Each layer found is
 scanned, whatever its bytes are, and unwrapped in turn until nothing new comes out. A
 layer whose text was seen before in the same document is not taken again, which ends
 cycles; every other layer is shorter than what it came from or comes from inflating it.
@@ -9,8 +10,11 @@ cycles; every other layer is shorter than what it came from or comes from inflat
 Decoded bytes are read as Latin-1: one character for each byte, as all that is looked
 for is ASCII. A base64 run goes on over single line breaks with white space around them,
 and is decoded from each of its first four characters, so one that begins anywhere in it
-is found; the lines of such a run are decoded by themselves too. Compressed data is
-opened wherever decoded bytes hold its mark.
+is found; the lines of such a run are decoded by themselves too. The lines may be quoted
+by ``>``. Compressed data is opened wherever decoded bytes hold its mark. Wide characters are
+read without their zero bytes, where at least ``SHORTEST`` of them follow one another.
+Not opened: other encodings (base32, base85, quoted-printable), archives with formats of
+their own inside (zip, 7z), and encrypted data.
 
 Spans are code points of the document. A finding inside three layers is reported at
 the escape or base64 run that holds it. Escapes map one by one, base64 in groups of
@@ -55,14 +59,22 @@ MASK = "[SECRET]"
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_ESCAPE = re.compile(r"(?=[%\\&])(?:(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#x?[0-9A-Fa-f]{1,6};)")
-_B64, _BREAK = "[A-Za-z0-9+/_-]", r"[ \t]*+\r?\n[ \t]*+"
+#: Characters of the shortest finding: a name of five, a sign and six more.
+SHORTEST = 12
+_ESCAPE = re.compile(
+    r"(?=[%\\&])(?:(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\[nrt\"'/]|&#x?[0-9A-Fa-f]{1,6};)"
+)
+_PLAIN = {"n": "\n", "r": "\r", "t": "\t"}
+_WIDE = re.compile(f"(?:[\x20-\x7e]\0{{1,3}}){{{SHORTEST}}}|(?:\0{{1,3}}[\x20-\x7e]){{{SHORTEST}}}")
+_B64, _BREAK = "[A-Za-z0-9+/_-]", r"[ \t]*+\r?\n[ \t>]*+"
 #: 16 characters hold the shortest finding, an assignment of 12; the lines of a run may be shorter.
 _BASE64 = re.compile(rf"(?<!{_B64})(?:{_B64}{{16,}}+|{_B64}++(?={_BREAK}{_B64}))(?:{_BREAK}{_B64}++)*+={{0,2}}")
 _LINE = re.compile(f"{_B64}+")
-_MARKS = re.compile(b"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
-#: In reversed data: a byte no encoded run holds, or white space within a line.
-_FREE = re.compile(rb"[^A-Za-z0-9+/_.=%\\&#;\s-]|\S[ \t]+(?=\S)")
+#: The two bytes zlib data can begin with, for each window and level, without a preset dictionary.
+_ZLIB = frozenset(bytes((cmf, flags)) for cmf in range(0x08, 0x80, 0x10) for flags in range(256) if (cmf * 256 + flags) % 31 == 0 and not flags & 0x20)
+_MARKS = re.compile(b"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|" + b"|".join(map(re.escape, sorted(_ZLIB))))
+#: In reversed data: a byte no encoded run holds, or white space within a line but after a quote's sign.
+_FREE = re.compile(rb"[^A-Za-z0-9+/_.=%\\&#;\s>{}-]|\S[ \t]+(?=[^\s>])")
 
 Span = tuple[int, int, int]  # start, place of the kind, end
 
@@ -115,6 +127,13 @@ def _unescaped(layer: _Layer) -> Iterator[_Layer]:
                 for text in _inflated(data[place:]):
                     yield _whole(layer, text, m.start() + place * width, m.end())
             plain, sizes = data.decode("latin-1"), np.full(len(data), width)
+        elif raw[0] == "\\" and (raw[1] == "U" or raw[2:3] == "{"):
+            number = int(raw[2:].strip("{}"), 16)
+            if number >= 0x110000 or 0xD800 <= number < 0xE000:
+                continue
+            plain, sizes = chr(number), np.array([len(raw)])
+        elif raw[0] == "\\" and len(raw) == 2:
+            plain, sizes = _PLAIN.get(raw[1], raw[1]), np.array([2])
         elif raw[0] == "\\":
             units = bytes.fromhex(raw.replace("\\u", ""))
             plain = units.decode("utf-16-be", "replace")
@@ -175,7 +194,7 @@ def _from_run(layer: _Layer, lines: list[tuple[int, int]], end: int) -> Iterator
 
 def _opener(head: bytes) -> Callable[[], Any] | None:
     """What makes a decompressor for data that begins with ``head``."""
-    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78":
+    if head[:2] == b"\x1f\x8b" or head[:2] in _ZLIB:
         return partial(zlib.decompressobj, 47)
     if head[:3] == b"BZh":
         return bz2.BZ2Decompressor
@@ -261,8 +280,15 @@ def _inflated(data: bytes) -> Iterator[str]:
         levels.append(make)
 
 
+def _narrowed(layer: _Layer) -> Iterator[_Layer]:
+    """The layer without its zero characters, if they belong to wide characters."""
+    if "\0" in layer.text and _WIDE.search(layer.text):
+        kept = np.flatnonzero(np.frombuffer(layer.text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
+        yield _Layer(layer.text.replace("\0", ""), layer, lambda start, end: (int(kept[start]), int(kept[end - 1]) + 1))
+
+
 def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
-    return chain(_unescaped(layer), _decoded(layer))
+    return chain(_unescaped(layer), _decoded(layer), _narrowed(layer))
 
 
 def findings(text: str | None) -> tuple[list[Span], list[Span]]:
