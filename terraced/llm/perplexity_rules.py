@@ -45,13 +45,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraced.llm.common import in_chunks, mix64, pin
-from terraced.session import scanned_bytes
+from terraced.session import scanned_bytes, scratch_path
 
 ORDER = 3
 WIDTH = 4.0
 LEAST = 0.1
 CHUNK = 200
 ROWS_PER_BLOCK = 16_384
+BYTES_PER_BLOCK = 16 * 1024 * 1024
 BYTES_PER_BUCKET = 32 * 1024 * 1024
 MOST_BUCKETS = 100_000  # what Spark allows; a bucket then holds several blocks, one after the other
 HELD = 2_000_000  # n-grams a counting task holds before it hands on what it has
@@ -275,36 +276,60 @@ def _several(stored: DataFrame) -> DataFrame:
     return texts.distinct().join(copies, ["of", "same"])
 
 
-def _in_blocks(docs: DataFrame, name: str) -> DataFrame:
+def _block(task: Column, size: Column) -> Column:
+    """A number per block of the rows of a task in order, above 32 bits the task."""
+
+    @F.pandas_udf("long")
+    def numbered(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        block = held = filled = 0
+        for tasks, sizes in rows:
+            numbers = np.empty(len(sizes), dtype=np.int64)
+            for at, own in enumerate(sizes.tolist()):
+                if held and (held >= ROWS_PER_BLOCK or filled + own > BYTES_PER_BLOCK):
+                    block, held, filled = block + 1, 0, 0
+                held, filled = held + 1, filled + own
+                numbers[at] = block
+            yield pd.Series(numbers + (tasks.to_numpy() << 32))
+
+    return numbered(task, size)
+
+
+def _in_blocks(docs: DataFrame, name: str, path: str) -> DataFrame:
     """Store id, text and language as table ``name``, bucketed by ``block``; ``of`` stands for the language, ``same`` for the text.
 
-    A block holds rows of one task, so a task writes its blocks without a shuffle.
-    The number is stored, so whatever runs again later sees the same blocks.
+    A block holds rows of one task, so a task writes its blocks without a shuffle: at
+    most ``ROWS_PER_BLOCK`` of them and ``BYTES_PER_BLOCK`` of text, or one longer text.
+    The number is stored, so whatever runs again later sees the same blocks. The table's
+    files go to the shared folder.
     """
-    number = F.monotonically_increasing_id()  # the task, and below 33 bits the row within it
-    per_task = (1 << 33) // ROWS_PER_BLOCK
-    block = F.shiftright(number, 33) * per_task + (number.bitwiseAND((1 << 33) - 1) / ROWS_PER_BLOCK).cast("long")
+    task = F.shiftright(F.monotonically_increasing_id(), 33)
+    block = _block(task, F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)))
     lang = F.col("lang").cast("string")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
     folded = F.translate("text", "123456789\t\x0b\x0c\r", "000000000    ")
     read = read.select("*", block.alias("block"), F.xxhash64("lang").alias("of"), F.md5(folded).alias("same"))
     buckets = min(max(scanned_bytes(docs) // BYTES_PER_BUCKET, 8), MOST_BUCKETS)
-    read.write.bucketBy(buckets, "block").option("compression", "zstd").format("parquet").saveAsTable(name)
+    read.write.bucketBy(buckets, "block").option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
     return docs.sparkSession.table(name)
 
 
 def judge(docs: DataFrame, *, width: float = WIDTH, least: float = LEAST) -> DataFrame:
     """The base measures, ``base_failed``, ``log_perplexity`` and ``kept`` for every row of ``docs``."""
     spark, name = docs.sparkSession, f"perplexity_{uuid.uuid4().hex}"
-    stored = _in_blocks(docs, name)
-    counts = stored.select("block", "of", "text").mapInPandas(_count, "block long, of long, gram string, n long")
-    counts = pin(counts, "block-grams")
-    wanted = counts.select("block", "of", "gram").distinct().join(probabilities(counts), ["of", "gram"])
-    wanted = wanted.unionByName(_several(stored), allowMissingColumns=True)
-    measured = stored.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(_measured, "doc_id long, lang string, " + _MEASURES)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    measured = pin(measured.withColumn("base_failed", failed), "perplexity")
-    spark.sql(f"DROP TABLE {name}")
+    path = scratch_path(spark, "perplexity-blocks")
+    try:
+        stored = _in_blocks(docs, name, path)
+        counts = stored.select("block", "of", "text").mapInPandas(_count, "block long, of long, gram string, n long")
+        counts = pin(counts, "block-grams")
+        wanted = counts.select("block", "of", "gram").distinct().join(probabilities(counts), ["of", "gram"])
+        wanted = wanted.unionByName(_several(stored), allowMissingColumns=True)
+        measured = stored.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(_measured, "doc_id long, lang string, " + _MEASURES)
+        failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+        measured = pin(measured.withColumn("base_failed", failed), "perplexity")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
     values = measured.filter("NOT base_failed").select(F.col("lang").alias("_lang"), "log_perplexity").distinct()
     middle = values.groupBy("_lang").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("_middle"))
