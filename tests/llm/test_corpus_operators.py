@@ -632,3 +632,65 @@ def test_composed_machine_equals_the_five_one_by_one():
             if weight:
                 want.append(weight * math.prod(a[at][1] for a in answers))
         assert list(grammar.matches(tokens)) == pytest.approx(want)
+
+
+def _deflated(data, window):
+    packer = zlib.compressobj(9, zlib.DEFLATED, window)
+    return packer.compress(data) + packer.flush()
+
+
+def _json_lines(data, width=64):
+    return "\\n".join(base64.b64encode(data).decode()[i : i + width] for i in range(0, len(base64.b64encode(data)), width))
+
+
+SECRET_LINE = b"user: someone, " * 9 + b"token=abcdef123456 " + b"and so on " * 9
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        '{"a": "' + _json_lines(gzip.compress(os.urandom(120).hex().encode() + b" " + SECRET_LINE)) + '"}',
+        "".join(f"> {line}\n" for line in _wrapped(gzip.compress(SECRET_LINE + os.urandom(90)), 64).split("\n")),
+        "\\u{74}oken=abcdef123456",
+        "\\U00000074oken=abcdef123456",
+        *(base64.b64encode(_deflated(SECRET_LINE, w)).decode() for w in range(9, 16)),
+        base64.b64encode("some text token=abcdef123456 more".encode("utf-16")).decode(),
+        base64.b64encode("some text token=abcdef123456 more".encode("utf-16-be")).decode(),
+        base64.b64encode("token=abcdef123456".encode("utf-32-le")).decode(),
+        base64.b64encode(gzip.compress("wide token=abcdef123456 text".encode("utf-16-le"))).decode(),
+        '{\\"token\\": \\"abcdef123456\\"}',
+    ],
+)
+def test_further_layers_are_opened(hidden):
+    before = "plain words first\n"
+    base, every = secret_layers.findings(before + hidden + "\nplain words last")
+    assert [k for _, k, _ in every] and any(k == 0 and start >= len(before) and end <= len(before + hidden) + 1 for start, k, end in every), every
+
+
+def test_spans_of_further_layers():
+    for hidden in ("\\u{74}oken=abcdef123456", "\\U00000074oken=abcdef123456"):
+        assert secret_layers.findings("ab " + hidden)[1] == [(3, 0, 3 + len(hidden))]
+    wide = base64.b64encode("token=abcdef123456".encode("utf-16-le")).decode()
+    [(start, kind, end)] = secret_layers.findings("x " + wide + " y")[1]
+    assert (start, kind) == (2, 0) and 2 + 44 <= end <= 2 + len(wide)
+    assert secret_layers.findings("a\0b\0c token=abc\0")[1] == []
+
+
+def test_blocks_are_bounded_in_bytes(spark):
+    rows = [(i, "word " * (400_000 if i % 5 == 0 else 10), "en") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    size = F.octet_length("text")
+    blocks = df.select(size.alias("n"), perplexity_rules._block(F.shiftright(F.monotonically_increasing_id(), 33), size).alias("block"))
+    held = blocks.groupBy("block").agg(F.sum("n").alias("bytes")).collect()
+    assert sum(r["bytes"] for r in held) == sum(len(t) for _, t, _ in rows)
+    assert len(held) >= 2 and max(r["bytes"] for r in held) <= perplexity_rules.BYTES_PER_BLOCK
+
+
+def test_a_text_of_a_million_words(spark):
+    text = " ".join(f"w{i % 977} and{i % 31}" for i in range(500_000)) + " password=abcdef123456"
+    rows = [(i, f"short text number {i} of some words here", "en", "s") for i in range(30)] + [(99, text, "en", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    judged = {r["doc_id"]: r["n_words"] for r in perplexity_rules.judge(df).collect()}
+    assert judged[99] == 1_000_001 and len(judged) == 31
+    assert {r["doc_id"]: r["n_assign"] for r in secret_layers.secrets(df).collect()}[99] == 1
+    assert {r["doc_id"]: r["component_id"] for r in tensored_minhash.near_duplicates(df.filter("doc_id > 27")).collect()}[99] == 99
