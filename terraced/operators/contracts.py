@@ -17,6 +17,20 @@ MANIFEST_SCHEMA = f"struct<nodes:map<string,{_NODE}>>"
 # Scopes in the order in which a node's text is searched for them.
 SCOPE_ORDER = ("depot_transactions", "customers", "taxes", "orders")
 
+# Parts of a node whose text names its scope.
+_SCOPE_PARTS = ("package_name", "name", "alias", "original_file_path", "path")
+
+# What a model text holds besides plain text: comments and raw sections, which come first, and blocks with their content.
+# An unfinished one reaches to the end, so that no text is searched twice.
+_BLOCKS = (
+    r"(?s)\{#.*?(?:#\}|\z)|\{%[-+]?\s*raw\s*[-+]?%\}.*?(?:\{%[-+]?\s*endraw\s*[-+]?%\}|\z)"
+    r"|\{\{.*?(?:\}\}|\z)|\{%.*?(?:%\}|\z)"
+)
+_SQL_COMMENTS = r"""(?s)(\{\{.*?(?:\}\}|\z)|\{%.*?(?:%\}|\z)|'[^']*'|"[^"]*")|--[^\n]*|/\*.*?(?:\*/|\z)"""
+_STRING = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+(?:'|$)|"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|$)"""
+_CALL = r"""(?<![\w.])(?:builtins\.)?ref\s*\(\s*(?:'[^']*'|"[^"]*")\s*(?:,\s*(?:'[^']*'|"[^"]*")\s*)?(?=[,)])"""
+_FIRST, _SECOND = r"""\(\s*['"]([^'"]*)""", r""",\s*['"]([^'"]*)['"]\s*$"""
+
 
 def read_manifests(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
     """Manifest texts, gzip or plain: one per file, or one per line."""
@@ -64,13 +78,91 @@ def retarget(node_rows: DataFrame, database_of: Mapping[str, str]) -> DataFrame:
     """Point each node with a database at the database of its scope, where one is given."""
     if not database_of:
         return node_rows
-    parts = ["package_name", "name", "alias", "original_file_path", "path"]
-    text = F.concat_ws(" ", *parts, F.array_join("fqn", " "))
-    targets = F.create_map(*[F.lit(v) for v in chain.from_iterable(database_of.items())])
-    moved = F.coalesce(F.element_at(targets, scope_of(text)), F.col("database"))
+    text = F.concat_ws(" ", *_SCOPE_PARTS, F.array_join("fqn", " "))
+    moved = F.coalesce(_target(database_of, text), F.col("database"))
     return node_rows.withColumn("database", F.when(_filled("database").isNotNull(), moved).otherwise(F.col("database")))
 
 
+def _target(database_of: Mapping[str, str], text: Column) -> Column:
+    """The database given for the scope of a text; NULL where none is."""
+    targets = F.create_map(*[F.lit(v) for v in chain.from_iterable(database_of.items())])
+    return F.element_at(targets, scope_of(text))
+
+
+def rewrite_manifests(manifests: DataFrame, database_of: Mapping[str, str]) -> DataFrame:
+    """The same manifests as documents, each node with a database pointed at the database of its scope.
+
+    Nothing but ``database`` changes: fields, nodes and sections that the contract
+    schema does not know come through, whatever their types. Members come out in
+    the order of their names and numbers in their shortest form. Nodes that are no
+    objects, or whose database is missing, blank or no text, stay as they are, and
+    so do documents without an object ``nodes`` and texts that are no JSON object
+    or repeat a member's name. No shuffle and no Python: one projection.
+    """
+    if not database_of:
+        return manifests
+
+    def members(value: Column) -> Column:
+        return F.try_variant_get(value, "$", "map<string,variant>")
+
+    def text(fields: Column, name: str) -> Column:
+        return F.try_variant_get(F.element_at(fields, name), "$", "string")
+
+    def moved(node: Column) -> Column:
+        fields = members(node)
+        fqn = F.array_join(F.try_variant_get(F.element_at(fields, "fqn"), "$", "array<string>"), " ")
+        found = _target(database_of, F.concat_ws(" ", *[text(fields, part) for part in _SCOPE_PARTS], fqn))
+        pointed = F.schema_of_variant(F.element_at(fields, "database")) == "STRING"
+        pointed &= (F.trim(text(fields, "database")) != "") & found.isNotNull()
+        rebuilt = F.transform_values(fields, lambda name, value: F.when(name == "database", found.cast("variant")).otherwise(value))
+        return F.when(pointed, F.to_variant_object(rebuilt)).otherwise(node)
+
+    document = members(F.try_parse_json("manifest"))
+    node_map = members(F.element_at(document, "nodes"))
+    rebuilt_nodes = F.to_variant_object(F.transform_values(node_map, lambda _, node: moved(node)))
+    rebuilt = F.transform_values(document, lambda name, value: F.when(name == "nodes", rebuilt_nodes).otherwise(value))
+    return manifests.withColumn("manifest", F.when(node_map.isNotNull(), F.to_json(rebuilt)).otherwise(F.col("manifest")))
+
+
+def write_manifests(manifests: DataFrame, path: str, whole_files: bool = True) -> None:
+    """Gzip files with one manifest each, or one per line; ``read_manifests`` reads them back."""
+    writer = manifests.select("manifest").write.option("compression", "gzip")
+    (writer.option("maxRecordsPerFile", 1) if whole_files else writer).text(path)
+
+
+def text_references(texts: DataFrame, column: str = "text", in_sql_comments: bool = True) -> DataFrame:
+    """One row per ``ref('name')`` or ``ref('package', 'name')`` in model texts, beside the other columns.
+
+    Only calls within ``{{ }}`` and ``{% %}`` count; template comments, raw sections
+    and quoted text within blocks hold none. A comment of the SQL does not hide a
+    block, as templates are filled in first; ``in_sql_comments=False`` leaves those
+    out too. ``package`` is NULL for one name. Null and empty texts have no
+    references. A quoted ``}}`` or ``%}`` ends its block.
+    """
+    kept = [F.col(c) for c in texts.columns if c != column]
+    text = F.col(column)
+    if not in_sql_comments:
+        bare = F.regexp_replace(text, r"(?s)\{#.*?(?:#\}|\z)", " ")
+        text = F.regexp_replace(bare, _SQL_COMMENTS, "$1")
+    pieces = F.regexp_extract_all(text, F.lit(_BLOCKS), F.lit(0))
+    blocks = F.filter(pieces, lambda b: _paired(b, "{{", "}}") | (_paired(b, "{%", "%}") & ~b.rlike(r"^\{%[-+]?\s*raw\s*[-+]?%")))
+    tokens = F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(f"(?s){_STRING}|{_CALL}"), F.lit(0)))
+    calls = F.filter(F.flatten(tokens), lambda token: ~token.rlike("^['\"]"))
+    found = texts.select(*kept, F.explode(calls).alias("_call"))
+    first, second = F.regexp_extract("_call", _FIRST, 1), F.regexp_extract("_call", _SECOND, 1)
+    two = F.col("_call").rlike(_SECOND)
+    return found.select(*kept, F.when(two, first).alias("package"), F.when(two, second).otherwise(first).alias("name"))
+
+
+def _paired(piece: Column, opening: str, closing: str) -> Column:
+    return piece.startswith(opening) & piece.endswith(closing) & (F.length(piece) >= len(opening) + len(closing))
+
+
+def unresolved_in_texts(references: DataFrame, contract: DataFrame, producer: str) -> DataFrame:
+    """References to ``producer`` that its contract does not publish, with how often each is used."""
+    return unresolved(references.filter(F.col("package") == producer), contract)
+
+
 def unresolved(references: DataFrame, contract: DataFrame) -> DataFrame:
     """References (``name``) to relations the producer does not publish, with how often each is used.
 

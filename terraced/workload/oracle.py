@@ -686,6 +686,33 @@ def oracle_sql() -> dict[str, str]:
     sql["unresolved_refs"] = f"""{_MANIFEST} SELECT 'model_' || l_partkey AS name, count(*) AS uses FROM lineitem
         WHERE 'model_' || l_partkey NOT IN (SELECT name FROM contract) GROUP BY 1"""
 
+    node = {
+        "resource_type": "CASE WHEN k % 10 = 3 THEN 'test' ELSE 'model' END",
+        "package_name": "CASE WHEN k % 7 = 0 THEN 'other' ELSE 'producer' END",
+        "access": "CASE WHEN k % 4 = 0 THEN 'private' ELSE 'public' END",
+        "name": "'model_' || k",
+        "database": "CASE scope WHEN 'orders' THEN 'DEV_ORDERS' WHEN 'Customers' THEN 'DEV_CUSTOMERS' "
+        "WHEN 'depot_transactions' THEN 'DEV_DEPOT' ELSE 'DB_' || upper(p_type) END",
+        "schema": "CASE WHEN k % 9 <> 0 THEN 'ACCESS' END",
+        "alias": "CASE WHEN k % 3 = 0 THEN '' ELSE 'T_' || k END",
+        "path": "'models/' || scope || '/m.sql'",
+    }
+    test = {"resource_type": "test", "package_name": "producer", "access": "public", "database": "", "schema": "ACCESS", "alias": "", "path": "models/orders/t.sql"}
+    members = [f"SELECT 'm.' || k AS node_id, '{field}' AS field, '\"' || ({value}) || '\"' AS value FROM picked" for field, value in node.items()]
+    members += [f"SELECT 't.' || k, '{field}', '\"{value}\"' FROM picked" for field, value in test.items()]
+    members += [
+        "SELECT 't.' || k, 'name', '\"test_' || k || '\"' FROM picked",
+        "SELECT 't.' || k, 'fqn', '[\"producer\",\"tests\"]' FROM picked",
+        "SELECT 'm.' || k, 'fqn', '[\"producer\",\"' || p_brand || '\"]' FROM picked",
+        "SELECT 'm.' || k, 'meta', '{\"owners\":[\"a\"],\"weight\":0.25}' FROM picked WHERE k % 10 <> 3",
+        "SELECT '', 'metadata', '{\"format\":12,\"tags\":[\"brand\",null]}' FROM picked",
+    ]
+    sql["rewritten_manifests"] = f"{_MANIFEST} SELECT * FROM ({' UNION ALL '.join(members)}) WHERE value IS NOT NULL"
+    sql["unresolved_text_refs"] = f"""{_MANIFEST}, used AS (SELECT l_partkey AS k, count(*) AS uses FROM lineitem GROUP BY 1),
+          gone AS (SELECT * FROM used WHERE 'model_' || k NOT IN (SELECT name FROM contract))
+        SELECT 'model_' || k AS name, uses, in_comments FROM gone, (VALUES (true), (false)) v(in_comments)
+        UNION ALL SELECT 'quiet_' || k, uses, true FROM used"""
+
     # Reconcile.
     sql["snapshot_reconcile"] = """SELECT c_custkey, CASE
           WHEN c_custkey % 4 <> 0 AND c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 THEN 'keep'
@@ -707,7 +734,7 @@ def oracle_sql() -> dict[str, str]:
         FROM events GROUP BY user_id"""
     sql["lifecycle_fold"] = sql["lifecycle_fold_stream"] = fold
     sql["lifecycle_live_keys"] = f"SELECT user_id FROM ({fold}) WHERE action <> 'destroy'"
-    sql["sandbox_lifecycle"] = sql["sandbox_lifecycle_stream"] = """WITH project AS (
+    changes = """WITH project AS (
           SELECT 'p' || n_nationkey AS project, CASE WHEN n_nationkey % 2 = 0 THEN 'main' ELSE 'trunk' END AS trunk
           FROM nation WHERE n_nationkey % 6 <> 5),
         raw AS (SELECT event_id, ts, event_type, user_id, 'p' || (user_id % 30) AS project,
@@ -722,9 +749,36 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN event_id % 4 = 0 OR event_id % 19 = 0 THEN 'destroy' ELSE 'update' END
           FROM raw JOIN project USING (project)
           WHERE event_type IN ('click', 'view') AND event_id % 11 <> 0 AND event_id % 13 <> 0 AND branch <> trunk
-            AND trunk = CASE WHEN event_id % 3 = 0 THEN 'trunk' ELSE 'main' END)
+            AND trunk = CASE WHEN event_id % 3 = 0 THEN 'trunk' ELSE 'main' END)"""
+    sql["sandbox_lifecycle"] = sql["sandbox_lifecycle_stream"] = f"""{changes}
         SELECT sandbox, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(action, (ts, event_id)) AS action
         FROM changes GROUP BY sandbox"""
+    state = f"""{changes},
+        taken AS (SELECT DISTINCT 'p' || (user_id % 30) AS project, date_trunc('day', ts) AS moment, user_id AS u FROM events WHERE day(ts) % 5 = 0),
+        seen AS (SELECT project || ':' || kind AS scope, moment, kind, u FROM taken JOIN project USING (project), (VALUES ('branch'), ('request')) v(kind)),
+        listed AS (SELECT scope, max(moment) AS moment FROM seen GROUP BY scope),
+        facts AS (
+          SELECT regexp_extract(sandbox, '^([^:]*:[^:]*):', 1) AS scope, sandbox AS key, ts, 1 AS rank, event_id, action FROM changes
+          UNION ALL
+          SELECT scope, scope || ':' || CASE kind WHEN 'branch' THEN 'feature-' || (u % 50) ELSE (u % 200)::varchar END, moment, 0, NULL, 'listed'
+          FROM seen WHERE u % 7 < 3),
+        newest AS (SELECT *, row_number() OVER (PARTITION BY scope, key ORDER BY ts DESC, rank DESC, event_id DESC NULLS LAST) AS n FROM facts),
+        state AS (
+          SELECT scope, key, greatest(ts, moment) AS ts, CASE WHEN moment IS NULL OR ts >= moment THEN event_id END AS event_id,
+                 CASE WHEN moment IS NULL OR ts >= moment THEN action ELSE 'destroy' END AS action
+          FROM newest LEFT JOIN listed USING (scope) WHERE n = 1)"""
+    sql["sandbox_state"] = f"{state} SELECT scope, key, ts, event_id, action FROM state"
+    sql["live_sandboxes"] = f"""{state}
+        SELECT key, ts, action, split_part(scope, ':', 2) AS kind FROM state WHERE action <> 'destroy'"""
+    sql["ending_lifecycle_stream"] = """WITH arrived AS (
+          SELECT user_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'destroy' ELSE 'update' END AS action,
+            least((day(ts) - 1) // 6 + CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END, 4) AS run FROM events),
+        horizons AS (SELECT r.run, (SELECT max(ts) FROM arrived a WHERE a.run < r.run) - INTERVAL 2 DAY AS horizon FROM (SELECT unnest(range(6)) AS run) r),
+        kept AS (SELECT * FROM arrived JOIN horizons USING (run) WHERE horizon IS NULL OR ts >= horizon),
+        folded AS (SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(action, (ts, event_id)) AS action
+          FROM kept GROUP BY user_id)
+        SELECT user_id, ts, event_id, action FROM folded
+        WHERE action <> 'destroy' OR ts >= (SELECT horizon FROM horizons WHERE run = 5)"""
     sql["built_fct_order_revenue_star"] = sql["fct_order_revenue_star"]
     sql["built_order_product_fact"] = sql["scaffold_fct_order_revenue"]
     sql["built_order_revenue_fulfilled"] = sql["order_revenue_fulfilled"]

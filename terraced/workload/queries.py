@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ from terraced.session import configure, pin, scratch_path
 from terraced.sources import catalog, exports, landing, seed, versions
 from terraced.sources.catalog import Warehouse
 from terraced.sources.star_schema import read_operational, read_table
-from terraced.streaming.lifecycle import fold_stream, read_event_stream
+from terraced.streaming.lifecycle import fold_ending_stream, fold_stream, read_event_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -952,6 +952,47 @@ def unresolved_refs(spark: SparkSession, folder: str) -> DataFrame:
     return contracts.unresolved(used, contract)
 
 
+def _manifest_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifests with sections and fields that no contract schema names."""
+    section = F.concat(F.lit('{"metadata":{"format":12,"tags":["brand",null]},'), F.expr("substring(manifest, 2)"))
+    unknown = '"meta":{"owners":["a"],"weight":0.25},"resource_type":"model"'
+    return _manifests(spark, folder).select(F.regexp_replace(section, '"resource_type":"model"', unknown).alias("manifest"))
+
+
+@_query
+def rewritten_manifests(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole manifests with new databases, stored as gzip, read back and taken apart to their members."""
+    targets = {"orders": "DEV_ORDERS", "customers": "DEV_CUSTOMERS", "depot_transactions": "DEV_DEPOT"}
+    path = scratch_path(spark, "manifests")
+    contracts.write_manifests(contracts.rewrite_manifests(_manifest_documents(spark, folder), targets), path, whole_files=False)
+    stored = contracts.read_manifests(spark, path, whole_files=False)
+    document = F.expr("try_variant_get(parse_json(manifest), '$', 'map<string,variant>')")
+    sections = stored.select(F.explode(document).alias("section", "content"))
+    of_nodes = sections.filter("section = 'nodes'").select(F.expr("explode(try_variant_get(content, '$', 'map<string,variant>')) AS (node_id, node)"))
+    fields = of_nodes.select("node_id", F.expr("explode(try_variant_get(node, '$', 'map<string,variant>')) AS (field, value)"))
+    others = sections.filter("section <> 'nodes'").select(F.lit("").alias("node_id"), F.col("section").alias("field"), F.col("content").alias("value"))
+    return fields.unionByName(others).select("node_id", "field", F.to_json("value").alias("value"))
+
+
+@_query
+def unresolved_text_refs(spark: SparkSession, folder: str) -> DataFrame:
+    """References to the producer in a model text per order line, with and without those in SQL comments."""
+    contract = pin(contracts.public_contract(contracts.nodes(_manifests(spark, folder)), "producer"), "contract")
+    key, order = F.col("l_partkey").cast("string"), F.col("l_orderkey").cast("string")
+    parts = [
+        "select * from {{ ref('producer', 'model_", key, "') }} {# {{ ref('producer', 'gone_", order, "') }} #}\n",
+        "-- was {{ ref('producer', 'quiet_", key, "') }}\njoin {{ref(\"own_", order, "\")}} on 'it''s' <> ''\n",
+        "{% set text = \"ref('producer', 'said')\" %} {% raw %}{{ ref('producer', 'raw') }}{% endraw %} ref('producer', 'plain')",
+    ]
+    text = F.concat(*[F.lit(part) if isinstance(part, str) else part for part in parts])
+    texts = read_table(spark, folder, "lineitem").select(text.alias("text"))
+    found = [
+        contracts.unresolved_in_texts(contracts.text_references(texts, in_sql_comments=inside), contract, "producer").withColumn("in_comments", F.lit(inside))
+        for inside in (True, False)
+    ]
+    return quality.union(found)
+
+
 # ---------------------------------------------------------------- reconcile
 
 
@@ -1078,5 +1119,65 @@ def sandbox_lifecycle_stream(spark: SparkSession, folder: str) -> DataFrame:
     return fold_stream(reconcile.sandbox_changes(_raw_changes(events), _projects(spark, folder)), "sandbox")
 
 
+def _listings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Listings of each project's branches and requests on every fifth day, some without entries, and their entries."""
+    events, projects = read_table(spark, folder, "events"), _projects(spark, folder).select("project")
+    day, user = F.date_trunc("day", F.col("ts").cast("timestamp")), F.col("user_id")
+    project = F.concat(F.lit("p"), (user % 30).cast("string"))
+    seen = events.filter(F.dayofmonth("ts") % 5 == 0).select(project.alias("project"), day.alias("taken_at"), user.alias("user"))
+    seen = seen.join(projects, "project").distinct()
+    kinds = F.explode(F.array(F.lit(reconcile.BRANCH), F.lit(reconcile.REQUEST))).alias("kind")
+    seen = seen.select("*", kinds).withColumn("scope", F.concat_ws(":", "project", "kind"))
+    feature = F.concat(F.lit("feature-"), (F.col("user") % 50).cast("string"))
+    number = (F.col("user") % 200).cast("string")
+    entry = F.when(F.col("kind") == reconcile.BRANCH, feature).otherwise(number)
+    entries = seen.filter(F.col("user") % 7 < 3).select("scope", F.concat_ws(":", "scope", entry).alias("key"), "taken_at")
+    return seen.select("scope", "taken_at").distinct(), entries.distinct()
+
+
+@_query
+def sandbox_state(spark: SparkSession, folder: str) -> DataFrame:
+    """Listings and change events merged into one state, in three batches that keep no order and repeat some facts."""
+    changes = reconcile.sandbox_changes(_raw_changes(read_table(spark, folder, "events")), _projects(spark, folder))
+    listings, entries = _listings(spark, folder)
+    facts = pin(reconcile.change_facts(changes).unionByName(reconcile.listing_facts(entries)), "facts")
+    batch = F.pmod(F.xxhash64("key", "ts"), F.lit(4))
+    announced = F.pmod(F.xxhash64("scope", "taken_at"), F.lit(3))
+    state, known = None, None
+    for number in (2, 0, 1):
+        news = listings.filter(announced == number)
+        known = pin(reconcile.newest_listings(news if known is None else news.unionByName(known)), "listings")
+        mine = facts.filter((batch == number) | (batch == 3))  # every batch repeats a quarter of the facts
+        state = pin(reconcile.merge_state(mine, known, state), "state")
+    return state.select("scope", "key", "ts", "event_id", "action")
+
+
+@_query
+def live_sandboxes(spark: SparkSession, folder: str) -> DataFrame:
+    """Both state maps, branches and requests, from listings and events at once."""
+    changes = reconcile.sandbox_changes(_raw_changes(read_table(spark, folder, "events")), _projects(spark, folder))
+    listings, entries = _listings(spark, folder)
+    facts = reconcile.change_facts(changes).unionByName(reconcile.listing_facts(entries))
+    state = pin(reconcile.merge_state(facts, listings), "state")
+    kinds = (reconcile.BRANCH, reconcile.REQUEST)
+    return quality.union([reconcile.live_sandboxes(state, kind).withColumn("kind", F.lit(kind)) for kind in kinds])
+
+
+@_query
+def ending_lifecycle_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The fold with state that ends: six days of events a run, some arriving late, the stream restarted each time."""
+    place = scratch_path(spark, "arrivals")
+    events = _change_events(read_table(spark, folder, "events"))
+    late = F.when(F.col("event_id") % 13 == 0, 1).otherwise(0)
+    run = F.least(F.floor((F.dayofmonth("ts") - 1) / 6) + late, F.lit(4)).cast("int")
+    events.withColumn("run", run).write.partitionBy("run").parquet(f"{place}/sorted")
+    arrived, state = f"{place}/arrived", None
+    for number in range(5):
+        spark.read.parquet(f"{place}/sorted/run={number}").write.parquet(f"{arrived}/{number}")
+        stream = read_event_stream(spark, f"{arrived}/*", events.schema)
+        state = fold_ending_stream(stream, "user_id", f"{place}/state", timedelta(days=2), fanout=2)
+    return state
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
