@@ -2,8 +2,8 @@
 
 The terms of a document are pairs of neighbouring character classes and marks of
 repetition (words equal to the one before, words and word pairs seen before, capitals
-and signs at words). Term shares are damped, weighted by inverse document frequency
-and reduced by a singular value decomposition of the labelled sample. The sample is
+and signs at words). Term shares are damped, weighted by inverse document frequency,
+counted over all documents, and reduced by a singular value decomposition of the labelled sample. The sample is
 at most ``PER_LABEL`` labelled documents of each label, the first by a hash of the id
 (a documented bound); its vectors are broadcast (``2 * PER_LABEL * RANK`` numbers).
 
@@ -108,6 +108,26 @@ def _fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"y": frame["y"].to_numpy(), "terms": [terms(t).tobytes() for t in frame["text"]]})
 
 
+def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per task: documents, and how many of them hold each term."""
+    seen, rows = np.zeros(TERMS, dtype=np.int64), 0
+    for frame in in_chunks(frames, "text"):
+        for text in frame["text"]:
+            seen += terms(text) > 0
+        rows += len(frame)
+    yield pd.DataFrame({"n": [rows], "seen": [seen]})
+
+
+def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """All documents and how many hold each term; ``TERMS + 1`` numbers reach the driver, summed by position."""
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(_count, "n long, seen array<long>")
+    places = counted.select(F.posexplode(F.concat(F.array("n"), "seen")).alias("at", "found")).groupBy("at").agg(F.sum("found").alias("found"))
+    sums = np.zeros(TERMS + 1, dtype=np.int64)
+    for row in places.collect():
+        sums[row["at"]] = row["found"]
+    return int(sums[0]), sums[1:]
+
+
 class Voters:
     """The labelled vectors and the projection that makes vectors of terms."""
 
@@ -115,9 +135,8 @@ class Voters:
         self.labels, self.weight, self.middle, self.directions, self.vectors = labels, weight, middle, directions, vectors
 
     @classmethod
-    def fitted(cls, found: np.ndarray, labels: np.ndarray) -> Voters:
-        frequency = (found > 0).sum(axis=0)
-        weight = (np.log((1 + len(found)) / (1 + frequency)) + 0.3).astype(np.float32)
+    def fitted(cls, found: np.ndarray, labels: np.ndarray, documents: int, frequency: np.ndarray) -> Voters:
+        weight = (np.log((1 + documents) / (1 + frequency)) + 0.3).astype(np.float32)
         weighted = found * weight
         middle = weighted.mean(axis=0) if len(found) else np.zeros(TERMS, np.float32)
         around = weighted - middle
@@ -151,7 +170,8 @@ def score(docs: DataFrame, labels: DataFrame, learns: Column, *, label: str = "q
     sample = labelled(docs, labels, learns, label, per_label).mapInPandas(_fit, "y int, terms binary").toPandas()
     sample = sample.sort_values(["y", "terms"])  # the order of arrival must not matter
     found = np.frombuffer(b"".join(sample["terms"]), dtype=np.float32).reshape(-1, TERMS)
-    shared = docs.sparkSession.sparkContext.broadcast(Voters.fitted(found, sample["y"].to_numpy(dtype=np.float64)).arrays())
+    voters = Voters.fitted(found, sample["y"].to_numpy(dtype=np.float64), *document_frequencies(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(voters.arrays())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         voters = Voters(*shared.value)

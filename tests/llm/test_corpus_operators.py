@@ -694,3 +694,38 @@ def test_a_text_of_a_million_words(spark):
     assert judged[99] == 1_000_001 and len(judged) == 31
     assert {r["doc_id"]: r["n_assign"] for r in secret_layers.secrets(df).collect()}[99] == 1
     assert {r["doc_id"]: r["component_id"] for r in tensored_minhash.near_duplicates(df.filter("doc_id > 27")).collect()}[99] == 99
+
+
+def test_quality_votes_by_hand(spark):
+    """Frequencies over all documents, and every vote, recomputed one document at a time."""
+    words = ["alpha", "Beta", "gamma!", "12", "delta,", "#x", "eps\nilon", "zeta|"]
+    rows = [(i, " ".join(words[(i * k * k + k) % len(words)] * (1 + (i + k) % 3) for k in range(4 + i % 9))) for i in range(120)]
+    rows += [(200, None), (201, ""), (202, "xyz " * 3000), (203, rows[0][1]), (None, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    known = {i: i % 3 == 0 for i in range(60)}
+    labels = spark.createDataFrame([(i, int(y)) for i, y in known.items()], "doc_id long, quality int")
+    got = {(r["doc_id"]): r["score"] for r in neighbour_quality.score(docs, labels, F.lit(True), per_label=1000).collect()}
+    made = [(i, neighbour_quality.terms(text).astype(float)) for i, text in rows]
+    documents, frequency = neighbour_quality.document_frequencies(docs)
+    held = [sum(1 for _, vector in made if vector[t] > 0) for t in range(neighbour_quality.TERMS)]
+    assert documents == len(rows) and frequency.tolist() == held
+    weight = [math.log((1 + len(rows)) / (1 + n)) + 0.3 for n in held]
+    sample = [(known[i], vector * weight) for i, vector in made if i in known]
+    middle = sum(vector for _, vector in sample) / len(sample)
+    _, _, axes = np.linalg.svd(np.stack([vector - middle for _, vector in sample]), full_matrices=False)
+
+    def placed(vector):
+        inner = axes[: neighbour_quality.RANK] @ (vector - middle)
+        return inner / max(np.linalg.norm(inner), 1e-9)
+
+    voters = [(y, placed(vector)) for y, vector in sample]
+    for i, vector in made:
+        if not vector.any():
+            assert got[i] == pytest.approx(sum(known.values()) / len(known))
+            continue
+        place = placed(vector * weight)
+        near = sorted(((float(place @ other), y) for y, other in voters), reverse=True)[: neighbour_quality.NEAREST]
+        powers = [(max(cosine, 0.0) ** neighbour_quality.SHARPEN, y) for cosine, y in near]
+        share = sum(known.values()) / len(known)
+        expected = (sum(p for p, y in powers if y) + 1e-6 * share) / (sum(p for p, _ in powers) + 1e-6)
+        assert got[i] == pytest.approx(expected, abs=2e-3)
