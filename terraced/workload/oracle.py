@@ -638,6 +638,28 @@ def oracle_sql() -> dict[str, str]:
     sql["build_transaction_domain"] = _counts(_TRANSACTION_RELATIONS)
     every = _SDP_RELATIONS + _CUSTOMER_RELATIONS + _TRANSACTION_RELATIONS
     sql["build_all"] = sql["build_all_lean"] = _counts([r for r in every if r[0].endswith(_ACCESS) and ".in_" not in r[0]])
+    chosen = [
+        ("1 with ancestors", level, [r for r in every if r[0] in names.split()])
+        for level, names in enumerate((
+            "sdp_customers.customers_clean",
+            "sdp_customers.customers_entity_grain sdp_customers.customer_region_summary sdp_customers.customer_segment_summary",
+            "sdp_customers.customers_region_grain sdp_customers.customers_segment_grain edp_customers.in_customers_entity_grain",
+            "edp_customers.in_customers_region_grain edp_customers.in_customers_segment_grain edp_customers.customers_3nf",
+            "edp_customers.regions_3nf edp_customers.segments_3nf",
+            "edp_customers.dim_regions edp_customers.dim_segments",
+            "edp_customers.fct_customer_value_star",
+            "edp_customers.customers_high_value",
+        ))
+    ]
+    taxes = ["sdp_taxes.taxes_clean", "sdp_taxes.taxes_grain", "edp_taxes.in_taxes_grain", "edp_taxes.taxes_3nf"]
+    chosen += [("3 with descendants", level, [(name, "taxes_clean")]) for level, name in enumerate(taxes)]
+    chosen += [("4 own models", level, [(name, "taxes_clean")]) for level, name in enumerate(taxes[2:] + ["edp_taxes.taxes_only"])]
+    rows = [
+        f"SELECT '{step}' AS step, {level}::bigint AS level, '{label}' AS table_name, count(*) AS row_count FROM {source}"
+        for step, level, relations in chosen
+        for label, source in relations
+    ]
+    sql["selected_builds"] = _ALL + " UNION ALL ".join(rows + ["SELECT '2 refused', 0, 'sdp_taxes.taxes_grain', 0"])
     sql["environment_layout"] = f"""{_ALL} SELECT true AS in_place, count(*) AS row_count, 'dev' AS environment FROM taxes_clean
         UNION ALL SELECT true, count(*), 'prd' FROM taxes_clean"""
 

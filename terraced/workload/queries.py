@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from terraced import schemas
 from terraced.functions import columns as fn
 from terraced.operators import clones, contracts, quality, reconcile
-from terraced.plans import build
+from terraced.plans import build, models
 from terraced.plans import customer_domain as cd
 from terraced.plans import order_product as op
 from terraced.plans import source_products as sp
@@ -699,6 +699,31 @@ def built_customers_complete(spark: SparkSession, folder: str) -> DataFrame:
     return _built(spark, folder, "customers", lean=True).table("edp_customers", "access", "customers_complete")
 
 
+@_query
+def selected_builds(spark: SparkSession, folder: str) -> DataFrame:
+    """Models built by choice: one with all it needs, a product without its producer, and all that follows one model."""
+    wh = own_warehouse(spark)
+    source = read_operational(spark, folder)
+    for scope in ("customers", "taxes"):
+        landing.mirror_all(wh, landing.land(wh, landing.export_frames(source, scope), AS_OF), scope)
+    settings = models.Settings(AS_OF, BANDS)
+    steps = []
+
+    def built(step: str, names: set[str]) -> None:
+        done = models.build_selected(wh, names, settings)
+        frames = {n: wh.table(models.MODELS[n].product, models.MODELS[n].layer, models.MODELS[n].table) for n in done}
+        level = F.create_map(*[F.lit(v) for at, group in enumerate(models.levels(names)) for n in group for v in (n, at)])
+        steps.append(landing.load_report(frames).select(F.lit(step).alias("step"), F.element_at(level, F.col("table_name")).alias("level"), "table_name", "row_count"))
+
+    built("1 with ancestors", models.selected(["+customers_high_value"]))
+    own = models.without_producers(models.selected(["+edp_taxes.taxes_only"]), "edp_taxes")
+    refused = models.missing_parents(wh, own)
+    steps += [spark.createDataFrame([("2 refused", 0, n, 0) for n in refused], "step string, level int, table_name string, row_count bigint")]
+    built("3 with descendants", models.selected(["taxes_clean+"], exclude=["taxes_only"]))
+    built("4 own models", own)
+    return quality.union(steps)
+
+
 @_query
 def environment_layout(spark: SparkSession, folder: str) -> DataFrame:
     """The same product in two environments, each under its own landing path."""
