@@ -663,6 +663,16 @@ def oracle_sql() -> dict[str, str]:
     sql["environment_layout"] = f"""{_ALL} SELECT true AS in_place, count(*) AS row_count, 'dev' AS environment FROM taxes_clean
         UNION ALL SELECT true, count(*), 'prd' FROM taxes_clean"""
 
+    # An aggregate that follows its source.
+    per_group = """SELECT '{g}' AS by, {g}::varchar AS member, count(*) AS orders, sum(total)::double AS total, min(placed) AS first_placed,
+          min(total)::double AS smallest, max(placed) AS last_placed FROM after GROUP BY {g}"""
+    sql["refreshed_summaries"] = f"""WITH before AS (SELECT o_orderkey AS k, o_custkey, o_orderstatus, o_totalprice::decimal(18,2) AS total, o_orderdate::timestamp AS placed FROM orders),
+        after AS (
+          SELECT k, o_custkey, CASE WHEN k % 10 = 5 THEN 'P' ELSE o_orderstatus END AS o_orderstatus,
+                 CASE WHEN k % 20 = 5 THEN total + 1000 ELSE total END AS total, placed FROM before WHERE k % 10 <> 3
+          UNION ALL SELECT -k - 1, o_custkey, o_orderstatus, total, placed + INTERVAL 1 DAY FROM before WHERE k % 10 = 7)
+        {per_group.format(g="o_custkey")} UNION ALL {per_group.format(g="o_orderstatus")}"""
+
     # Clones.
     sql["clone_schema"] = f"""{_ALL}, c AS (SELECT count(*) AS n FROM depot_clean)
         SELECT 'source_rows' AS measure, n AS value FROM c UNION ALL SELECT 'clone_rows', n FROM c

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from terraced import schemas
 from terraced.functions import columns as fn
-from terraced.operators import clones, contracts, quality, reconcile
+from terraced.operators import clones, contracts, maintain, quality, reconcile
 from terraced.plans import build, models
 from terraced.plans import customer_domain as cd
 from terraced.plans import order_product as op
@@ -753,6 +753,31 @@ def sandbox_layout(spark: SparkSession, folder: str) -> DataFrame:
     return quality.union(counts)
 
 
+@_query
+def refreshed_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    """Order summaries per customer and per status, followed over lost, changed and new orders."""
+    money = F.col("o_totalprice").cast("decimal(38,2)").alias("total")
+    before = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", money, F.col("o_orderdate").cast("timestamp").alias("placed"))
+    key = F.col("o_orderkey")
+    changed = before.filter(key % 10 != 3).select(
+        "o_orderkey",
+        "o_custkey",
+        F.when(key % 10 == 5, "P").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
+        F.when(key % 20 == 5, F.col("total") + 1000).otherwise(F.col("total")).cast("decimal(38,2)").alias("total"),
+        "placed",
+    )
+    new = before.filter(key % 10 == 7).withColumn("o_orderkey", -key - 1).withColumn("placed", F.expr("placed + INTERVAL 1 DAY"))
+    after = pin(changed.unionByName(new), "orders-after")
+    went, came = maintain.row_changes(before, after, "o_orderkey")
+    kept = maintain.Measures("orders", {"total": "total"}, {"first_placed": "placed", "smallest": "total"}, {"last_placed": "placed"})
+    found = []
+    for group in ("o_custkey", "o_orderstatus"):
+        state = pin(maintain.summary_state(before, [group], kept), "summary")
+        fresh = maintain.summary(maintain.refresh(state, went, came, after, [group], kept), [group], kept)
+        found.append(fresh.withColumn("by", F.lit(group)).withColumn("member", F.col(group).cast("string")).drop(group))
+    return quality.union(found)
+
+
 def _order_product(spark: SparkSession, folder: str) -> Warehouse:
     wh = own_warehouse(spark)
     build.build_order_product(wh, "mesh_orders", lineage(spark, folder).order_product)
