@@ -9,7 +9,9 @@ where none fits do the general patterns decide, an allowing one before a blockin
 one. A page that nothing matches is allowed.
 
 Host rules fit a host and its subdomains when the path begins with the rule's path.
-Tokens are runs of a-z and 0-9 after lower-casing A-Z.
+Tokens are runs of a-z and 0-9 after lower-casing A-Z. A run at the end of a host rule's path may go on in a
+URL, so it is not a token of the rule. A rule, or a way of it, without any token can't be indexed and runs on every
+page. Rules may share a name; each is one of its own, and of host rules of one name the blocking one wins.
 
 Defined results. A null url, or one without ``://``, has an empty host and path and
 is allowed. Repeated rows stay rows. Only page_id and url are read. An empty table
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from terraced.llm.common import pin
 
+_ANY = ""  # stands for the token of rules that have none
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -45,7 +48,7 @@ class Rule:
 
 def host_rule(verdict: str, name: str) -> Rule:
     """A rule such as ``example.net/en/``: host with subdomains, path prefix."""
-    tokens = tuple(t for t in re.split("[^a-z0-9]+", name.lower()) if t)
+    tokens = tuple(re.findall("[a-z0-9]+(?=[^a-z0-9])", name.lower()))
     return Rule(name, verdict, "^(?:[^/]*\\.)?" + re.escape(name), tokens, True)
 
 
@@ -95,16 +98,19 @@ def judge(pages: DataFrame, *, host_rules: tuple[Rule, ...] = HOST_RULES, patter
     words = F.array_distinct(F.split(_lower(F.coalesce("url", F.lit(""))), "[^a-z0-9]+"))
     rows = pin(read.withColumn("_tokens", words), "url-rows")
 
-    rules = {r.name: r for r in (*host_rules, *patterns)}
-    known = sorted({t for r in rules.values() for way in r.ways for t in way})
-    held = rows.select(F.explode(F.array_intersect("_tokens", F.array(*map(F.lit, known)))).alias("token"))
+    rules = (*host_rules, *patterns)
+    known = sorted({t for r in rules for way in r.ways for t in way})
+    held = rows.select(F.explode(F.array_intersect("_tokens", F.array(*map(F.lit, known)).cast("array<string>"))).alias("token"))
     pages_of = {r["token"]: r["n"] for r in held.groupBy("token").agg(F.count("*").alias("n")).collect()}  # rule tokens only
     index = [
-        (min(way, key=lambda t: (pages_of.get(t, 0), t)), r.name, r.verdict, r.pattern, r.is_host) for r in rules.values() for way in r.ways
+        (min(way, key=lambda t: (pages_of.get(t, 0), t), default=_ANY), r.name, r.verdict, r.pattern, r.is_host) for r in rules for way in r.ways
     ]
     indexed = spark.createDataFrame(index, "token string, name string, does string, pattern string, is_host boolean")
 
-    fetched = rows.select("_row", "host", "path", "url", F.explode("_tokens").alias("token")).join(indexed, "token")
+    asked = F.array_remove("_tokens", _ANY)
+    if any(entry[0] == _ANY for entry in index):
+        asked = F.array_append(asked, _ANY)
+    fetched = rows.select("_row", "host", "path", "url", F.explode(asked).alias("token")).join(indexed, "token")
     subject = F.when(F.col("is_host"), F.concat("host", "path")).otherwise(_lower(F.col("url")))
     fits = fetched.filter(F.regexp_like(subject, F.col("pattern")))
     best = fits.groupBy("_row").agg(

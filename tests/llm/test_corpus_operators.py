@@ -394,6 +394,32 @@ def test_every_pattern_fetches_its_urls(spark):
     assert {r["page_id"]: r["pattern"] for r in got} == {i: name for i, name, _ in rows}
 
 
+def test_rules_of_one_name_and_without_tokens(spark):
+    rule = url_rules.Rule
+    patterns = (
+        rule("same", "block", "/one/", ("one",)),
+        rule("same", "block", "/two/", ("two",)),
+        rule("digits", "block", "/\\d{6,}", ()),
+        rule("half", "allow", "/good/|[?]ok", ("good",), others=((),)),
+    )
+    hosts = (url_rules.host_rule("block", "a.net/ba"), url_rules.host_rule("allow", "b.net/"), url_rules.host_rule("block", "b.net/"))
+    urls = {
+        "http://x.org/one/": ("block", "same"), "http://x.org/two/": ("block", "same"), "http://x.org/1234567": ("block", "digits"),
+        "http://x.org/one/?ok": ("allow", "half"), "http://x.org/good/": ("allow", "half"), "http://x.org/": ("allow", None),
+        "http://a.net/bananas": ("block", None), "http://a.net/bb": ("allow", None), "http://s.b.net/": ("block", None), "": ("allow", None),
+    }
+    pages = spark.createDataFrame(list(enumerate([*urls, None])), "page_id long, url string")
+    got = {r["page_id"]: (r["verdict"], r["pattern"]) for r in url_rules.judge(pages, host_rules=hosts, patterns=patterns).collect()}
+    assert got == dict(enumerate([*urls.values(), ("allow", None)]))
+    plain = url_rules.judge(pages, host_rules=(), patterns=(rule("any", "block", "org", ()),)).collect()
+    assert {r["page_id"] for r in plain if r["verdict"] == "block"} == {i for i, u in enumerate(urls) if "org" in u}
+    assert {r["verdict"] for r in url_rules.judge(pages, host_rules=(), patterns=()).collect()} == {"allow"}
+    many = tuple(rule(f"r{n}", "block", f"/w{n}/", (f"w{n}",)) for n in range(300))
+    some = spark.createDataFrame([(n, f"http://x.org/w{n}/") for n in range(0, 400, 7)], "page_id long, url string")
+    got = {r["page_id"]: r["pattern"] for r in url_rules.judge(some, patterns=many).collect()}
+    assert got == {n: f"r{n}" if n < 300 else None for n in range(0, 400, 7)}
+
+
 def kneser_ney(texts):
     """Modified Kneser-Ney from its definition; ``p(gram, out)`` with one occurrence of ``gram`` taken off if ``out``."""
     n = perplexity_rules.ORDER
