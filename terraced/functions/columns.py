@@ -72,33 +72,31 @@ def prefixed(value: Column, prefix: str = ENVIRONMENT_PREFIX) -> Column:
     )
 
 
+def _turned(number: int, bits: int) -> int:
+    return int(f"{number:0{bits}b}"[::-1], 2)
+
+
+# Bytes as characters, and hexadecimal digits, with their bits turned round. A zero byte stays as it is.
+_OCTETS = "".join(chr(n) for n in range(1, 256))
+_TURNED_OCTETS = "".join(chr(_turned(n, 8)) for n in range(1, 256))
+_DIGITS = "0123456789ABCDEF"
+_TURNED_DIGITS = "".join(_DIGITS[_turned(n, 4)] for n in range(16))
+
+
 def posix_cksum(value: Column) -> Column:
     """The POSIX ``cksum`` number of the text followed by a newline, as a long.
 
     CRC-32 with polynomial 0x04C11DB7, most significant bit first, fed with the
     bytes and then the byte count (low byte first), complemented at the end.
-    """
-    digits = F.hex(F.concat(F.encode(value, "UTF-8"), F.encode(F.lit("\n"), "UTF-8")))
-    count = F.expr("1L") * F.length(digits) / 2
-    octets = F.transform(
-        F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2)),
-        lambda at: F.conv(F.substring(digits, at, F.lit(2)), 16, 10).cast("long"),
-    )
-    count_octets = F.filter(
-        F.transform(
-            F.array(*[F.lit(shift) for shift in (0, 8, 16, 24)]),
-            lambda shift: F.call_function("shiftrightunsigned", count.cast("long"), shift),
-        ),
-        lambda rest: rest > 0,
-    )
-    fed = F.concat(octets, F.transform(count_octets, lambda rest: rest.bitwiseAND(F.lit(255))))
-
-    def one_bit(crc: Column, _step: Column) -> Column:
-        shifted = F.shiftleft(crc, 1).bitwiseAND(F.lit(0xFFFFFFFF))
-        return F.when(crc.bitwiseAND(F.lit(0x80000000)) != 0, shifted.bitwiseXOR(F.lit(0x04C11DB7))).otherwise(shifted)
 
-    def one_octet(crc: Column, octet: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.lit(8)), crc.bitwiseXOR(F.shiftleft(octet, 24)), one_bit)
-
-    crc = F.aggregate(fed, F.lit(0).cast("long"), one_octet)
-    return crc.bitwiseXOR(F.lit(0xFFFFFFFF))
+    ``crc32`` has the same polynomial but the least significant bit first, so it gets
+    every byte with its bits turned round and its result is turned back. Four bytes
+    of ones in front bring its start value, all ones, to zero.
+    """
+    fed = F.concat(F.encode(value, "UTF-8"), F.encode(F.lit("\n"), "UTF-8"))
+    turned = F.encode(F.translate(F.decode(fed, "ISO-8859-1"), _OCTETS, _TURNED_OCTETS), "ISO-8859-1")
+    count = F.hex(F.length(fed).cast("long"))
+    paired = F.when(F.length(count) % 2 == 1, F.concat(F.lit("0"), count)).otherwise(count)
+    turned_count = F.unhex(F.translate(F.reverse(paired), _DIGITS, _TURNED_DIGITS))
+    crc = F.crc32(F.concat(F.unhex(F.lit("FFFFFFFF")), turned, turned_count))
+    return F.conv(F.reverse(F.lpad(F.bin(crc), 32, "0")), 2, 10).cast("long")

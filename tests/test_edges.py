@@ -111,3 +111,11 @@ def test_checksum_is_the_posix_one(spark):
     known = {"abc_OWN_feature": 994503885, "SDP_X": 4093027353, "": 3515105045}
     rows = spark.createDataFrame([(k,) for k in known], "s string")
     assert {r.s: r.c for r in rows.select("s", fn.posix_cksum(F.col("s")).alias("c")).collect()} == known
+
+
+def test_checksum_takes_no_steps_per_bit(spark):
+    rows = spark.createDataFrame([("\x00\x00",), ("é€😀",), ("x" * 70_000,)], "s string").select("s", fn.posix_cksum(F.col("s")).alias("c"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "crc32(" in plan and "lambdafunction" not in plan and "namedlambdavariable" not in plan
+    assert {r.s: r.c for r in rows.collect()}["é€😀"] == 141826864
+    assert rows.filter("c IS NULL").count() == 0
