@@ -81,9 +81,10 @@ def present_and_distinct(tables: Sequence[tuple[str, DataFrame, Sequence[str], S
     """Not-null and unique checks of many tables: one scan each, one shuffle for all.
 
     ``tables`` holds (label, frame, columns that must be present, columns that must be
-    distinct). Every table sends a 128-bit hash per distinct column and row, counted
+    distinct). Every table sends a 64-bit hash per distinct column and row, counted
     where it lies first, and something for a null only; one aggregate counts nulls
-    and repeated hashes. Columns with repeated hashes are counted again by value.
+    and repeated hashes. Equal values have equal hashes, so a column without repeated ones
+    is distinct; columns with repeated hashes are counted again by value.
     """
     checks: list[tuple[int, str, str, str]] = []
     sent: list[DataFrame] = []
@@ -95,15 +96,15 @@ def present_and_distinct(tables: Sequence[tuple[str, DataFrame, Sequence[str], S
             frames[number] = (df, column)
             checks += [(number, "not_null", label, column)] * (column in present) + [(number, "unique", label, column)] * (column in distinct)
             value = F.col(f"`{column}`")
-            hashes = [F.when(value.isNotNull(), F.xxhash64(F.lit(seed), value)) if column in distinct else F.lit(None).cast("bigint") for seed in (1, 2)]
-            entry = F.struct(F.lit(number).alias("number"), hashes[0].alias("h1"), hashes[1].alias("h2"))
+            hashed = F.when(value.isNotNull(), F.xxhash64(value)) if column in distinct else F.lit(None).cast("bigint")
+            entry = F.struct(F.lit(number).alias("number"), hashed.alias("hash"))
             entries.append(entry if column in distinct else F.when(value.isNull(), entry))
         if entries:
             sent.append(df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("e.*"))
     spark = tables[0][1].sparkSession
-    met = union(sent).groupBy("number", "h1", "h2").agg(F.count("*").alias("n"))
+    met = union(sent).groupBy("number", "hash").agg(F.count("*").alias("n"))
     found = met.groupBy("number").agg(
-        F.sum(F.when(F.col("h1").isNull(), F.col("n"))).alias("nulls"), F.count_if(F.col("h1").isNotNull() & (F.col("n") > 1)).alias("repeated")
+        F.sum(F.when(F.col("hash").isNull(), F.col("n"))).alias("nulls"), F.count_if(F.col("hash").isNotNull() & (F.col("n") > 1)).alias("repeated")
     )
     counted = {r.number: r for r in found.collect()}  # one row per declared column
     rows = []

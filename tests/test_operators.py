@@ -281,3 +281,18 @@ def test_stream_equals_batch_across_restarts_and_repeats(spark, tmp_path):
     assert sorted(map(tuple, state.collect())) == sorted(map(tuple, want.collect()))
     live = {r.k for r in reconcile.live_keys(state, "k").collect()}
     assert live == {r.k for r in want.collect() if r.action != "destroy"}
+
+
+def test_distinct_columns_send_one_hash(spark):
+    from terraced.operators import quality
+
+    rows = spark.createDataFrame([(1, "a"), (1, None), (2, "b"), (None, "b")], "k bigint, v string")
+    sent = []
+    kept = quality.union
+    quality.union = lambda frames: sent.extend(frames) or kept(frames)
+    try:
+        found = quality.present_and_distinct([("t", rows, ["k"], ["k", "v"])])
+    finally:
+        quality.union = kept
+    assert [f.columns for f in sent] == [["number", "hash"]]
+    assert sorted((r.check_name, r.column_name, r.failures) for r in found.collect()) == [("not_null", "k", 1), ("unique", "k", 1), ("unique", "v", 1)]
