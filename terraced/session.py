@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_SETTING = "spark.checkpoint.dir"
 _PARTITIONS_SETTING = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-_SCANNED_PER_PARTITION = 256 * 1024 * 1024
+_SCANNED_PER_PARTITION = 32 * 1024 * 1024
+#: Codec of all stored Parquet: about a third less to write and to read again than the default.
+STORED_CODEC = "zstd"
 _UNKNOWN_SIZE = 1 << 62
 _local_folders: dict[str, str] = {}
 _given_widths: dict[str, str | None] = {}
@@ -111,5 +113,5 @@ def pin(df: DataFrame, name: str) -> DataFrame:
     files are small, a large one is joined by shuffle.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", STORED_CODEC).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

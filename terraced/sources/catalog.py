@@ -97,11 +97,15 @@ class Warehouse:
         return self.spark.table(name)
 
     def project(self, product: str, layer: str, table: str, df: DataFrame, over: str) -> DataFrame:
-        """Materialise ``df``, a selection of columns of the relation ``over``: a table, or a view when lean."""
-        if not self.lean:
-            return self.write(product, layer, table, df)
+        """Materialise ``df``, a selection of columns of the relation ``over``: a table, or a view when lean.
+
+        The table stands for the version folder of ``over`` with its own columns, so nothing is written twice.
+        """
         self.ensure(self.namespace(product, layer))
         name = self.name(product, layer, table)
+        if not self.lean:
+            shared = versions.select(self.spark, over, name, df)
+            return self.spark.table(name) if shared else self.write(product, layer, table, df)
         if self._is_stored(name):
             self.spark.sql(f"DROP TABLE {name}")
         self.spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT {', '.join(df.columns)} FROM {over}")

@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terraced.operators import quality
+from terraced.session import STORED_CODEC
 
 _COMMITS = "_commits"
 _NAMES = "_names"
 _VERSION = re.compile(r"[^/\s`']+\.db/[^/\s`']+/v-[0-9a-f]{32}")
 _OWN_VIEW = re.compile(r"SELECT (.+) FROM ([^\s()]+)")
+_WHOLE_VIEW = re.compile(r"SELECT \* FROM ([^\s()]+)")
 _RECORD = "name string, folder string, columns string, row_count bigint"
 
 
@@ -65,7 +67,7 @@ def stage(df: DataFrame, root: str, name: str, rules: quality.Rules = quality.Ru
     folder = f"{root}/{namespace}.db/{table}/v-{uuid.uuid4().hex}"
     seen = Observation()
     try:
-        df.observe(seen, *rules.counts()).write.parquet(folder)
+        df.observe(seen, *rules.counts()).write.option("compression", STORED_CODEC).parquet(folder)
     except Exception:
         _delete(spark, folder)
         raise
@@ -145,6 +147,26 @@ def share(spark: SparkSession, source: str, target: str) -> None:
         _point(spark, target, made.folder, made.columns)
 
 
+def select(spark: SparkSession, source: str, target: str, chosen: DataFrame) -> bool:
+    """Let ``target`` be a table of the columns of ``chosen`` over the folder that ``source`` stands for now.
+
+    ``chosen`` must do nothing but select columns of ``source``: Parquet files are read by column
+    name, so the same files hold its rows. Later writes to either name do not reach the other.
+    False, and nothing is changed, where ``source`` is no version folder or view of whole ones.
+    """
+    told = _described(spark, source)
+    while told.get("Type") == "VIEW" and (own := _WHOLE_VIEW.fullmatch(told.get("View Text", ""))):
+        source = own[1]
+        told = _described(spark, source)
+    folder = folder_of(spark, source)
+    held = {f.name: f.dataType for f in spark.table(source).schema.fields} if folder else {}
+    if not folder or any(held.get(f.name) != f.dataType for f in chosen.schema.fields):
+        return False
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields)
+    commit(spark, "", [Staged(target, folder, columns, 0, ())])
+    return True
+
+
 def folder_of(spark: SparkSession, name: str) -> str | None:
     """The version folder a name stands for."""
     told = _described(spark, name)

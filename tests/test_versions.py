@@ -185,3 +185,29 @@ def test_content_that_counts_do_not_tell_apart(spark):
     assert quality.differing_keys(one.filter("k = 1"), one.limit(0), "k").collect() == [(1, 1, 0)]
     swapped = [(1, "a", None), (2, None, 1.0)]
     assert quality.differing_keys(spark.createDataFrame(swapped, schema), spark.createDataFrame([(1, None, None), (2, "a", 1.0)], schema), "k").count() == 2
+
+
+def test_projected_table_shares_files_and_stays_apart(spark):
+    wh = Warehouse(spark, f"t{uuid.uuid4().hex[:8]}_", scratch_path(spark, "projected"))
+    core = wh.write("p", "core", "a", spark.createDataFrame([(1, "x", 2.0), (2, None, None)], "k bigint, v string, w double"))
+    wh.project("p", "access", "a", core.select("w", "k"), wh.name("p", "core", "a"))
+    seen = wh.view("q", "inbound", "in_a", wh.name("p", "access", "a"))
+    wh.project("q", "core", "a", seen.drop("w"), wh.name("q", "inbound", "in_a"))
+    assert wh.table("p", "access", "a").columns == ["w", "k"] and wh.table("q", "core", "a").columns == ["k"]
+    for table in (wh.table("p", "access", "a"), wh.table("q", "core", "a")):
+        assert table.inputFiles() == core.inputFiles()
+    assert spark.catalog.getTable(wh.name("q", "core", "a")).tableType == "EXTERNAL"
+    wh.write("p", "core", "a", core.limit(0))  # a write to one name reaches no other
+    versions.sweep(spark, wh.root, older_than=0)
+    assert sorted((r.k, r.w) for r in wh.table("p", "access", "a").collect()) == [(1, 2.0), (2, None)]
+    assert sorted(r.k for r in wh.table("q", "core", "a").collect()) == [1, 2]
+    wh.write("q", "core", "a", wh.table("p", "access", "a").filter("k = 1"))
+    assert wh.table("p", "access", "a").count() == 2 and wh.table("q", "core", "a").count() == 1
+
+
+def test_stored_files_are_zstd(spark):
+    from terraced.session import pin
+
+    wh = Warehouse(spark, f"t{uuid.uuid4().hex[:8]}_", scratch_path(spark, "codec"))
+    for stored in (wh.write("p", "core", "a", spark.range(3).toDF("k")), pin(spark.range(3), "codec")):
+        assert all(f.endswith(".zstd.parquet") for f in stored.inputFiles())
