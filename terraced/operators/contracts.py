@@ -20,16 +20,28 @@ SCOPE_ORDER = ("depot_transactions", "customers", "taxes", "orders")
 # Parts of a node whose text names its scope.
 _SCOPE_PARTS = ("package_name", "name", "alias", "original_file_path", "path")
 
-# What a model text holds besides plain text: comments and raw sections, which come first, and blocks with their content.
-# An unfinished one reaches to the end, so that no text is searched twice.
-_BLOCKS = (
-    r"(?s)\{#.*?(?:#\}|\z)|\{%[-+]?\s*raw\s*[-+]?%\}.*?(?:\{%[-+]?\s*endraw\s*[-+]?%\}|\z)"
-    r"|\{\{.*?(?:\}\}|\z)|\{%.*?(?:%\}|\z)"
-)
-_SQL_COMMENTS = r"""(?s)(\{\{.*?(?:\}\}|\z)|\{%.*?(?:%\}|\z)|'[^']*'|"[^"]*")|--[^\n]*|/\*.*?(?:\*/|\z)"""
-_STRING = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+(?:'|$)|"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|$)"""
-_CALL = r"""(?<![\w.])(?:builtins\.)?ref\s*\(\s*(?:'[^']*'|"[^"]*")\s*(?:,\s*(?:'[^']*'|"[^"]*")\s*)?(?=[,)])"""
-_FIRST, _SECOND = r"""\(\s*['"]([^'"]*)""", r""",\s*['"]([^'"]*)['"]\s*$"""
+
+def _through(first: str, rest: str, otherwise: str = "") -> str:
+    """Pattern of a text through its first mark of two parts; what was read is never read again."""
+    return rf"(?>[^{first}]*)(?:{first}(?!{rest})[^{first}]*)*+(?:{first}{rest}{otherwise})"
+
+
+_END = r"|\z"
+_RAW, _ENDRAW = r"%[-+]?\s*raw\s*[-+]?%", r"%[-+]?\s*endraw\s*[-+]?%\}"
+_TEMPLATE_COMMENT, _RAW_SECTION = "#" + _through("#", r"\}", _END), _RAW + r"\}" + _through(r"\{", _ENDRAW, _END)
+_EXPRESSION, _STATEMENT = r"\{" + _through(r"\}", r"\}"), "%" + _through("%", r"\}")
+# What a model text holds besides plain text, from its second character: comments and raw sections, which come first, and
+# blocks with their content, which are group 1. An unfinished one reaches to the end, so that no text is searched twice.
+_BLOCKS = rf"(?s)\{{(?:{_TEMPLATE_COMMENT}|{_RAW_SECTION}|({_EXPRESSION}|(?!{_RAW}){_STATEMENT})|{_STATEMENT}|[{{%].*)"
+# One match per comment of the SQL and one for the rest: group 1 is what stands before it, blocks and quoted text as a whole.
+_SHOWN = rf"""[^{{'"/-]+|\{{(?:{_EXPRESSION}|{_STATEMENT}|[{{%].*)|'[^']*'|"[^"]*"|(?!--|/\*)."""
+_SQL_COMMENTS = rf"(?s)(?!\z)((?:{_SHOWN})*+)(?:--[^\n]*|/\*{_through(r'\*', '/', _END)}|\z)"
+_STRING = r"""'[^'\\]*(?:\\.[^'\\]*)*+(?:'|$)|"[^"\\]*(?:\\.[^"\\]*)*+(?:"|$)"""
+_CALL = r"""(?:builtins\.)?ref\s*\(\s*(?:'[^']*'|"[^"]*")\s*(?:,\s*(?:'[^']*'|"[^"]*")\s*)?(?=[,)])"""
+# One match per call, group 1, with the quoted text and the words around it; others, without the group, lead to the end.
+_NO_CALL = rf"""(?:[^\w.'"]+|{_STRING}|(?!(?:builtins\.)?ref\s*\()[\w.]+)*+"""
+_CALLS = rf"(?s)(?!\z){_NO_CALL}(?:({_CALL}){_NO_CALL}|[\w.]+|\z)"
+_WHITE = " \t\n\x0b\f\r"
 
 
 def read_manifests(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
@@ -142,22 +154,18 @@ def text_references(texts: DataFrame, column: str = "text", in_sql_comments: boo
     kept = [F.col(c) for c in texts.columns if c != column]
     text = F.col(column)
     if not in_sql_comments:
-        bare = F.regexp_replace(text, r"(?s)\{#.*?(?:#\}|\z)", " ")
-        text = F.regexp_replace(bare, _SQL_COMMENTS, "$1")
-    pieces = F.regexp_extract_all(text, F.lit(_BLOCKS), F.lit(0))
-    blocks = F.filter(pieces, lambda b: _paired(b, "{{", "}}") | (_paired(b, "{%", "%}") & ~b.rlike(r"^\{%[-+]?\s*raw\s*[-+]?%")))
-    tokens = F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(f"(?s){_STRING}|{_CALL}"), F.lit(0)))
-    calls = F.filter(F.flatten(tokens), lambda token: ~token.rlike("^['\"]"))
-    found = texts.select(*kept, F.explode(calls).alias("_call"))
-    first, second = F.regexp_extract("_call", _FIRST, 1), F.regexp_extract("_call", _SECOND, 1)
-    two = F.col("_call").rlike(_SECOND)
+        text = F.regexp_replace(F.regexp_replace(text, rf"(?s)\{{{_TEMPLATE_COMMENT}", " "), _SQL_COMMENTS, "$1")
+    blocks = texts.select(*kept, F.explode(F.regexp_extract_all(text, F.lit(_BLOCKS), F.lit(1))).alias("_block"))
+    calling = blocks.filter(F.col("_block").contains("ref"))
+    found = calling.select(*kept, F.explode(F.regexp_extract_all("_block", F.lit(_CALLS), F.lit(1))).alias("_call")).filter("_call <> ''")
+    # Quotes part a call: the first name follows the first one, and the last name the last but one if a comma stands before that.
+    call = F.replace("_call", F.lit('"'), F.lit("'"))
+    first = F.substring_index(F.substring_index(call, "'", 2), "'", -1)
+    second = F.substring_index(F.substring_index(call, "'", -2), "'", 1)
+    two = F.rtrim(F.substring_index(F.substring_index(call, "'", -3), "'", 1), F.lit(_WHITE)).endswith(",")
     return found.select(*kept, F.when(two, first).alias("package"), F.when(two, second).otherwise(first).alias("name"))
 
 
-def _paired(piece: Column, opening: str, closing: str) -> Column:
-    return piece.startswith(opening) & piece.endswith(closing) & (F.length(piece) >= len(opening) + len(closing))
-
-
 def unresolved_in_texts(references: DataFrame, contract: DataFrame, producer: str) -> DataFrame:
     """References to ``producer`` that its contract does not publish, with how often each is used."""
     return unresolved(references.filter(F.col("package") == producer), contract)

@@ -116,6 +116,30 @@ def test_long_texts_of_references(spark):
     assert references(spark, "{{ " * 200_000) == []
 
 
+@pytest.mark.parametrize(
+    "text, expected, outside_comments",
+    [
+        ("{% raw %x ref('a') %} {{ ref('b') }}", [(None, "b")], [(None, "b")]),
+        ("{%} {{ ref('a') }} {{}} {%%}{{ ref('b') }}}", [(None, "a"), (None, "b")], [(None, "a"), (None, "b")]),
+        ("{{ 'x\\\\' ~ ref('a') ~ 'ref(\"b\")\\\\\\'}} {{ ref('c') }}", [(None, "a"), (None, "c")], [(None, "a"), (None, "c")]),
+        ("{{ ref('p', \"q'r\") }} {{ ref('s, \"t') }}", [(None, "p"), ("s, ", "t")], [(None, "p"), ("s, ", "t")]),
+        ("{{ ref('p'\t,\n'' ) ~ éref('a') ~ ref ('b') ~ ref(c) ~ builtins.ref('d') }}", [("p", ""), (None, "a"), (None, "b"), (None, "d")], [("p", ""), (None, "a"), (None, "b"), (None, "d")]),
+        ("'-- {{ ref(\"a\") }}' /{# #}* {{ ref('b') }} -{# #}- {/**/{ ref('c') }}", [(None, "a"), (None, "b")], [(None, "a"), (None, "b"), (None, "c")]),
+        ("- /* {{ ref('a') }} ** {{ ref('b') }}", [(None, "a"), (None, "b")], []),
+    ],
+)
+def test_references_in_odd_texts(spark, text, expected, outside_comments):
+    assert references(spark, text) == expected
+    assert references(spark, text, in_sql_comments=False) == outside_comments
+
+
+@pytest.mark.parametrize("inside", [True, False])
+def test_references_are_searched_by_compiled_expressions(spark, inside):
+    texts = spark.createDataFrame([("{{ ref('a') }}",)], "text string")
+    plan = contracts.text_references(texts, in_sql_comments=inside)._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and plan.count("*(1) Generate") == 2
+
+
 def test_unresolved_of_the_producer_only(spark):
     texts = spark.createDataFrame([("{{ ref('p', 'a') }} {{ ref('p', 'b') }} {{ ref('q', 'b') }} {{ ref('c') }} {{ ref('p', 'b') }}",)], "text string")
     contract = spark.createDataFrame([("a",)], "name string")
