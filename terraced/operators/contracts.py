@@ -142,28 +142,30 @@ def write_manifests(manifests: DataFrame, path: str, whole_files: bool = True) -
     (writer.option("maxRecordsPerFile", 1) if whole_files else writer).text(path)
 
 
-def text_references(texts: DataFrame, column: str = "text", in_sql_comments: bool = True) -> DataFrame:
+def text_references(texts: DataFrame, column: str = "text", in_sql_comments: bool = True, package: str | None = None) -> DataFrame:
     """One row per ``ref('name')`` or ``ref('package', 'name')`` in model texts, beside the other columns.
 
     Only calls within ``{{ }}`` and ``{% %}`` count; template comments, raw sections
     and quoted text within blocks hold none. A comment of the SQL does not hide a
     block, as templates are filled in first; ``in_sql_comments=False`` leaves those
     out too. ``package`` is NULL for one name. Null and empty texts have no
-    references. A quoted ``}}`` or ``%}`` ends its block.
+    references. A quoted ``}}`` or ``%}`` ends its block. With a ``package`` only references
+    to it come out, and blocks that do not mention it are not searched for calls.
     """
     kept = [F.col(c) for c in texts.columns if c != column]
     text = F.col(column)
     if not in_sql_comments:
         text = F.regexp_replace(F.regexp_replace(text, rf"(?s)\{{{_TEMPLATE_COMMENT}", " "), _SQL_COMMENTS, "$1")
     blocks = texts.select(*kept, F.explode(F.regexp_extract_all(text, F.lit(_BLOCKS), F.lit(1))).alias("_block"))
-    calling = blocks.filter(F.col("_block").contains("ref"))
+    calling = blocks.filter(F.col("_block").contains("ref") & F.col("_block").contains(package or ""))
     found = calling.select(*kept, F.explode(F.regexp_extract_all("_block", F.lit(_CALLS), F.lit(1))).alias("_call")).filter("_call <> ''")
     # Quotes part a call: the first name follows the first one, and the last name the last but one if a comma stands before that.
     call = F.replace("_call", F.lit('"'), F.lit("'"))
     first = F.substring_index(F.substring_index(call, "'", 2), "'", -1)
     second = F.substring_index(F.substring_index(call, "'", -2), "'", 1)
     two = F.rtrim(F.substring_index(F.substring_index(call, "'", -3), "'", 1), F.lit(_WHITE)).endswith(",")
-    return found.select(*kept, F.when(two, first).alias("package"), F.when(two, second).otherwise(first).alias("name"))
+    references = found.select(*kept, F.when(two, first).alias("package"), F.when(two, second).otherwise(first).alias("name"))
+    return references if package is None else references.filter(F.col("package") == package)
 
 
 def unresolved_in_texts(references: DataFrame, contract: DataFrame, producer: str) -> DataFrame:

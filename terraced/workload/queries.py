@@ -1036,11 +1036,12 @@ def unresolved_text_refs(spark: SparkSession, folder: str) -> DataFrame:
     ]
     text = F.concat(*[F.lit(part) if isinstance(part, str) else part for part in parts])
     texts = read_table(spark, folder, "lineitem").select(text.alias("text"))
-    found = [
-        contracts.unresolved_in_texts(contracts.text_references(texts, in_sql_comments=inside), contract, "producer").withColumn("in_comments", F.lit(inside))
-        for inside in (True, False)
-    ]
-    return quality.union(found)
+
+    def unresolved(inside: bool) -> DataFrame:
+        references = contracts.text_references(texts, in_sql_comments=inside, package="producer")
+        return contracts.unresolved_in_texts(references, contract, "producer").withColumn("in_comments", F.lit(inside))
+
+    return quality.union([unresolved(inside) for inside in (True, False)])
 
 
 # ---------------------------------------------------------------- reconcile

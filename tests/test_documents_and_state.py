@@ -140,6 +140,13 @@ def test_references_are_searched_by_compiled_expressions(spark, inside):
     assert "lambda" not in plan and plan.count("*(1) Generate") == 2
 
 
+def test_references_to_one_package(spark):
+    text = "it's {{ ref('p/*x*/q', 'a') }} {{ ref('pq', 'b') ~ ref('pq2', 'c') }} {{ ref('pq') }} {{ ref(\"r\", 'pq') }}"
+    assert references(spark, text, package="pq") == [("pq", "b")]
+    assert references(spark, text, package="pq", in_sql_comments=False) == [("pq", "a"), ("pq", "b")]
+    assert references(spark, "{{ ref('', 'a') }} {{ ref('b') }}", package="") == [("", "a")]
+
+
 def test_unresolved_of_the_producer_only(spark):
     texts = spark.createDataFrame([("{{ ref('p', 'a') }} {{ ref('p', 'b') }} {{ ref('q', 'b') }} {{ ref('c') }} {{ ref('p', 'b') }}",)], "text string")
     contract = spark.createDataFrame([("a",)], "name string")
