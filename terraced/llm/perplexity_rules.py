@@ -17,9 +17,9 @@ Lower orders count each n-gram once and the text itself stays, so copies do not
 the three discounts are those of all rows.
 
 Nothing of the model is broadcast and no task holds it whole. Each block gets the n-grams
-it counted back with the parts of their probabilities, as arrays sorted by hash, and searches
-those; their size is bounded by the block. Texts are not shuffled for it, as they lie by block;
-equal ones are counted by digest.
+it counted back with the parts of their probabilities, as sorted arrays, and looks the texts of
+a language up in them, many texts at once; their size is bounded by the block. Texts are not
+shuffled for it, as they lie by block; equal ones are counted by digest.
 
 A document's perplexity is that of its text in pieces of ``CHUNK`` characters, of which
 the middle one counts, so a quoted passage in another language does not decide about a
@@ -37,14 +37,16 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraced.llm.common import in_chunks, mix64, pin
+from terraced.llm.common import in_chunks, pin
 from terraced.session import scanned_bytes, scratch_path
 
 ORDER = 3
@@ -56,7 +58,11 @@ BYTES_PER_BLOCK = 16 * 1024 * 1024
 BYTES_PER_BUCKET = 32 * 1024 * 1024
 MOST_BUCKETS = 100_000  # what Spark allows; a bucket then holds several blocks, one after the other
 HELD = 2_000_000  # n-grams a counting task holds before it hands on what it has
+COMMON = 127  # characters whose n-grams are found by table: at most 128**3 cells
+TABLE_FROM = 100_000  # characters to look up for which a table is worth making
 _BORDER = 2
+_CHARACTERS = 0x110000
+_BITS = 21  # of a character; those of an n-gram fit into 64
 _PARTS = ("c", "total", "t1", "t2", "t3", "low", "low_out", "d1", "d2", "d3")
 
 
@@ -66,53 +72,65 @@ def _fold(points: np.ndarray) -> np.ndarray:
     return np.where((points == 0) | (points == _BORDER), 0xFFFD, points).astype(np.uint32)
 
 
-def _hashed(grams: np.ndarray) -> np.ndarray:
-    """A hash of each row of ``grams``, an array of code points."""
-    found = np.zeros(len(grams), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for at in range(grams.shape[1]):
-            found = mix64(found + grams[:, at].astype(np.uint64))
-    return found
+_FOLDED = _fold(np.arange(_CHARACTERS, dtype=np.uint32))
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams that end in each character and the end of each text, and how many each text has."""
+def _laid_out(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The folded characters of ``texts`` between borders, which of their n-grams in order count, and how many each text has.
+
+    Those that end in a character or the end of a text count; those that end in the border before a text do not.
+    """
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     lead = chr(_BORDER) * (ORDER - 1)
     joined = lead.join(["", *(t + chr(_BORDER) for t in texts)])
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    points = _FOLDED[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
     starts = np.concatenate(([0], np.cumsum(sizes + ORDER)[:-1])).astype(np.int64)
-    border = np.zeros(len(points), dtype=bool)
-    border[(starts[:, None] + np.arange(ORDER - 1)).ravel()] = True
-    predicted = np.flatnonzero(~border)
-    border[starts + ORDER - 1 + sizes] = True
-    points = np.where(border, np.uint32(_BORDER), _fold(points))
-    return np.lib.stride_tricks.sliding_window_view(points, ORDER)[predicted - (ORDER - 1)], sizes + 1
+    before = (starts[:, None] + np.arange(ORDER - 1)).ravel()
+    points[before] = points[starts + ORDER - 1 + sizes] = _BORDER
+    counted = np.ones(len(points), dtype=bool)
+    counted[before] = False
+    return points, counted[ORDER - 1 :], sizes + 1
+
+
+def _shifted(points: np.ndarray) -> list[np.ndarray]:
+    """The first, second and further characters of the n-grams of ``points``."""
+    return [points[at : len(points) - ORDER + 1 + at] for at in range(ORDER)]
+
+
+def _packed(characters: Iterable[np.ndarray]) -> np.ndarray:
+    """The n-grams of the given first, second and further characters, each as one number that no other n-gram has."""
+    keys = 0
+    for each in characters:
+        keys = keys << _BITS | each.astype(np.int64)
+    return keys
+
+
+def _unpacked(keys: np.ndarray) -> np.ndarray:
+    """The characters of each n-gram of ``keys`` as a row."""
+    return ((keys[:, None] >> _BITS * np.arange(ORDER - 1, -1, -1)) & ((1 << _BITS) - 1)).astype(np.uint32)
 
 
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
     for frame in in_chunks(frames, "text"):
         for key, part in frame[frame["text"].str.len() > 0].groupby(["block", "of"]):
-            rows, _ = _grams(list(part["text"]))
-            keys, first, n = np.unique(_hashed(rows), return_index=True, return_counts=True)
-            rows = rows[first]
+            points, counted, _ = _laid_out(list(part["text"]))
+            keys, n = np.unique(_packed(_shifted(points))[counted], return_counts=True)
             if key in held:
-                known, counts, grams = held[key]
-                keys, first, back = np.unique(np.concatenate((known, keys)), return_index=True, return_inverse=True)
-                rows = np.concatenate((grams, rows))[first]
+                known, counts = held[key]
+                keys, back = np.unique(np.concatenate((known, keys)), return_inverse=True)
                 n = np.bincount(back, np.concatenate((counts, n)), len(keys)).astype(np.int64)
-            held[key] = keys, n, rows
+            held[key] = keys, n
         if sum(len(entry[0]) for entry in held.values()) > HELD:  # sums are joined later, so parts may leave early
             yield from _handed_on(held)
             held = {}
     yield from _handed_on(held)
 
 
-def _handed_on(held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
-    for (block, of), (_, n, rows) in held.items():
+def _handed_on(held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+    for (block, of), (keys, n) in held.items():
         for at in range(0, len(n), 100_000):
-            part = np.ascontiguousarray(rows[at : at + 100_000]).view(f"<U{ORDER}").ravel()
+            part = np.ascontiguousarray(_unpacked(keys[at : at + 100_000])).view(f"<U{ORDER}").ravel()
             yield pd.DataFrame({"block": block, "of": of, "gram": part.astype(object), "n": n[at : at + 100_000]})
 
 
@@ -189,31 +207,78 @@ def left_out(c: np.ndarray, total: np.ndarray, t1: np.ndarray, t2: np.ndarray, t
 
 
 class Model:
-    """The parts of the probabilities of one language and block in arrays sorted by the hash of the n-gram."""
+    """The parts of the probabilities of one language and block in arrays sorted by n-gram.
+
+    N-grams of the ``COMMON`` most frequent characters are found by their place in a table, others by search.
+    """
 
     def __init__(self, grams: pd.DataFrame):
         points = np.frombuffer("".join(grams["gram"]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        keys = _hashed(points.reshape(-1, ORDER))
+        keys = _packed(points.reshape(-1, ORDER).T)
         order = np.argsort(keys)
         self.keys, self.parts = keys[order], [grams[part].to_numpy()[order] for part in _PARTS]
         self.values = left_out(*self.parts)
-
-    def log_perplexity(self, text: str, copies: int = 1) -> float:
-        """Of ``text``, which ``copies`` rows of the language hold."""
-        rows, _ = _grams([text])
-        wanted = _hashed(rows)
+        self.number: np.ndarray | None = None
+
+    def _tabulate(self) -> None:
+        """``number`` of each character, the last for rare ones, and ``table`` of places by the numbers of an n-gram."""
+        characters = _unpacked(self.keys).T
+        kinds, back = np.unique(characters[-1], return_inverse=True)  # each character ends an n-gram
+        kinds = kinds[np.argsort(-np.bincount(back, self.parts[0]), kind="stable")[:COMMON]]
+        self.width = len(kinds) + 1
+        self.number = np.full(_CHARACTERS, len(kinds), dtype=np.int32)
+        self.number[kinds] = np.arange(len(kinds))
+        numbers = self.number[characters]
+        places = np.flatnonzero((numbers < len(kinds)).all(axis=0))
+        self.table = np.full(self.width**ORDER, -1, dtype=np.int32)
+        self.table[self._cell(numbers[:, places])] = places
+
+    def _cell(self, numbers: Iterable[np.ndarray]) -> np.ndarray:
+        cell = 0
+        for each in numbers:
+            cell = cell * self.width + each
+        return cell
+
+    def _places(self, points: np.ndarray, counted: np.ndarray) -> np.ndarray:
+        """Where the n-grams of ``points`` that count are."""
+        if self.number is None and len(points) >= TABLE_FROM:
+            self._tabulate()
+        if self.number is None:
+            return self._searched(_packed(_shifted(points))[counted])
+        at = self.table[self._cell(_shifted(self.number[points]))][counted]
+        rare = np.flatnonzero(at < 0)
+        if len(rare):
+            starts = np.flatnonzero(counted)[rare]
+            at[rare] = self._searched(_packed(points[starts + shift] for shift in range(ORDER)))
+        return at
+
+    def _searched(self, wanted: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         if not (self.keys[at] == wanted).all():
             raise ValueError("an n-gram of the text was not counted")
-        values = self.values[at] if copies == 1 else self._without(rows, at, copies - 1)
-        starts = np.arange(0, max(len(wanted) - CHUNK // 2, 1), CHUNK)
-        sums = np.add.reduceat(values, starts)
-        return float(np.median(-sums / np.diff(np.append(starts, len(wanted)))))
-
-    def _without(self, rows: np.ndarray, at: np.ndarray, others: int) -> np.ndarray:
-        """The values of the n-grams ``rows``, found ``at``, when ``others`` further texts like theirs are taken off."""
-        found, first, back, own = np.unique(at, return_index=True, return_inverse=True, return_counts=True)
-        context = np.unique(_hashed(rows[first, :-1]), return_inverse=True)[1]
+        return at
+
+    def log_perplexities(self, texts: list[str], copies: list[int]) -> np.ndarray:
+        """Of each of ``texts``, which as many rows of the language hold as ``copies`` says."""
+        points, counted, sizes = _laid_out(texts)
+        at = self._places(points, counted)
+        values = self.values[at]
+        ends = np.cumsum(sizes)
+        for text in np.flatnonzero(np.array(copies) > 1):
+            own = slice(ends[text] - sizes[text], ends[text])
+            values[own] = self._without(at[own], copies[text] - 1)
+        pieces = -(-np.maximum(sizes - CHUNK // 2, 1) // CHUNK)
+        first = np.cumsum(pieces) - pieces
+        text = np.repeat(np.arange(len(texts)), pieces)
+        starts = (ends - sizes)[text] + CHUNK * (np.arange(len(text)) - first[text])
+        each = -np.add.reduceat(values, starts) / np.diff(np.append(starts, len(values)))
+        each = each[np.lexsort((each, text))]
+        return (each[first + (pieces - 1) // 2] + each[first + pieces // 2]) / 2
+
+    def _without(self, at: np.ndarray, others: int) -> np.ndarray:
+        """The values of the n-grams of a text, found ``at``, when ``others`` further texts like it are taken off."""
+        found, back, own = np.unique(at, return_inverse=True, return_counts=True)
+        context = np.unique(self.keys[found] >> _BITS, return_inverse=True)[1]
         c, total, t1, t2, t3, *rest = (part[found] for part in self.parts)
         after = c - others * own
 
@@ -238,16 +303,20 @@ def base_measures(text: str | None) -> tuple[int, int, int, int, int]:
     n = len(words)
     repeated = 0
     if n >= 4:
-        known: dict[bytes, int] = {}
-        ids = np.fromiter((known.setdefault(w, len(known)) for w in words), dtype=np.int64, count=n)
-        pairs = np.unique(ids[:-1] * len(known) + ids[1:], return_inverse=True)[1]
+        known: defaultdict[bytes, int] = defaultdict(count().__next__)
+        ids = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=n)
+        pairs = ids[:-1] * len(known) + ids[1:]
+        if len(known) > 2_000_000:  # the number of a window would not fit into 64 bits
+            pairs = np.unique(pairs, return_inverse=True)[1]
         windows = pairs[:-1] * len(known) + ids[2:]
-        _, back, times = np.unique(windows, return_inverse=True, return_counts=True)
-        twice = times[back] > 1
-        inside = np.zeros(n, dtype=bool)
-        for shift in range(3):
-            inside[shift : shift + n - 2] |= twice
-        repeated = int(inside.sum())
+        ordered = np.sort(windows)
+        again = ordered[1:][ordered[1:] == ordered[:-1]]
+        if len(again):
+            twice = again[np.minimum(np.searchsorted(again, windows), len(again) - 1)] == windows
+            inside = np.zeros(n, dtype=bool)
+            for shift in range(3):
+                inside[shift : shift + n - 2] |= twice
+            repeated = int(inside.sum())
     return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
 
@@ -258,10 +327,15 @@ def _measured(docs: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
     """The measures of the rows of one block, with the n-grams it counted and its texts that several rows hold."""
     several = grams["same"].notna()
     copies = dict(zip(zip(grams["of"][several], grams["same"][several]), grams["copies"][several].astype("int64")))
-    models = {of: Model(part) for of, part in grams[~several].groupby("of")}
+    parts = grams[~several].groupby("of")
+    found = {}
+    for of, part in docs[docs["text"].str.len() > 0].drop_duplicates(["of", "same"]).groupby("of"):
+        model = Model(parts.get_group(of))
+        for chunk in in_chunks(iter([part]), "text"):
+            held = [copies.get((of, same), 1) for same in chunk["same"]]
+            found |= zip(zip(chunk["of"], chunk["same"]), model.log_perplexities(list(chunk["text"]), held).tolist())
     rows = [
-        (*base_measures(t), models[of].log_perplexity(t, copies.get((of, same), 1)) if t else math.nan)
-        for of, same, t in zip(docs["of"], docs["same"], docs["text"])
+        (*base_measures(t), found[of, same] if t else math.nan) for of, same, t in zip(docs["of"], docs["same"], docs["text"])
     ]
     out = pd.DataFrame(rows, columns=[c.split()[0] for c in _MEASURES.split(", ")])
     out.insert(0, "lang", docs["lang"].to_numpy())
